@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.llm.columns import table
 from spendloom.llm.mixing import mix_sources
+from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.packing import pack_documents
 from spendloom.llm.sharding import shard_by_bytes
 from spendloom.llm.token_counts import token_counts
@@ -18,6 +19,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -31,5 +36,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
 SQL: dict[str, str] = {}
