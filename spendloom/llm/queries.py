@@ -9,12 +9,19 @@ from spendloom.llm.columns import table
 from spendloom.llm.mixing import mix_sources
 from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.packing import pack_documents
+from spendloom.llm.quality import held_out, score_quality
 from spendloom.llm.sharding import shard_by_bytes
 from spendloom.llm.token_counts import token_counts
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -36,5 +43,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
 SQL: dict[str, str] = {}
