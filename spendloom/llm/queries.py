@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.llm.columns import table
+from spendloom.llm.embedding_dedup import near_duplicate_vectors
 from spendloom.llm.mixing import mix_sources
 from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.packing import pack_documents
@@ -16,6 +17,10 @@ from spendloom.llm.token_counts import token_counts
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
@@ -43,5 +48,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_quality_classifier, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
 SQL: dict[str, str] = {}
