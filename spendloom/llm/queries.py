@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendloom.llm.columns import table
 from spendloom.llm.embedding_dedup import near_duplicate_vectors
 from spendloom.llm.mixing import mix_sources
 from spendloom.llm.near_dedup import near_duplicates
+from spendloom.llm.nearest import nearest_vectors
 from spendloom.llm.packing import pack_documents
 from spendloom.llm.quality import held_out, score_quality
 from spendloom.llm.sharding import shard_by_bytes
@@ -21,6 +23,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
@@ -48,5 +54,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("times")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_quality_classifier, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
 SQL: dict[str, str] = {}
