@@ -77,17 +77,83 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return with_text_columns(docs, "text", [T.StructField("shingles", LONGS)], make)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts have full shingle sets with 100 * intersection >= ``percent`` * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(shingle_sets(texts))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= ``percent`` * union."""
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
+class Forest:
+    """Union-find over local indexes that remembers the links which joined two trees."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def top(self, k: int) -> int:
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.top(a), self.top(b)
+        if x != y:
+            self.root[y] = x
+            self.links.append((a, b))
+
+
+def links_across(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of ``left`` and ``right``, as a spanning forest over both; right ones are numbered on."""
+    forest = Forest(len(left) + len(right))
+    size = np.array([len(x) for x in right])
+    _, local = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in left])
+    own, other = np.split(local[: cuts[-1]], cuts[:-1]), local[cuts[-1] :]
+    starts = np.cumsum(size) - size
+    flag = np.zeros(int(local.max()) + 1, np.int32)
+    for k, x in enumerate(own):
+        flag[x] = 1
+        shared = np.add.reduceat(flag[other], starts)
+        flag[x] = 0
+        for y in np.flatnonzero(100 * shared >= percent * (len(x) + size - shared)):
+            forest.join(k, len(left) + int(y))
+    return forest.links
+
+
+def links_left(groups: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) between members of a group (l, rep, component_id) that are in different components so far.
+
+    Members outside the component of the group's smallest id are its strays; each block of strays meets each block of
+    members in one task, which returns a spanning forest of the links it finds. Groups with the same members are one.
+    """
+    kinds = groups.groupBy("l").agg(F.min_by("component_id", "rep").alias("major"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign"))
+    strays = groups.join(kinds, "l").where("component_id <> major").groupBy("l").agg(F.count(F.lit(1)).alias("strays"))
+    kinds = kinds.join(strays, "l").groupBy("sign", "members", "strays").agg(F.min(F.struct("l", "major")).alias("k")).select("k.*", "members", "strays")
+    kinds = kinds.select("l", "major", F.ceil(F.col("members") / block).cast("int").alias("nb"), F.ceil(F.col("strays") / block).cast("int").alias("ns"))
+    tagged = groups.join(kinds, "l").withColumn("luck", F.xxhash64(F.lit(9), "rep"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = tagged.select("l", "rep", F.lit(False).alias("stray"), F.pmod("luck", "nb").cast("int").alias("b"), F.explode(count("ns")).alias("s"))
+    left = tagged.where("component_id <> major").select("l", "rep", F.lit(True).alias("stray"), F.pmod("luck", "ns").cast("int").alias("s"), F.explode(count("nb")).alias("b"))
+    rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+
+    def compare(key, group):
+        ids, stray = group.column("rep").to_numpy(), group.column("stray").to_numpy()
+        column = group.column("shingles").combine_chunks()
+        ends = column.offsets.to_numpy() - column.offsets.to_numpy()[0]
+        each = np.split(column.flatten().to_numpy(), ends[1:-1])
+        one, two = np.flatnonzero(stray), np.flatnonzero(~stray)
+        names = np.concatenate([ids[one], ids[two]])
+        links = links_across([each[k] for k in one], [each[k] for k in two], percent) if len(one) and len(two) else []
+        found = names[np.array(links, np.int64).reshape(-1, 2)]
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy("l", "s", "b").applyInArrow(compare, "a long, b long").where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, width: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -100,9 +166,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, wi
     class has are left out: a table key can't collide unless both its parts do. With J = 0.75 a pair of classes meets
     with chance (1 - (1 - J ** width) ** collection) ** 2 = 0.9995.
 
-    In each bucket all classes are first compared with its smallest doc_id. What that leaves in different components
-    of one bucket is then compared in full, so no link between classes that met is lost, yet a bucket whose classes
-    hang together is never expanded into its pairs. Every link is confirmed on full shingle sets.
+    In each bucket all classes are first compared with its smallest doc_id. Where that leaves different components
+    among the classes of one left key, those outside the first component are compared with all of the key, in blocks
+    that return a spanning forest. So no link between classes that met is lost, yet no bucket is expanded into its
+    pairs. Every link is confirmed on full shingle sets.
 
     A null, empty or blank text has no shingles and is linked with nothing; one of under five words is one shingle.
     Rows without a doc_id are not linked: component_id null, kept false. Rows that share a doc_id are one document for
@@ -119,26 +186,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, wi
         return rows.join(often, name)
 
     keys = meeting("left_keys", "l").join(meeting("right_keys", "r").select("rep", "r"), "rep")
-    keys = cut(keys.select(F.xxhash64("l", "r").alias("key"), "rep", F.col("n_shingles").alias("n")))
+    keys = cut(keys.select(F.xxhash64("l", "r").alias("key"), "l", "rep", F.col("n_shingles").alias("n")))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     sizes = classes.select(F.col("rep").alias("leader"), F.col("n_shingles").alias("m"))
     near_size = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     star = keys.join(buckets.select("key", "leader"), "key").where("rep <> leader").select("leader", "rep", "n").distinct()
     star = cut(star.join(sizes, "leader").where(near_size).select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    links = cut(verified(star, docs, percent))
+    met = keys.select("rep").distinct()
+    sets = cut(shingle_sets(docs.join(met.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")))
+    links = cut(verified(star, sets, percent))
     first = connected_components(links)
-    # classes that share a bucket but not yet a component
-    tagged = keys.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    mixed = tagged.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high").select("key")
-    tagged = cut(tagged.join(mixed, "key"))
-    other = tagged.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component_id").alias("other"))
-    rest = tagged.join(other, "key").where(F.col("component_id") < F.col("other")).where(near_size)
-    rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = cut(rest)
+    # classes that share a left key but not yet a component
+    groups = keys.select("l", "rep").distinct().join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    mixed = groups.groupBy("l").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high").select("l")
+    rest = cut(links_left(cut(groups.join(mixed, "l")), sets, percent))
     if not rest.isEmpty():
-        first = connected_components(links.unionByName(verified(rest, docs, percent)))
+        first = connected_components(links.unionByName(rest))
     of_class = classes.select("n_shingles", "set_a", "set_b", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component_id", "rep").alias("component_id"))
     result = made.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, and of equal rows one; same columns.
+
+    Rows without a doc_id stay.
+    """
+    decided = cut(near_duplicates(docs, text=text, doc_id=doc_id, **options))
+    gone = decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    stay = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    again = decided.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return stay
+    again = cut(again)
+    once = stay.join(again, F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id])
+    return stay.join(again, F.col(doc_id) == F.col("__again"), "left_anti").unionByName(once)
