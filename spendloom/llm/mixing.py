@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendloom.llm.columns import cut, is_blank, ranked, slices_of, with_text_columns, word_bounds
+from spendloom.llm.columns import cut, is_blank, slices_of, with_text_columns, word_bounds
 
 
 def water_fill(sizes: list[int], weights: list[int], total: int, repeats: int) -> list[float]:
@@ -94,8 +94,11 @@ def min_cost_flow(supply: list[int], member: list[list[int]], quota: list[int],
     return flow
 
 
-def word_sizes(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``text`` replaced by ``size``, its number of words, and ``text_hash``."""
+def with_sizes(docs: DataFrame, text: str, sources: str, doc_id: str, seed: int) -> DataFrame:
+    """``docs`` with __size (words), __names (its sources, sorted), __pattern and __key (a seeded hash)."""
+    several = isinstance(docs.schema[sources].dataType, T.ArrayType)
+    names = F.array_sort(F.array_distinct(F.col(sources))) if several else F.array(F.col(sources))
+    names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string"))) if several else names
     blank = is_blank()
 
     def make():
@@ -105,29 +108,14 @@ def word_sizes(docs: DataFrame, text: str) -> DataFrame:
 
         return compute
 
-    return with_text_columns(docs, text, [T.StructField("size", T.LongType())], make)
+    sized = with_text_columns(docs.withColumn("__text", F.col(text)), "__text", [T.StructField("__size", T.LongType())], make)
+    pattern = F.to_json(F.struct(names.alias("names")), {"ignoreNullFields": "false"})
+    return sized.withColumns({"__names": names, "__pattern": pattern, "__key": F.xxhash64(F.lit(seed), doc_id, "__size")})
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, text: str = "text", sources: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """How often each document is taken so that the sources come to their target weights.
-
-    ``sources`` is a string column or, where sources overlap, an array of strings. One row per document: doc_id, size
-    (words), source_size and target (of its source; of several, their sums), taken (words, repeats counted). Sources
-    in order of code points, null last, weigh ``weights`` in turn and share the words of all documents; a target stops
-    at ``repeats`` times its source's words. A null or empty text has size 0 and is taken 0 words. An empty array is
-    the null source. An empty table gives no rows. Equal rows are taken alike or not at all.
-
-    Documents are counted by membership pattern; patterns and sources (a table of names, not of documents) go to the
-    driver, which routes words from patterns to quotas by min-cost flow, a repeat costing more each time. A pattern
-    whose flow is q times its words takes every document floor(q) times and, once more, those whose seeded hash lies
-    under a cut, where the words come nearest to the rest. Cuts come from sums over slices of the hash, so a pattern
-    that holds a third of all documents is dealt over many tasks.
-    """
-    several = isinstance(docs.schema[sources].dataType, T.ArrayType)
-    names = F.array_sort(F.array_distinct(F.col(sources))) if several else F.array(F.col(sources))
-    names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string"))) if several else names
-    sized = word_sizes(docs.select(F.col(doc_id).alias("doc_id"), names.alias("names"), F.col(text).alias("text")), "text")
-    sized = cut(sized.select("doc_id", "size", F.to_json(F.struct("names"), {"ignoreNullFields": "false"}).alias("pattern"), "names", F.xxhash64(F.lit(seed), "doc_id", "size").alias("key")))
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """For each membership pattern: source_size, target, ``whole`` and ``cut``. A document of the pattern is taken
+    ``whole`` times, and once more if its key is at most ``cut``. ``sized`` has pattern, names, size and key."""
     patterns = sized.groupBy("pattern").agg(F.first("names").alias("names"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     ordered = sorted({x for r in patterns for x in r["names"]}, key=lambda x: (x is None, x or ""))
     place = {x: k for k, x in enumerate(ordered)}
@@ -136,15 +124,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     sizes = [sum(n for n, m in zip(supply, member, strict=True) if k in m) for k in range(len(ordered))]
     target = water_fill(sizes, [weights[k % len(weights)] for k in range(len(ordered))], sum(supply), repeats)
     flow = min_cost_flow(supply, member, [round(x) for x in target], repeats)
-    spark = docs.sparkSession
     rows = [
         (r["pattern"], sum(sizes[k] for k in m), float(sum(target[k] for k in m)), int(given // n) if n else 0, int(given % n) if n else 0)
         for r, m, n, given in zip(patterns, member, supply, flow.sum(axis=1).tolist(), strict=True)
     ]
-    quota = spark.createDataFrame(rows, "pattern string, source_size long, target double, whole int, rest long")
+    quota = sized.sparkSession.createDataFrame(rows, "pattern string, source_size long, target double, whole int, rest long")
     # the slice in which the running words of a pattern pass the rest, then the row
-    total = sum(int(r["n"]) for r in patterns)
-    piece, sums = slices_of(sized, ["pattern"], "key", "size", total)
+    piece, sums = slices_of(sized, ["pattern"], "key", "size", sum(int(r["n"]) for r in patterns))
     edge = sums.join(quota, "pattern").where((F.col("weight_before") < F.col("rest")) & (F.col("weight_before") + F.col("slice_weight") >= F.col("rest")))
     edge = edge.groupBy("pattern").agg(F.min_by(F.struct("slice", "weight_before", "rest"), "slice").alias("e")).select("pattern", "e.*")
     near = sized.withColumn("slice", piece).join(edge, ["pattern", "slice"])
@@ -152,12 +138,48 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     steps = near.groupBy("pattern", "key").agg(F.sum("size").alias("size"), F.first("weight_before").alias("weight_before"), F.first("rest").alias("rest"))
     run = F.sum("size").over(Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) + F.col("weight_before")
     steps = steps.withColumn("run", run)
-    low = F.min("weight_before")
     cuts = steps.groupBy("pattern").agg(
-        # nearest to the rest: the last key at or before it, or the first one past it, or none of this slice
-        F.min_by(F.struct("key", "run"), F.struct(F.abs(F.col("run") - F.col("rest")), "key")).alias("best"), F.min("key").alias("first_key"), low.alias("low"), F.first("rest").alias("rest")
+        # nearest to the rest: some key of the slice, or none of them
+        F.min_by(F.struct("key", "run"), F.struct(F.abs(F.col("run") - F.col("rest")), "key")).alias("best"), F.min("key").alias("first_key"), F.min("weight_before").alias("low"), F.first("rest").alias("rest")
     )
     cuts = cuts.select("pattern", F.when(F.abs(F.col("best.run") - F.col("rest")) <= F.col("rest") - F.col("low"), F.col("best.key")).otherwise(F.col("first_key") - 1).alias("cut"))
-    decided = sized.join(quota.join(cuts, "pattern", "left"), "pattern")
-    times = F.col("whole") + F.coalesce((F.col("key") <= F.col("cut")).cast("int"), F.lit(0))
-    return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.alias("times"))
+    return quota.join(cuts, "pattern", "left").select("pattern", "source_size", "target", "whole", "cut")
+
+
+TIMES = "whole + coalesce(cast(__key <= cut as int), 0)"
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, text: str = "text", sources: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """How often each document is taken so that the sources come to their target weights.
+
+    ``sources`` is a string column or, where sources overlap, an array of strings. One row per document: doc_id, size
+    (words), source_size and target (of its source; of several, their sums), taken (words, repeats counted). Sources
+    in order of code points, null last, weigh ``weights`` in turn and share the words of all documents; a target stops
+    at ``repeats`` times its source's words. A null or empty text has size 0 and is taken 0 words. An empty array is
+    the null source. An empty table gives no rows. Equal rows are taken alike or not at all.
+
+    Documents are counted by membership pattern; patterns and sources (a table of names, not of documents) go to the
+    driver, which routes words from patterns to quotas by min-cost flow, a repeat costing more each time. A pattern
+    whose flow is q times its words takes every document floor(q) times and, once more, those whose seeded hash lies
+    under a cut, where the words come nearest to the rest. Cuts come from sums over slices of the hash, so a pattern
+    that holds a third of all documents is dealt over many tasks.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(sources).alias("source"), F.col(text).alias("text"))
+    sized = with_sizes(docs, "text", "source", "doc_id", seed)
+    sized = cut(sized.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "pattern", "names", "key"))))
+    decided = sized.join(mixing_plan(sized, weights, repeats), "pattern").withColumnRenamed("key", "__key")
+    times = F.expr(TIMES)
+    return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, text: str = "text", sources: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix_sources`` takes it, in the same columns.
+
+    Whether a row is taken follows from its own key and its pattern's cut, so texts are not shuffled.
+    """
+    sized = with_sizes(docs, text, sources, doc_id, seed)
+    narrow = cut(with_sizes(docs.select(doc_id, sources, text), text, sources, doc_id, seed).select(*(F.col(f"__{c}").alias(c) for c in ("size", "pattern", "names", "key"))))
+    plan = cut(mixing_plan(narrow, weights, repeats)).select(F.col("pattern").alias("__pattern"), "whole", "cut")
+    joined = sized.join(plan.select("__pattern", F.struct("whole", "cut").alias("__plan")), "__pattern")
+    times = F.col("__plan.whole") + F.coalesce((F.col("__key") <= F.col("__plan.cut")).cast("int"), F.lit(0))
+    return joined.withColumn("__times", times).where("__times > 0 and __size > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from spendloom.llm.columns import table
 from spendloom.llm.embedding_dedup import near_duplicate_vectors
+from spendloom.llm.licences import scan_licences
 from spendloom.llm.mixing import mix_sources
 from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.nearest import nearest_vectors
 from spendloom.llm.packing import pack_documents
 from spendloom.llm.quality import held_out, score_quality
+from spendloom.llm.repeats import repeated_paragraphs
 from spendloom.llm.sharding import shard_by_bytes
 from spendloom.llm.token_counts import token_counts
 
@@ -33,6 +35,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -51,8 +61,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("times")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
 SQL: dict[str, str] = {}
