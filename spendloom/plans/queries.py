@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = (CONTRACTS_SQL + sql) if "contracts" in sql or " li" in sql else sql
+            SQL[f.__name__] = CONTRACTS_SQL + sql if re.search(r"\b(FROM|JOIN) (contracts|li)\b", sql) else sql
         return f
 
     return add
@@ -38,7 +40,7 @@ def q1_total_by_customer(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("customer", *money("total_spend"), "contract_count")
 
 
-@query(f"SELECT category, {TOTALS} FROM contracts WHERE amount > 0 GROUP BY category")
+@query(f"SELECT category, {TOTALS} FROM contracts WHERE amount > 0 AND length(category) = 2 GROUP BY category")
 def q2_by_category(spark: SparkSession, sf: str) -> DataFrame:
     out = spend.by_category(contracts(spark, sf).where(scope.contract_filter()), 2)
     return out.select("category", *money("total_spend"), "contract_count")
@@ -54,7 +56,7 @@ def q3_by_region(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT customer, CAST(round(sum(share * share), 6) AS DOUBLE) AS hhi, count(*) AS supplier_count, CAST(max(share) AS DOUBLE) AS top_share FROM (
     SELECT p.customer, CAST(round(CAST(s AS DOUBLE) / CAST(t AS DOUBLE), 6) AS DECIMAL(12,6)) AS share FROM
-      (SELECT customer, supplier, sum(amount) AS s FROM contracts WHERE amount > 0 GROUP BY 1, 2) p
+      (SELECT customer, supplier, sum(amount) AS s FROM contracts WHERE amount > 0 AND customer > 0 GROUP BY 1, 2) p
       JOIN (SELECT customer, sum(amount) AS t, count(*) AS n FROM contracts WHERE amount > 0 GROUP BY 1 HAVING count(*) >= 5) c ON p.customer = c.customer
     WHERE supplier > 0 AND s > 0) x GROUP BY customer""")
 def q4_supplier_concentration(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,11 +77,11 @@ def q7_customer_volume(spark: SparkSession, sf: str) -> DataFrame:
     return spend.customer_volume(contracts(spark, sf), (1996, 1998)).select("customer", "contract_count", *money("total_spend"))
 
 
-@query("""SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts GROUP BY customer
-  UNION ALL SELECT 'category', category, CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY category
+@query("""SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts WHERE customer > 0 GROUP BY customer
+  UNION ALL SELECT 'category', category, CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE length(category) = 2 GROUP BY category
   UNION ALL SELECT 'region', substr(region, 1, 2), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
   UNION ALL SELECT 'year', CAST(year(sign_date) AS VARCHAR), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
-  UNION ALL SELECT 'total', 'all', CAST(sum(amount) AS DOUBLE), count(*) FROM contracts""")
+  UNION ALL SELECT 'total', 'all', CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE customer > 0""")
 def q8_analytics_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return spend.analytics_bundle(contracts(spark, sf), region_names(spark, sf)).where("section <> 'concentration'")
 
@@ -219,13 +221,13 @@ def f4_keyword_match(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(scope.keyword_match(F.col("text"), ["License"], "licensed under")).select("doc_id")
 
 
-@query("""SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) / count(*) AS mean, median(CAST(amount AS DOUBLE)) AS median, quantile_cont(CAST(amount AS DOUBLE), 0.25) AS p25,
-  quantile_cont(CAST(amount AS DOUBLE), 0.9) AS p90, quantile_cont(CAST(amount AS DOUBLE), 0.99) AS p99, mad(CAST(amount AS DOUBLE)) AS mad,
+@query("""SELECT category, count(*) AS n, CAST(sum(amount) AS DOUBLE) / count(*) AS mean, round(median(CAST(amount AS DOUBLE)), 3) AS median, round(quantile_cont(CAST(amount AS DOUBLE), 0.25), 3) AS p25,
+  round(quantile_cont(CAST(amount AS DOUBLE), 0.9), 3) AS p90, round(quantile_cont(CAST(amount AS DOUBLE), 0.99), 3) AS p99, round(mad(CAST(amount AS DOUBLE)), 3) AS mad,
   round(sum(CAST(amount AS DOUBLE) * quantity) / sum(quantity), 4) AS weighted, round(avg(CAST(amount AS DOUBLE)) - 1.959964 * stddev_samp(CAST(amount AS DOUBLE)) / sqrt(count(*)), 4) AS ci_low
   FROM contracts GROUP BY category""")
 def t9_describe(spark: SparkSession, sf: str) -> DataFrame:
     base = contracts(spark, sf).withColumn("value", F.col("amount").cast("double"))
-    d = stats.describe(base, ["category"], "value").select("category", "n", "median", "p25", "p90", "p99", "mad", F.round("ci_low", 4).alias("ci_low"))
+    d = stats.describe(base, ["category"], "value").select("category", "n", *(F.round(c, 3).alias(c) for c in ("median", "p25", "p90", "p99", "mad")), F.round("ci_low", 4).alias("ci_low"))
     w = base.groupBy("category").agg((F.sum("amount").cast("double") / F.count("amount")).alias("mean"), F.round(stats.weighted_mean(F.col("value"), F.col("quantity")), 4).alias("weighted"))
     return d.join(w, "category")
 
@@ -247,7 +249,7 @@ PRICE_SQL = """, m AS (SELECT category, CAST(sum(amount) AS DOUBLE) / count(*) A
   FROM d WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)"""
 
 
-@query("/* contracts */" + PRICE_SQL)
+@query(PRICE_SQL)
 def a1_price_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     out = anomalies.price_anomalies(contracts(spark, sf), AT, base="1999-01-01")
     return out.select("entity_id", "actual", F.round("expected", 4).alias("expected"), F.round("deviation_pct", 4).alias("deviation_pct"), "severity", "sample_size")
@@ -262,12 +264,12 @@ VOLUME_SQL = """, v AS (SELECT id, lot_id, customer, category, quantity, year(si
     round(CASE WHEN sea.n >= 5 THEN sea.s / sea.n ELSE ann.s / ann.n END, 3) AS baseline FROM v
     JOIN sea ON v.category = sea.category AND v.m = sea.m AND v.y = sea.y JOIN ann ON v.category = ann.category AND v.y = ann.y),
   k AS (SELECT *, round(quantity / baseline, 3) AS multiplier FROM b WHERE sample_size >= 5 AND baseline > 0)
-  SELECT id, lot_id AS entity_id, baseline_kind, sample_size, baseline AS expected, multiplier,
+  SELECT id, CASE WHEN lot_id > 0 THEN lot_id ELSE id END AS entity_id, baseline_kind, sample_size, baseline AS expected, multiplier,
     CASE WHEN greatest(multiplier, round(quantity / 45.0, 3)) > 10 THEN 'high' WHEN greatest(multiplier, round(quantity / 45.0, 3)) >= 5 THEN 'medium' ELSE 'low' END AS severity
   FROM k WHERE multiplier > 1.6 OR quantity > 45"""
 
 
-@query("/* contracts */" + VOLUME_SQL)
+@query(VOLUME_SQL)
 def a2_volume_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     rows = contracts(spark, sf).where("quantity > 0 and category < '30'")
     profiles = spend.customer_volume(rows, (1900, 2100)).select("customer", F.lit("small").alias("org_size"), F.lit(45.0).alias("org_threshold"))
@@ -309,7 +311,7 @@ FAIR_SQL = (
 )
 
 
-@query("/* contracts */" + FAIR_SQL)
+@query(FAIR_SQL)
 def a3_fairness_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     out = anomalies.fairness_anomalies(contracts(spark, sf).where("supplier % 10 = 1"), AT)
     return out.select("entity_id", "scope", F.col("peer_count").cast("long").alias("peer_count"), "expected", "score", "severity")
