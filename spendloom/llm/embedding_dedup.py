@@ -50,16 +50,16 @@ def near_cells(v: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.nda
     return home, inside
 
 
-def robust_prune(v: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Out-neighbours of every row, at most ``degree``, from its candidates ``pool``; -1 fills up.
+def robust_prune(v: np.ndarray, pool: np.ndarray, degree: int, alpha: float, low: int = 0) -> np.ndarray:
+    """Out-neighbours of the rows from ``low`` on, at most ``degree``, from their candidates ``pool``; -1 fills up.
 
     The nearest candidate left is taken, and those that it is closer to than the row itself, by the factor alpha, go.
     """
-    n = len(v)
+    n = len(pool)
     vectors = v[pool].astype(np.float32)
-    own = v.astype(np.float32)
-    gap = np.maximum(0, 2 - 2 * np.einsum("npd,nd->np", vectors, own))
-    gap[pool == np.arange(n)[:, None]] = np.inf
+    own = v[low : low + n].astype(np.float32)
+    gap = np.maximum(0, 2 - 2 * (vectors @ own[:, :, None])[:, :, 0])
+    gap[pool == np.arange(low, low + n)[:, None]] = np.inf
     order = np.argsort(gap, axis=1, kind="stable")
     gap, pool = np.take_along_axis(gap, order, 1), np.take_along_axis(pool, order, 1)
     vectors = np.take_along_axis(vectors, order[:, :, None], 1)
@@ -72,13 +72,13 @@ def robust_prune(v: np.ndarray, pool: np.ndarray, degree: int, alpha: float) ->
         if not has.any():
             break
         out[has, k] = pool[rows, pick][has]
-        between = np.maximum(0, 2 - 2 * np.einsum("npd,nd->np", vectors, vectors[rows, pick]))
+        between = np.maximum(0, 2 - 2 * (vectors @ vectors[rows, pick][:, :, None])[:, :, 0])
         alive &= alpha * alpha * between > gap
         alive[rows, pick] = False
     return out
 
 
-def build_graph(v: np.ndarray, degree: int = 20, far: int = 8, pool: int = 64, alpha: float = 1.2, block: int = 1024) -> list[np.ndarray]:
+def build_graph(v: np.ndarray, degree: int = 16, far: int = 6, pool: int = 48, alpha: float = 1.2, block: int = 1024) -> list[np.ndarray]:
     """Adjacency lists of a shard: pruned near neighbours, pruned far ones to travel by, and the reverse of both."""
     n = len(v)
     if n <= degree:
@@ -90,8 +90,8 @@ def build_graph(v: np.ndarray, degree: int = 20, far: int = 8, pool: int = 64, a
         rows = np.arange(low, min(n, low + block))
         near = np.argpartition(-(low_precision[rows] @ low_precision.T), min(pool, n - 1), axis=1)[:, : pool + 1]
         parts.append(near)
-    near = robust_prune(v, np.concatenate(parts), degree, alpha)
-    away = robust_prune(v, r.integers(0, n, (n, 4 * far)), far, alpha)
+    pools = [np.concatenate(parts), r.integers(0, n, (n, 4 * far))]
+    near, away = (np.concatenate([robust_prune(v, p[low : low + 2 * block], d, alpha, low) for low in range(0, n, 2 * block)]) for p, d in zip(pools, (degree, far), strict=True))
     out = np.concatenate([near, away], axis=1)
     a = np.repeat(np.arange(n), out.shape[1])
     b = out.ravel()
@@ -115,15 +115,16 @@ def medoids(v: np.ndarray, count: int = 8) -> np.ndarray:
     return np.unique(chosen)
 
 
-def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, slack: float, extra: int, block: int = 512) -> tuple[list[np.ndarray], np.ndarray]:
+def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, slack: float, extra: int, block: int = 512, beam: int = 48) -> tuple[list[np.ndarray], np.ndarray]:
     """For each query (an index of ``v``) the members found with cosine >= ``threshold``, and whether it met itself.
 
-    Greedy: from the medoids, the best node not yet expanded is expanded, until the query has met itself and ``extra``
-    more nodes are expanded. Then range-expanding: every node found within ``slack`` is expanded until none is left.
+    Greedy: from the medoids, the best node of the beam not yet expanded is expanded, until the query has met itself
+    and ``extra`` more nodes are expanded. Then range-expanding: every node found within ``slack`` is expanded until
+    none is left. The walk is in single precision; what comes near the threshold is measured in double.
     """
     n = len(v)
-    width = max((len(x) for x in lists), default=0)
-    table = np.full((n, max(width, 1)), -1, np.int64)
+    low_precision = v.astype(np.float32)
+    table = np.full((n, max((len(x) for x in lists), default=1) or 1), -1, np.int64)
     for k, x in enumerate(lists):
         table[k, : len(x)] = x
     start = medoids(v)
@@ -131,45 +132,64 @@ def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, th
     met_self = np.zeros(len(queries), bool)
     for low in range(0, len(queries), block):
         ids = queries[low : low + block]
-        q, rows = v[ids], np.arange(len(ids))
-        sim = np.full((len(ids), n), -np.inf)
-        sim[:, start] = q @ v[start].T
-        done = np.zeros((len(ids), n), bool)
+        q, rows = low_precision[ids], np.arange(len(ids))
+        seen = np.zeros((len(ids), n), bool)
+        near: list[np.ndarray] = []  # query * n + node of all that came within slack
+        seen[:, start] = True
+        node = np.tile(start, (len(ids), 1))
+        sim = q @ low_precision[start].T
+        done = np.zeros(node.shape, bool)
         left = np.full(len(ids), extra)
         active = rows
         while len(active):
-            open_ = np.where(done[active], -np.inf, sim[active])
+            open_ = np.where(done, -np.inf, sim)
             best = open_.argmax(axis=1)
-            active, best = (x[np.isfinite(open_[np.arange(len(active)), best])] for x in (active, best))
-            if not len(active):
-                break
-            done[active, best] = True
-            nb = table[best]
-            r = np.repeat(active, nb.shape[1])
-            c = nb.ravel()
-            r, c = r[c >= 0], c[c >= 0]
-            new = np.isinf(sim[r, c])
-            r, c = r[new], c[new]
-            sim[r, c] = np.einsum("kd,kd->k", q[r], v[c])
-            left[active] -= np.isfinite(sim[active, ids[active]])
-            active = active[left[active] > 0]
-        met_self[low : low + block] = np.isfinite(sim[rows, ids])
-        sim[rows, ids] = 1.0  # a query that the walk missed starts from itself
-        while True:
-            r, c = np.nonzero((sim >= slack) & ~done)
-            if not len(r):
-                break
-            done[r, c] = True
-            for at in range(0, len(r), 1 << 14):
-                rr, cc = r[at : at + (1 << 14)], table[c[at : at + (1 << 14)]]
-                pair = np.unique((rr[:, None] * n + cc)[cc >= 0])
-                pr, pc = pair // n, pair % n
-                new = np.isinf(sim[pr, pc])
-                pr, pc = pr[new], pc[new]
-                sim[pr, pc] = np.einsum("kd,kd->k", q[pr], v[pc])
-        hit = sim >= threshold
-        hit[rows, ids] = False
-        found.extend(np.flatnonzero(h) for h in hit)
+            more = np.isfinite(open_[np.arange(len(active)), best]) & (left > 0)
+            if not more.all():
+                active, node, sim, done, left, best = (x[more] for x in (active, node, sim, done, left, best))
+                if not len(active):
+                    break
+            at = np.arange(len(active))
+            done[at, best] = True
+            nb = table[node[at, best]]
+            r, w = np.nonzero((nb >= 0) & ~seen[active[:, None], nb])
+            c = nb[r, w]
+            seen[active[r], c] = True
+            value = np.einsum("kd,kd->k", q[active[r]], low_precision[c])
+            close = value >= slack
+            near.append(active[r[close]] * n + c[close])
+            fresh = np.full(nb.shape, -np.inf, np.float32)
+            fresh[r, w] = value
+            node, sim = np.concatenate([node, nb], axis=1), np.concatenate([sim, fresh], axis=1)
+            done = np.concatenate([done, np.zeros(nb.shape, bool)], axis=1)
+            if sim.shape[1] > beam:
+                top = np.argpartition(-sim, beam, axis=1)[:, :beam]
+                node, sim, done = (np.take_along_axis(x, top, axis=1) for x in (node, sim, done))
+            left = left - seen[active, ids[active]]
+        met_self[low : low + block] = seen[rows, ids]
+        # the start nodes, and the query itself, from which a walk that missed it goes on
+        near.append(rows * n + ids)
+        r, w = np.nonzero(q @ low_precision[start].T >= slack)
+        near.append(r * n + start[w])
+        seen[rows, ids] = True
+        frontier = np.unique(np.concatenate(near))
+        reached = [frontier]
+        while len(frontier):
+            wide = []
+            for at in range(0, len(frontier), 1 << 13):
+                part = frontier[at : at + (1 << 13)]
+                nb = table[part % n]
+                pair = ((part // n)[:, None] * n + nb)[nb >= 0]
+                pair = np.unique(pair[~seen[pair // n, pair % n]])
+                seen[pair // n, pair % n] = True
+                value = np.einsum("kd,kd->k", q[pair // n], low_precision[pair % n])
+                wide.append(pair[value >= slack])
+            frontier = np.concatenate(wide)
+            reached.append(frontier)
+        pair = np.concatenate(reached)
+        exact = np.concatenate([np.einsum("kd,kd->k", v[ids[p // n]], v[p % n]) for p in np.array_split(pair, max(1, len(pair) >> 14))])
+        pair = np.unique(pair[(exact >= threshold) & (pair % n != ids[pair // n])])
+        found.extend(np.split(pair % n, np.searchsorted(pair // n, rows[1:])))
     return found, met_self
 
 
@@ -210,7 +230,7 @@ def shard_rows(classes: DataFrame, sizes: dict, sample_rows: int, shard_size: in
 
 def near_duplicate_vectors(
     embeddings: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-    sample_rows: int = 20_000, shard_size: int = 2_000, levels: int = 2, audit_every: int = 16, wanted_recall: float = 0.999,
+    sample_rows: int = 20_000, shard_size: int = 6_000, levels: int = 2, audit_every: int = 16, wanted_recall: float = 0.999,
 ) -> tuple[DataFrame, DataFrame]:
     """(result, audit). Result: vec_id, n_links, component_id, kept, one row per vector.
 
@@ -220,7 +240,9 @@ def near_duplicate_vectors(
     A null vec_id stays null and is not linked. An empty table gives no rows.
 
     Classes are dealt to cluster shards around centers fitted on about ``sample_rows`` vectors a level; shards overlap,
-    so that the shard a vector is at home in holds all its neighbours in range. Each shard gets a robust-pruned graph,
+    so that the shard a vector is at home in holds all its neighbours in range. Shards are as large as a task's memory
+    allows (up to twice ``shard_size``): in many dimensions a vector within range of one cell is within range of most,
+    so each further cut multiplies copies. Each shard gets a robust-pruned graph,
     the adjacency lists of a vector are united over its shards, and every vector is searched in its home shard, from
     the medoids, expanding the range. Each ``audit_every``-th query is compared with brute force; a shard under
     ``wanted_recall`` is searched again, four times as widely. audit: shard, members, queries, met_self, links_true,
