@@ -214,7 +214,7 @@ def shard_rows(classes: DataFrame, sizes: dict, sample_rows: int, shard_size: in
                 rows = np.flatnonzero(shard == s)
                 part = batch.take(pa.array(rows))
                 if s not in shared.value:
-                    yield part
+                    yield pa.RecordBatch.from_arrays(part.columns, names=part.schema.names)
                     continue
                 home, inside = near_cells(unit(matrix(part.column("embedding"))), shared.value[s], reach)
                 r, c = np.nonzero(inside)
