@@ -160,14 +160,14 @@ def parse_lots(records: DataFrame, now: Column, customers: Sequence[int] = ()) -
     )
     rows = rows.withColumn("updated_at", n.to_timestamp(F.col("updated_text"), F.col("created_at")))
     one = rows.select("*", F.posexplode_outer("point_list").alias("point_no", "p"))
-    one = one.withColumn("codes", n.codes_of(F.array(F.col("p.enstr_code")), F.array("root_category"), "categories")).withColumn("places", n.codes_of(F.array(F.col("p.kato_code")), F.array("root_region"), "regions"))
+    one = one.withColumn("codes", n.codes_of(F.array(F.col("p.enstr_code")), F.array("root_category"), F.col("categories"))).withColumn("places", n.codes_of(F.array(F.col("p.kato_code")), F.array("root_region"), F.col("regions")))
     one = one.withColumn("category", F.explode_outer("codes")).withColumn("region", F.explode(F.when(F.size("places") > 0, F.col("places")).otherwise(F.array(F.lit("")))))
     amount = n.to_decimal(F.coalesce(F.col("p.amount"), F.col("root_amount")))
     quantity = n.to_decimal(F.coalesce(F.col("p.count"), F.col("root_quantity")), 3)
     price = n.unit_price(n.to_decimal(F.coalesce(F.col("p.unit_price"), F.col("root_price"))), amount, quantity)
     plain = F.col("p").isNull() & (F.size("codes") <= 1) & (F.size("places") <= 1)
     point = n.to_uint(F.col("p.id"))
-    own_id = F.when(plain, F.col("lot_id")).otherwise(n.hash_id(F.col("lot_id"), F.when(point > 0, point).otherwise(F.col("point_no")), F.coalesce("category", F.lit("")), "region"))
+    own_id = F.when(plain, F.col("lot_id")).otherwise(n.hash_id(F.col("lot_id"), F.when(point > 0, point).otherwise(F.col("point_no")), F.coalesce("category", F.lit("")), F.col("region")))
     reason = _reasons((F.col("lot_id") <= 0, "missing_id"), (F.col("announcement_id") <= 0, "missing_announcement"), (F.col("category").isNull(), "missing_code"), (F.lit(bool(customers)) & ~_in("customer", customers), "non_target"))
     return one.select(own_id.alias("id"), F.col("lot_id").alias("source_id"), "announcement_id", "number", "customer", "category", "region", quantity.alias("quantity"), price.alias("unit_price"), amount.alias("amount"), "created_at", "updated_at", reason.alias("reject_reason"))
 
