@@ -28,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Ids up to so many rows (16 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in ``ids`` (distinct longs); texts are shuffled only for more ids than
+    BROADCAST_IDS, which are counted first."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), key, "left_semi")
+
+
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of blocks of a string column; null is the empty text."""
     column = column.fill_null("") if column.null_count else column

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendloom.llm.columns import cut, with_text_columns
+from spendloom.llm.columns import cut, of_ids, with_text_columns
 from spendloom.llm.components import connected_components
 from spendloom.llm.shingles import ShingleHasher, mix, odd_numbers, segment_min
 
@@ -131,6 +131,7 @@ def links_left(groups: DataFrame, sets: DataFrame, percent: int, block: int = 10
     members in one task, which returns a spanning forest of the links it finds. Groups with the same members are one.
     """
     kinds = groups.groupBy("l").agg(F.min_by("component_id", "rep").alias("major"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign"))
+    total = groups.count()
     strays = groups.join(kinds, "l").where("component_id <> major").groupBy("l").agg(F.count(F.lit(1)).alias("strays"))
     kinds = kinds.join(strays, "l").groupBy("sign", "members", "strays").agg(F.min(F.struct("l", "major")).alias("k")).select("k.*", "members", "strays")
     kinds = kinds.select("l", "major", F.ceil(F.col("members") / block).cast("int").alias("nb"), F.ceil(F.col("strays") / block).cast("int").alias("ns"))
@@ -141,17 +142,24 @@ def links_left(groups: DataFrame, sets: DataFrame, percent: int, block: int = 10
     rows = left.unionByName(right).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
 
     def compare(key, group):
-        ids, stray = group.column("rep").to_numpy(), group.column("stray").to_numpy()
+        group = group.combine_chunks()
+        ids, stray, names = group.column("rep").to_numpy(), group.column("stray").to_numpy(), group.column("l").to_numpy()
         column = group.column("shingles").combine_chunks()
         ends = column.offsets.to_numpy() - column.offsets.to_numpy()[0]
-        each = np.split(column.flatten().to_numpy(), ends[1:-1])
-        one, two = np.flatnonzero(stray), np.flatnonzero(~stray)
-        names = np.concatenate([ids[one], ids[two]])
-        links = links_across([each[k] for k in one], [each[k] for k in two], percent) if len(one) and len(two) else []
-        found = names[np.array(links, np.int64).reshape(-1, 2)]
+        flat = column.flatten().to_numpy()
+        order = np.argsort(names, kind="stable")
+        found = []
+        for part in np.split(order, np.flatnonzero(np.diff(names[order])) + 1):
+            one, two = part[stray[part]], part[~stray[part]]
+            if len(one) and len(two):
+                both = ids[np.concatenate([one, two])]
+                found += [(both[x], both[y]) for x, y in links_across([flat[ends[k] : ends[k + 1]] for k in one], [flat[ends[k] : ends[k + 1]] for k in two], percent)]
+        found = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return rows.groupBy("l", "s", "b").applyInArrow(compare, "a long, b long").where("a <> b")
+    # small groups share a task's call; blocks of a large one come alone or nearly so
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("l"), F.lit(max(1, total // 2000))))
+    return rows.groupBy("part", "s", "b").applyInArrow(compare, "a long, b long").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, width: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -193,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, wi
     star = keys.join(buckets.select("key", "leader"), "key").where("rep <> leader").select("leader", "rep", "n").distinct()
     star = cut(star.join(sizes, "leader").where(near_size).select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     met = keys.select("rep").distinct()
-    sets = cut(shingle_sets(docs.join(met.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")))
+    sets = cut(shingle_sets(of_ids(docs, met.select(F.col("rep").alias("doc_id")), "doc_id")))
     links = cut(verified(star, sets, percent))
     first = connected_components(links)
     # classes that share a left key but not yet a component

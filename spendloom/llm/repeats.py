@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendloom.llm.columns import cut, text_blocks, with_text_columns
+from spendloom.llm.columns import cut, of_ids, text_blocks, with_text_columns
 from spendloom.llm.components import connected_components
 from spendloom.llm.near_dedup import LONGS, links_left, verified
 from spendloom.llm.shingles import ShingleHasher, distinct, mix, odd_numbers
@@ -168,7 +168,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, reach: int = 7, min_
     classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     classes = cut(classes.join(near, "fp", "left").where("copies > 1 or meets"))
     wanted = classes.where("meets").select(F.col("first_doc").alias("doc_id")).distinct()
-    sets = paragraph_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), shape)
+    sets = paragraph_sets(of_ids(docs, wanted, "doc_id"), shape)
     sets = cut(sets.join(near.select("fp").hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")).withColumnRenamed("fp", "doc_id"))
     star = cut(meeting.where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct())
     links = cut(verified(star, sets, percent))
