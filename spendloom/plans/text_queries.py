@@ -112,6 +112,7 @@ def r5_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("question_id", "entity_id", F.round("bm25", 5).alias("bm25"))
 
 
+@query()
 def r6_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.chunk_rows(_documents(spark, sf)).select("entity_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.char_length("chunk").alias("chars"))
 
@@ -140,6 +141,7 @@ def r12_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fuse(a, b, ["entity_id"]).withColumn("fused", F.round("fused", 9))
 
 
+@query()
 def r14_context_window(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("entity_id"), F.col("text").alias("content"))
     return retrieval.context_window(c, 4, 120, 60, order=["entity_id"]).select("question_id", "entity_id", "token_count")
