@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,13 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         low = high
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, since a worker process outlives its task and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[np.ndarray, np.ndarray], list]]) -> DataFrame:
     """``df`` with ``text`` replaced by ``fields``, which ``make()`` computes from (bytes, offsets) of a block of texts.
 
@@ -71,6 +80,7 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], mak
             for low, high, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text))):
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in compute(data, offsets)]
                 yield pa.RecordBatch.from_arrays([*(x.slice(low, high - low) for x in rest), *made], names=schema.names)
+        give_back()
 
     return df.select(*(f.name for f in kept), text).mapInArrow(work, schema)
 

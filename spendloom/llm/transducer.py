@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -182,11 +183,11 @@ class Merger:
     def __init__(self, merges: list[tuple[int, int, int]], byte_ids: dict[int, int], token_bytes: dict[int, bytes], max_states: int = 200_000):
         """merges: (left id, right id, merged id) by rank."""
         self.max_states = max_states
-        self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
+        self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(merges)}
         self.born = dict.fromkeys(byte_ids.values(), -1) | {m: r for r, (_, _, m) in enumerate(merges)}
         parts = {m: (a, b) for a, b, m in merges}
         self.parts = parts
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
         self.inner: list[bool] = [False]
@@ -227,7 +228,7 @@ class Merger:
         left = self._edge(b, 0)
         for x, x_from, x_to in self._edge(a, 1):
             for y, y_from, y_to in left:
-                r = get((x, y))
+                r = get(x << 32 | y)
                 # of equal pairs the leftmost merges first, hence < on one side and <= on the other
                 if r is not None and r < before and x_from < r < x_to and y_from < r <= y_to:
                     return True
@@ -235,7 +236,7 @@ class Merger:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a`` in a canonical tokenization."""
-        key = (a, b)
+        key = a << 32 | b
         ok = self.known.get(key)
         if ok is None:
             ok = self.known[key] = not self._crosses(a, b)
@@ -243,9 +244,11 @@ class Merger:
 
     def reset(self) -> None:
         """Forget the compiled transitions."""
-        self.ids = {((0, self.START),): 0}
-        self.states = [((0, self.START),)]
-        self.counts = [(0,)]
+        # a state is packed into bytes: for each vocabulary entry being read its node, the token it follows, and how
+        # many tokens that prefix has more than the whole one
+        first = array("i", (0, self.START, 0)).tobytes()
+        self.ids = {first: 0}
+        self.states = [first]
         self.known.clear()
         size = 1 << 14
         self.last = np.zeros(size, np.int32)
@@ -255,29 +258,28 @@ class Merger:
         self.n_pages = 1
 
     def _compile(self, state: int, byte: int) -> None:
-        entries, counts = self.states[state], self.counts[state]
-        kept, tallies, last, tally = [], [], None, 0
-        for (node, prev), n in zip(entries, counts, strict=True):
-            to = self.child.get(node << 8 | byte)
+        packed = array("i", self.states[state])
+        kept, last, tally = [], None, 0
+        for k in range(0, len(packed), 3):
+            prev, n = packed[k + 1], packed[k + 2]
+            to = self.child.get(packed[k] << 8 | byte)
             if to is None:
                 continue
             t = self.token_at[to]
             if last is None and t >= 0 and (prev < 0 or self.fits(prev, t)):
                 last, tally = t, n + 1
             if self.inner[to]:
-                kept.append((to, prev))
-                tallies.append(n)
-        kept.append((0, last))
-        tallies.append(tally)
-        key = tuple(kept)
-        # counts are relative to the newest prefix, so they belong to the state
-        rel = tuple(n - tally for n in tallies)
-        full = (key, rel)
-        to = self.ids.get(full)
+                kept.append((to, prev, n))
+        # counts are relative to the newest prefix
+        flat = array("i")
+        for to, prev, n in kept:
+            flat.extend((to, prev, n - tally))
+        flat.extend((0, last, 0))
+        key = flat.tobytes()
+        to = self.ids.get(key)
         if to is None:
-            to = self.ids[full] = len(self.states)
+            to = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.counts.append(rel)
             if to >= len(self.last):
                 self.last = np.append(self.last, np.zeros_like(self.last))
                 self.page = np.append(self.page, np.zeros_like(self.page))
