@@ -86,6 +86,21 @@ def q8_analytics_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return spend.analytics_bundle(contracts(spark, sf), region_names(spark, sf)).where("section <> 'concentration'")
 
 
+@query("""SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts WHERE customer > 0 GROUP BY customer
+  UNION ALL SELECT 'category', category, CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE length(category) = 2 GROUP BY category
+  UNION ALL SELECT 'region', substr(region, 1, 2), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
+  UNION ALL SELECT 'concentration', CAST(customer AS VARCHAR), CAST(round(sum(share * share), 6) AS DOUBLE), count(*) FROM (
+    SELECT p.customer, CAST(round(CAST(s AS DOUBLE) / CAST(t AS DOUBLE), 6) AS DECIMAL(12,6)) AS share FROM
+      (SELECT customer, supplier, sum(amount) AS s FROM contracts WHERE customer > 0 GROUP BY 1, 2) p
+      JOIN (SELECT customer, sum(amount) AS t, count(*) AS n FROM contracts GROUP BY 1 HAVING count(*) >= 5) c ON p.customer = c.customer
+    WHERE supplier > 0 AND s > 0) x GROUP BY customer
+  UNION ALL SELECT 'year', CAST(year(sign_date) AS VARCHAR), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
+  UNION ALL SELECT 'total', 'all', CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE customer > 0""")
+def q8_analytics_bundle_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All sections; q8_analytics_bundle leaves one out, as its SQL does."""
+    return spend.analytics_bundle(contracts(spark, sf), region_names(spark, sf))
+
+
 @query("""SELECT customer, CAST(CAST(sign_date AS DATE) AS VARCHAR) AS day, CAST(strftime(sign_date, '%Y%m') AS INTEGER) AS month, CAST(sum(amount) AS DOUBLE) AS total_spend,
   count(*) AS contract_count FROM contracts WHERE amount > 0 GROUP BY 1, 2, 3""")
 def s7_daily_by_customer(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,14 +284,23 @@ VOLUME_SQL = """, v AS (SELECT id, lot_id, customer, category, quantity, year(si
   FROM k WHERE multiplier > 1.6 OR quantity > 45"""
 
 
-@query(VOLUME_SQL)
-def a2_volume_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    rows = contracts(spark, sf).where("quantity > 0 and category < '30'")
+def _volume(rows: DataFrame) -> DataFrame:
     profiles = spend.customer_volume(rows, (1900, 2100)).select("customer", F.lit("small").alias("org_size"), F.lit(45.0).alias("org_threshold"))
     out = anomalies.volume_anomalies(rows, profiles, AT, trigger=1.6)
     return out.select("id", "entity_id", "baseline_kind", "sample_size", "expected", "multiplier", "severity")
 
 
+@query(VOLUME_SQL)
+def a2_volume_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    return _volume(contracts(spark, sf).where("quantity > 0 and category < '30'"))
+
+
+@query(VOLUME_SQL.replace(" AND category < '30'", ""))
+def a2_volume_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All categories; a2_volume_anomalies looks at those its SQL names."""
+    return _volume(contracts(spark, sf).where("quantity > 0"))
+
+
 @query("""SELECT customer, CASE WHEN size <> 'large' AND contains(name, '0001') THEN 'small' ELSE size END AS org_size FROM (
     SELECT s.customer, lower(c_name) AS name, CASE WHEN n >= 300 OR t >= 5000000000 THEN 'large' WHEN n >= 80 OR t >= 500000000 THEN 'medium' ELSE 'small' END AS size FROM
       (SELECT customer, count(*) AS n, sum(amount) AS t FROM contracts GROUP BY 1) s LEFT JOIN customer c ON s.customer = c_custkey) x""")
@@ -311,10 +335,20 @@ FAIR_SQL = (
 )
 
 
+def _fairness(rows: DataFrame) -> DataFrame:
+    out = anomalies.fairness_anomalies(rows, AT)
+    return out.select("entity_id", "scope", F.col("peer_count").cast("long").alias("peer_count"), "expected", "score", "severity")
+
+
 @query(FAIR_SQL)
 def a3_fairness_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    out = anomalies.fairness_anomalies(contracts(spark, sf).where("supplier % 10 = 1"), AT)
-    return out.select("entity_id", "scope", F.col("peer_count").cast("long").alias("peer_count"), "expected", "score", "severity")
+    return _fairness(contracts(spark, sf).where("supplier % 10 = 1"))
+
+
+@query()
+def a3_fairness_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All contracts, each among all its peers; a3_fairness_anomalies keeps to the tenth its quadratic SQL can do."""
+    return _fairness(contracts(spark, sf))
 
 
 @query("""SELECT count(*) AS "analysed", count(*) FILTER (WHERE CAST(amount AS DOUBLE) > 80000) AS found, CAST(0 AS BIGINT) AS skipped FROM contracts""")
