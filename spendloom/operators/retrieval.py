@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,21 +83,54 @@ def payload_filter(customers: Sequence[int] = (), category: str | None = None, s
     return out
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, limit: int = 10, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+def _best_of_slice(k: int, asked: pa.Table, stored: pa.Table, rows: int = 256) -> pa.Table:
+    """The ``k`` best stored vectors of each query, ties to the smaller id. A matrix product finds the candidates; their
+    scores are then summed in the order of the components, so equal vectors have equal scores."""
+    if not (len(asked) and len(stored)):
+        return pa.table({"query_id": asked["query_id"].slice(0, 0), "vec_id": stored["vec_id"].slice(0, 0), "score": np.zeros(0)})
+    q, v = (t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t in (asked, stored))
+    q_norm, norm = asked["norm"].to_numpy(), stored["norm"].to_numpy()
+    place = pc.rank(stored["vec_id"], tiebreaker="dense").to_numpy()
+    turned, own, hits, scores = (v / norm[:, None]).T, [], [], []
+    for first in range(0, len(q), rows):
+        part = slice(first, first + rows)
+        rough = (q[part] / q_norm[part, None]) @ turned
+        least = np.partition(rough, -k, axis=1)[:, -k, None] if k < len(v) else np.full((len(rough), 1), -np.inf)
+        i, j = np.nonzero(~(rough < least - 1e-9))
+        i += first
+        dot = np.zeros(len(i))
+        for d in range(q.shape[1]):
+            dot += q[i, d] * v[j, d]
+        score = dot / (q_norm[i] * norm[j])
+        order = np.lexsort((place[j], np.where(np.isnan(score), -np.inf, -score), i))
+        nth = np.arange(len(i)) - np.searchsorted(i, i)  # i ascends, before and after sorting
+        order = order[nth < k]
+        own.append(i[order]), hits.append(j[order]), scores.append(score[order])
+    own, hits = pa.array(np.concatenate(own)), pa.array(np.concatenate(hits))
+    return pa.table({"query_id": asked["query_id"].take(own), "vec_id": stored["vec_id"].take(hits), "score": np.concatenate(scores)})
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, limit: int = 10, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", max_queries: int = 10_000, slice_rows: int = 8192) -> DataFrame:
     """(query_id, vec_id, score, rank) of the max(2 x limit, 20) nearest vectors by cosine; ties go to the smaller id.
 
-    Up to ``max_queries`` questions are broadcast against the vectors, which bounds the broadcast; more are refused.
+    Any number of queries: they are dealt into blocks of about ``max_queries``, the vectors into slices of about
+    ``slice_rows``; each block meets each slice in a task of bounded size, and the partial lists are merged. Vectors
+    meet those of their own length.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"at most {max_queries} queries a call")
     k = max(2 * limit, 20)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df: df.withColumn("norm", F.sqrt(dot(F.col(embedding), F.col(embedding)))).where("norm > 0")
-    q = unit(queries.select(F.col(query_id).alias("query_id"), embedding)).select("query_id", F.col(embedding).alias("q"), F.col("norm").alias("q_norm"))
-    v = unit(vectors.select(F.col(vec_id).alias("vec_id"), embedding))
-    scored = v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", (dot(F.col("q"), F.col(embedding)) / (F.col("q_norm") * F.col("norm"))).alias("score"))
+    blocks, slices = (max(1, -(-df.count() // n)) for df, n in ((queries, max_queries), (vectors, slice_rows)))
+    dot = F.aggregate(F.zip_with(embedding, embedding, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    unit = lambda df, own, name: df.select(F.col(own).alias(name), F.col(embedding).alias("embedding"), F.size(embedding).alias("width"), F.sqrt(dot).alias("norm")).where("norm > 0")
+    q = unit(queries, query_id, "query_id").withColumn("block", part("query_id", blocks)).withColumn("slice", each(slices))
+    v = unit(vectors, vec_id, "vec_id").withColumn("slice", part("vec_id", slices)).withColumn("block", each(blocks))
+    key = ["width", "block", "slice"]
+    kinds = {f.name: f.dataType.simpleString() for f in (*q.schema, *v.schema)}
+    schema = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double"
+    best = q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(lambda a, b: _best_of_slice(k, a, b), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def min_max(df: DataFrame, query_id: str, score: str, name: str) -> DataFrame:
@@ -127,19 +163,23 @@ def rerank(fused: DataFrame, scores: DataFrame, key: Sequence[str], top: int = 2
     return joined.withColumn("score", score).withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0))).drop("__place")
 
 
-def context_window(candidates: DataFrame, limit: int = 10, max_words: int = 4000, words_each: int = 350, pool: int = 1000, query_id: str = "question_id", order: Sequence[str] = ("rank",), content: str = "content", carry: Sequence[str] = ("entity_id",)) -> DataFrame:
+def context_window(candidates: DataFrame, limit: int = 10, max_words: int = 4000, words_each: int = 350, query_id: str = "question_id", order: Sequence[str] = ("rank",), content: str = "content", carry: Sequence[str] = ("entity_id",)) -> DataFrame:
     """Candidates that fit a budget of words, per query in order: content is cut to ``words_each`` words, a candidate
     that would pass ``max_words`` is skipped (later, shorter ones may fit), and ``limit`` ends it.
 
-    Only the first ``pool`` candidates of a query are looked at, which bounds the list that is folded.
+    All candidates count. Of those with one number of words only the first ``limit`` can be taken: what is left of the
+    budget never grows, so where a later one fits, all before it fitted and ended the list. That bounds the list that
+    is folded to ``limit`` times ``words_each``.
     """
-    place = Window.partitionBy(query_id).orderBy(*order)
-    rows = candidates.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= pool)
     words = F.filter(F.split(F.trim(F.col(content)), r"(?U)\s+"), lambda w: F.length(w) > 0)
     kept = F.slice(words, 1, words_each)
-    rows = rows.select(query_id, "__place", *carry, F.size(words).alias("__all"), F.when(F.size(words) > words_each, F.array_join(kept, " ")).otherwise(F.col(content)).alias(content), F.size(kept).alias("token_count"))
+    short = F.when(F.size(words) > words_each, F.array_join(kept, " ")).otherwise(F.col(content))
+    rows = candidates.withColumns({"token_count": F.size(kept), content: short}).withColumn("__place", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
+    rows = rows.select(query_id, "__place", *carry, content, "token_count")
+    alike = Window.partitionBy(query_id, "token_count").orderBy("__place")
+    rows = rows.where(F.col("token_count").between(1, max_words)).withColumn("__nth", F.row_number().over(alike)).where(F.col("__nth") <= limit)
     item = F.struct("__place", "token_count")
-    lists = rows.where("token_count > 0").groupBy(query_id).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = rows.groupBy(query_id).agg(F.array_sort(F.collect_list(item)).alias("items"))
     empty = F.struct(F.array().cast("array<int>").alias("places"), F.lit(0).alias("used"))
 
     def step(s: Column, x: Column) -> Column:
