@@ -24,7 +24,9 @@ class Paragraphs:
 
     A paragraph is a line, or a part of a long line: a line is cut before a word whose hash with the word before it is
     the largest among the ``reach`` words on either side. That depends on those words alone, so a passage is cut alike
-    wherever it stands. Paragraphs under ``min_words`` words are left out.
+    wherever it stands. Neighbouring lines under ``min_words`` words are joined and cut as one line, before the first
+    word of a line rather than elsewhere. No cut leaves a piece under ``min_words`` words; only a lone short line, or
+    joined ones that are still short, are left out, and are not numbered.
     """
 
     def __init__(self, reach: int, min_words: int, bands: int):
@@ -46,12 +48,20 @@ class Paragraphs:
         cut_here[1:] = own_line[1:] != own_line[:-1]
         cut_here[first[:-1][first[:-1] < n]] = True
         edges = np.flatnonzero(cut_here)
+        short = np.diff(np.append(edges, n)) < self.min_words
+        joined = np.zeros(len(edges), bool)
+        joined[1:] = short[1:] & short[:-1]
+        joined &= first[np.searchsorted(first, edges)] != edges  # a text starts anew
+        inner, edges = edges[joined], edges[~joined]
+        cut_here[inner] = False
         size = np.diff(np.append(edges, n))
         since = np.arange(n) - np.repeat(edges, size)
         until = np.repeat(size, size) - since
         before = np.concatenate([word[:1], word[:-1]])
-        h = mix(word + np.uint64(3) * before)
-        top = (since >= w) & (until >= w)
+        h = mix(word + np.uint64(3) * before) >> np.uint64(1)
+        h[inner] |= np.uint64(1 << 63)
+        margin = max(w, self.min_words)
+        top = (since >= margin) & (until >= margin)
         for k in range(1, w + 1):
             top[k:] &= h[k:] > h[:-k]
             top[:-k] &= h[:-k] >= h[k:]
@@ -59,9 +69,9 @@ class Paragraphs:
         low = np.flatnonzero(cut_here)
         high = np.append(low[1:], n)
         text = np.searchsorted(first, low, side="right") - 1
-        nth = np.arange(len(low)) - np.searchsorted(text, text)
         keep = high - low >= self.min_words
-        low, high, text, nth = low[keep], high[keep], text[keep], nth[keep]
+        low, high, text = low[keep], high[keep], text[keep]
+        nth = np.arange(len(low)) - np.searchsorted(text, text)
         words = high - low
         # up to the next word of the text, or to its end
         follows = np.append(starts, len(data))[high]
@@ -149,7 +159,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, reach: int = 7, min_
     * union. Of each component that more than one document has, the first paragraph of the smallest doc_id stays; the
     others are listed where they stand in an unbroken run of such paragraphs with ``min_run`` words or more, so short
     common lines stay. start and length are UTF-8 bytes of the text and reach to the next word. Null, empty and blank texts have no paragraphs, nor
-    do lines under ``min_words`` words. Rows without a doc_id are left alone; rows that share a doc_id are copies of
+    do lone lines under ``min_words`` words; such a line stays, and doesn't break a run. Rows without a doc_id are left alone; rows that share a doc_id are copies of
     one document and lose the same paragraphs. An empty table gives no rows.
 
     A band is one minhash, which two paragraphs share with the chance of their Jaccard similarity; ``bands`` of them
