@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from spendloom.functions import text as tx
 from spendloom.operators import answers, quality, retrieval
 from spendloom.plans.presets import VERSION_COLUMNS, contracts, line_versions, table
 from spendloom.plans.queries import query
+from spendloom.sources.shared import shared_folder
 from spendloom.streaming.upsert import stream_and_snapshot
 
 
@@ -55,9 +54,8 @@ def n16_hash_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS version, l_partkey, l_suppkey, l_extendedprice FROM li")
 def u8_streaming_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     schema = table(spark, sf, "lineitem").schema
-    snapshot = stream_and_snapshot(spark, sf, "lineitem.parquet", schema, shared, ["l_orderkey", "l_linenumber"], "l_shipdate", VERSION_COLUMNS, VERSION_COLUMNS[1:])
+    snapshot = stream_and_snapshot(spark, sf, "lineitem.parquet", schema, shared_folder(spark), ["l_orderkey", "l_linenumber"], "l_shipdate", VERSION_COLUMNS, VERSION_COLUMNS[1:])
     return snapshot.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.to_date("l_shipdate").cast("string").alias("version"), "l_partkey", "l_suppkey", "l_extendedprice")
 
 
