@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import tempfile
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from spendloom.sources.shared import shared_folder
+
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: An Arrow batch of rows with texts has about so many bytes at most, or one row.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids up to so many rows (16 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -41,6 +56,15 @@ def of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), key, "left_semi")
 
 
+def split_of_ids(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``key`` is in ``ids`` (distinct, one column), as ``of_ids`` has them, and the others."""
+    ids = ids.toDF(fresh(docs, "__id"))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    other = F.broadcast(ids) if few else ids.hint("shuffle_hash")
+    same = named(key) == F.col(ids.columns[0])
+    return docs.join(other, same, "left_semi"), docs.join(other, same, "left_anti")
+
+
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of blocks of a string column; null is the empty text."""
     column = column.fill_null("") if column.null_count else column
@@ -58,31 +82,41 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         low = high
 
 
-def give_back() -> None:
-    """Returns freed memory to the system, since a worker process outlives its task and others share its machine."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to BATCH_BYTES, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(name, "64m").lower()).groups()
+    if not 0 < int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit] <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` of columns with any names; ``work`` finds them by their places."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(work, schema)
 
 
-def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[np.ndarray, np.ndarray], list]]) -> DataFrame:
-    """``df`` with ``text`` replaced by ``fields``, which ``make()`` computes from (bytes, offsets) of a block of texts.
+def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[np.ndarray, np.ndarray], list]], keep: bool = False) -> DataFrame:
+    """``df`` with ``fields``, which ``make()`` computes from (bytes, offsets) of a block of texts; ``text`` goes, but
+    with ``keep``.
 
-    ``make`` runs once in each task; what it returns gives one array (numpy or Arrow) for each field.
+    ``make`` runs once in each task; what it returns gives one array (numpy or Arrow) for each field. Arrow batches are
+    held to BATCH_BYTES (the session's limit is lowered if it is higher), so a task's memory follows its longest text.
     """
+    bound_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType([*kept, *fields])
+    # the text comes last
+    order = [*kept, df.schema[text]]
+    schema = T.StructType([*(order if keep else kept), *fields])
+    passed = len(order) if keep else len(kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            rest = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            for low, high, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text))):
+            for low, high, data, offsets in text_blocks(batch.column(len(order) - 1)):
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in compute(data, offsets)]
-                yield pa.RecordBatch.from_arrays([*(x.slice(low, high - low) for x in rest), *made], names=schema.names)
-        give_back()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in range(passed)), *made], names=schema.names)
 
-    return df.select(*(f.name for f in kept), text).mapInArrow(work, schema)
+    return map_arrow(df.select(*(named(f.name) for f in order)), work, schema)
 
 
 def is_blank() -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendloom.llm.columns import cut, is_blank, slices_of, with_text_columns, word_bounds
+from spendloom.llm.columns import cut, fresh, is_blank, named, slices_of, with_text_columns, word_bounds
 
 
 def water_fill(sizes: list[int], weights: list[int], total: int, repeats: int) -> list[float]:
@@ -94,10 +94,13 @@ def min_cost_flow(supply: list[int], member: list[list[int]], quota: list[int],
     return flow
 
 
-def with_sizes(docs: DataFrame, text: str, sources: str, doc_id: str, seed: int) -> DataFrame:
-    """``docs`` with __size (words), __names (its sources, sorted), __pattern and __key (a seeded hash)."""
+def with_sizes(docs: DataFrame, text: str, sources: str, doc_id: str, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its size (words), names (its sources, sorted), pattern of these and key (a seeded hash), and the
+    names of these columns."""
+    name = {c: fresh(docs, c) for c in ("size", "names", "pattern", "key")}
     several = isinstance(docs.schema[sources].dataType, T.ArrayType)
-    names = F.array_sort(F.array_distinct(F.col(sources))) if several else F.array(F.col(sources))
+    own = named(sources)
+    names = F.array_sort(F.array_distinct(own)) if several else F.array(own)
     names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string"))) if several else names
     blank = is_blank()
 
@@ -108,9 +111,9 @@ def with_sizes(docs: DataFrame, text: str, sources: str, doc_id: str, seed: int)
 
         return compute
 
-    sized = with_text_columns(docs.withColumn("__text", F.col(text)), "__text", [T.StructField("__size", T.LongType())], make)
+    sized = with_text_columns(docs, text, [T.StructField(name["size"], T.LongType())], make, keep=True)
     pattern = F.to_json(F.struct(names.alias("names")), {"ignoreNullFields": "false"})
-    return sized.withColumns({"__names": names, "__pattern": pattern, "__key": F.xxhash64(F.lit(seed), doc_id, "__size")})
+    return sized.withColumns({name["names"]: names, name["pattern"]: pattern, name["key"]: F.xxhash64(F.lit(seed), named(doc_id), named(name["size"]))}), name
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -146,9 +149,6 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> Dat
     return quota.join(cuts, "pattern", "left").select("pattern", "source_size", "target", "whole", "cut")
 
 
-TIMES = "whole + coalesce(cast(__key <= cut as int), 0)"
-
-
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 17, text: str = "text", sources: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """How often each document is taken so that the sources come to their target weights.
 
@@ -164,11 +164,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     under a cut, where the words come nearest to the rest. Cuts come from sums over slices of the hash, so a pattern
     that holds a third of all documents is dealt over many tasks.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(sources).alias("source"), F.col(text).alias("text"))
-    sized = with_sizes(docs, "text", "source", "doc_id", seed)
-    sized = cut(sized.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "pattern", "names", "key"))))
-    decided = sized.join(mixing_plan(sized, weights, repeats), "pattern").withColumnRenamed("key", "__key")
-    times = F.expr(TIMES)
+    docs = docs.select(named(doc_id).alias("doc_id"), named(sources).alias("source"), named(text).alias("text"))
+    sized = cut(with_sizes(docs, "text", "source", "doc_id", seed)[0].select("doc_id", "size", "pattern", "names", "key"))
+    decided = sized.join(mixing_plan(sized, weights, repeats), "pattern")
+    times = F.col("whole") + F.coalesce((F.col("key") <= F.col("cut")).cast("int"), F.lit(0))
     return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 
@@ -177,9 +176,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repea
 
     Whether a row is taken follows from its own key and its pattern's cut, so texts are not shuffled.
     """
-    sized = with_sizes(docs, text, sources, doc_id, seed)
-    narrow = cut(with_sizes(docs.select(doc_id, sources, text), text, sources, doc_id, seed).select(*(F.col(f"__{c}").alias(c) for c in ("size", "pattern", "names", "key"))))
-    plan = cut(mixing_plan(narrow, weights, repeats)).select(F.col("pattern").alias("__pattern"), "whole", "cut")
-    joined = sized.join(plan.select("__pattern", F.struct("whole", "cut").alias("__plan")), "__pattern")
-    times = F.col("__plan.whole") + F.coalesce((F.col("__key") <= F.col("__plan.cut")).cast("int"), F.lit(0))
-    return joined.withColumn("__times", times).where("__times > 0 and __size > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    narrow = docs.select(named(doc_id).alias("doc_id"), named(sources).alias("source"), named(text).alias("text"))
+    narrow = cut(with_sizes(narrow, "text", "source", "doc_id", seed)[0].select("size", "pattern", "names", "key"))
+    plan = cut(mixing_plan(narrow, weights, repeats))
+    sized, name = with_sizes(docs, text, sources, doc_id, seed)
+    at = fresh(sized, "plan")
+    joined = sized.join(plan.select(F.col("pattern").alias(f"{at}_pattern"), F.struct("whole", "cut").alias(at)), named(name["pattern"]) == F.col(f"{at}_pattern"))
+    times = F.col(at)["whole"] + F.coalesce((named(name["key"]) <= F.col(at)["cut"]).cast("int"), F.lit(0))
+    taken = joined.withColumn(fresh(joined, "times"), times).where((times > 0) & (named(name["size"]) > 0))
+    return taken.withColumn(fresh(taken, "copy"), F.explode(F.sequence(F.lit(1), times))).select(*(named(c) for c in docs.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendloom.llm.columns import cut, of_ids, with_text_columns
+from spendloom.llm.columns import cut, fresh, named, of_ids, with_text_columns
 from spendloom.llm.components import connected_components
 from spendloom.llm.shingles import ShingleHasher, mix, odd_numbers, segment_min
 
@@ -23,7 +23,7 @@ def fixed_lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, collection: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, left_keys, right_keys) of each text.
+    """(doc_id and others, n_shingles, set_a, set_b, left_keys, right_keys) of each text.
 
     set_a and set_b are sums of two hashes over the shingle set, the same for equal sets. left_keys and right_keys are
     the two small collections: ``collection`` keys each, a key made from ``width`` minhashes.
@@ -183,7 +183,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, wi
     Rows without a doc_id are not linked: component_id null, kept false. Rows that share a doc_id are one document for
     linking only if their texts are equal; each row is returned. An empty table gives no rows.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _decided(docs, percent, collection, width, text, doc_id).drop("variant")
+
+
+def _decided(docs: DataFrame, percent: int, collection: int, width: int, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``variant``, a hash of the text."""
+    docs = docs.select(named(doc_id).alias("doc_id"), F.xxhash64(named(text)).alias("variant"), named(text).alias("text"))
     made = cut(sketches(docs, collection, width))
     live = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(live.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "left_keys", "right_keys")).alias("r")).select("n_shingles", "set_a", "set_b", F.col("r.doc_id").alias("rep"), "r.left_keys", "r.right_keys"))
@@ -201,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, wi
     star = keys.join(buckets.select("key", "leader"), "key").where("rep <> leader").select("leader", "rep", "n").distinct()
     star = cut(star.join(sizes, "leader").where(near_size).select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     met = keys.select("rep").distinct()
-    sets = cut(shingle_sets(of_ids(docs, met.select(F.col("rep").alias("doc_id")), "doc_id")))
+    sets = cut(shingle_sets(of_ids(docs.select("doc_id", "text"), met.select(F.col("rep").alias("doc_id")), "doc_id")))
     links = cut(verified(star, sets, percent))
     first = connected_components(links)
     # classes that share a left key but not yet a component
@@ -212,22 +217,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, wi
         first = connected_components(links.unionByName(rest))
     of_class = classes.select("n_shingles", "set_a", "set_b", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component_id", "rep").alias("component_id"))
-    result = made.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
+    result = made.select("doc_id", "variant", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return result.select("doc_id", "variant", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, and of equal rows one; same columns.
+def without_near_duplicates(docs: DataFrame, percent: int = 75, collection: int = 10, width: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, and of rows with equal doc_id and text one; same columns.
 
-    Rows without a doc_id stay.
+    Rows without a doc_id stay. Rows with equal doc_id and different texts are decided each.
     """
-    decided = cut(near_duplicates(docs, text=text, doc_id=doc_id, **options))
-    gone = decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    again = decided.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    if again.isEmpty():
-        return stay
-    again = cut(again)
-    once = stay.join(again, F.col(doc_id) == F.col("__again"), "left_semi").dropDuplicates([doc_id])
-    return stay.join(again, F.col(doc_id) == F.col("__again"), "left_anti").unionByName(once)
+    decided = cut(_decided(docs, percent, collection, width, text, doc_id))
+    key, variant, of = fresh(docs, "__key"), fresh(docs, "__variant"), fresh(docs, "__of")
+    own = docs.withColumn(variant, F.xxhash64(named(text)))
+    same = (named(doc_id) == F.col(key)) & (F.col(variant) == F.col(of))
+    pairs = lambda rows: rows.select(F.col("doc_id").alias(key), F.col("variant").alias(of))
+    stay = own.join(pairs(decided.where("not kept and doc_id is not null")).distinct(), same, "left_anti")
+    again = cut(pairs(decided.where("kept")).groupBy(key, of).count().where("count > 1").drop("count"))
+    if not again.isEmpty():
+        once = stay.join(again, same, "left_semi").dropDuplicates([doc_id, variant])
+        stay = stay.join(again, same, "left_anti").unionByName(once)
+    return stay.select(*(named(c) for c in docs.columns))

@@ -3,22 +3,93 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from spendloom.llm.columns import with_text_columns
+from spendloom.llm.columns import fresh, named, with_text_columns
 
 #: Fixed shape of the network: chunks of CHUNK windows which overlap by OVERLAP, windows of WIDTH bytes, every STRIDE.
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 64, 8, 2
 FILTERS, HIDDEN, EMBED = 32, 12, 6
+#: Responses are computed for so many windows at a time, whatever the length of a text.
+PART = 1 << 15
+
+
+class Windows:
+    """Where the windows of a block of texts lie, and the chunks that they form.
+
+    Window k of a text covers its bytes from k * STRIDE; every byte lies in a window, and an empty text is one window of
+    padding. Windows are numbered through all texts. They are pooled in pieces of OVERLAP windows first, and chunks are
+    runs of pieces, so that windows which two chunks share are computed once.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        size = np.diff(offsets)
+        n = np.maximum(1, -(-(size - WIDTH) // STRIDE) + 1)
+        self.bounds = np.concatenate([[0], np.cumsum(n)])
+        # bytes two by two; each text has the pairs of its last window, padded with zero bytes, so none reads the next text
+        base = STRIDE * (self.bounds[:-1] + (WIDTH // STRIDE - 1) * np.arange(len(n)))
+        padded = np.zeros(STRIDE * (self.bounds[-1] + (WIDTH // STRIDE - 1) * len(n)), np.uint8)
+        view = memoryview(np.ascontiguousarray(data))
+        for at, low, high in zip(base.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            padded[at : at + high - low] = np.frombuffer(view[low:high], np.uint8)
+        self.padded = padded
+        pairs = padded.view("<u2")
+        there = np.zeros(1 << 16, bool)
+        there[pairs] = True
+        #: the pairs of bytes that occur, and the number among them of each pair of the texts
+        self.codes = np.flatnonzero(there)
+        number = np.zeros(1 << 16, np.int32)
+        number[self.codes] = np.arange(len(self.codes))
+        self.pairs = number[pairs]
+        pieces = -(-n // OVERLAP)
+        self.piece_text = np.repeat(np.arange(len(n)), pieces)
+        first = np.cumsum(pieces) - pieces
+        self.piece_low = self.bounds[self.piece_text] + OVERLAP * (np.arange(len(self.piece_text)) - first[self.piece_text])
+        chunks = np.maximum(1, -(-(n - OVERLAP) // (CHUNK - OVERLAP)))
+        self.text = np.repeat(np.arange(len(n)), chunks)
+        self.first = np.cumsum(chunks) - chunks
+        self.count = chunks
+        nth = np.arange(len(self.text)) - self.first[self.text]
+        step, whole = (CHUNK - OVERLAP) // OVERLAP, CHUNK // OVERLAP
+        self.chunk_low = first[self.text] + step * nth
+        self.chunk_high = np.minimum(self.chunk_low + whole, (first + pieces)[self.text])
+        self.filled = np.minimum(CHUNK, n[self.text] - (CHUNK - OVERLAP) * nth) / CHUNK
+
+    def pair_of(self, low: int, high: int) -> np.ndarray:
+        """The first pair of each of the windows from ``low`` to ``high``."""
+        a, b = np.searchsorted(self.bounds, [low, high], side="right") - [1, 0]
+        b = max(a + 1, int(np.searchsorted(self.bounds, high, side="left")))
+        per = np.diff(np.clip(self.bounds[a : b + 1], low, high))
+        return np.arange(low, high) + (WIDTH // STRIDE - 1) * np.repeat(np.arange(a, b), per)
+
+    def responses(self, tables: np.ndarray, low: int, high: int) -> np.ndarray:
+        """[window, filter] from ``low`` to ``high``; ``tables`` has a number for each pair that occurs at each place."""
+        at = self.pair_of(low, high)
+        total = np.take(tables[0], self.pairs[at], axis=0)
+        part = np.empty_like(total)
+        for k in range(1, len(tables)):
+            total += np.take(tables[k], self.pairs[at + k], axis=0, out=part, mode="clip")
+        return total
+
+    def piece_maxima(self, tables: np.ndarray) -> np.ndarray:
+        """[piece, filter]: the largest response in each piece."""
+        out = np.empty((len(self.piece_low), tables.shape[2]), tables.dtype)
+        ends = np.append(self.piece_low[1:], self.bounds[-1])
+        step = PART // OVERLAP
+        for k in range(0, len(out), step):
+            low, high = int(self.piece_low[k]), int(ends[min(k + step, len(out)) - 1])
+            out[k : k + step] = np.maximum.reduceat(self.responses(tables, low, high), self.piece_low[k : k + step] - low, axis=0)
+        return out
 
 
 class Network:
     """Filters over byte windows, max-pooled in each chunk; chunks combined by max and mean into one probability.
 
     A filter is a table of one number for each byte at each place of the window (a byte embedding times the kernel),
-    so its response is a sum of WIDTH look-ups.
+    so its response is a sum of look-ups; the tables of two neighbouring places are added up beforehand.
     """
 
     def __init__(self, seed: int = 7):
@@ -34,79 +105,61 @@ class Network:
             "b2": np.zeros(1),
         }
 
-    def tables(self) -> np.ndarray:
-        """[place, byte, filter]"""
-        return np.einsum("be,kef->kbf", self.p["embed"], self.p["kernel"])
+    def tables(self, codes: np.ndarray, dtype: type) -> np.ndarray:
+        """[pair of places, pair of bytes, filter]"""
+        one = np.einsum("be,kef->kbf", self.p["embed"], self.p["kernel"])
+        return (one[0::2][:, codes & 255] + one[1::2][:, codes >> 8]).astype(dtype)
 
-    @staticmethod
-    def chunks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window range of each chunk, and the text of each chunk. Window k covers bytes from k * STRIDE of its text;
-        every byte of a text lies in a window, and an empty text is one window of padding."""
-        size = np.diff(offsets)
-        windows = np.maximum(1, -(-(size - WIDTH) // STRIDE) + 1)
-        per = np.maximum(1, -(-(windows - OVERLAP) // (CHUNK - OVERLAP)))
-        text = np.repeat(np.arange(len(size)), per)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        low = nth * (CHUNK - OVERLAP)
-        return low, np.minimum(low + CHUNK, windows[text]), text
-
-    def forward(self, tables: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict]:
-        low, high, text = self.chunks(offsets)
-        n = high - low
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        # texts are padded with zero bytes at their end, so windows never read the next text
-        size = np.diff(offsets)
-        room = np.maximum(WIDTH, size + WIDTH)
-        base = np.concatenate([[0], np.cumsum(room)])
-        padded = np.zeros(base[-1], np.uint8)
-        view = memoryview(data)
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            padded[base[k] : base[k] + b - a] = np.frombuffer(view[a:b], np.uint8)
-        at = np.repeat(base[text] + low * STRIDE - STRIDE * bounds[:-1], n) + STRIDE * np.arange(bounds[-1])
-        response = tables[0][padded[at]]
-        for k in range(1, WIDTH):
-            response += tables[k][padded[at + k]]
-        pooled = np.maximum.reduceat(response, bounds[:-1], axis=0)
-        z = np.concatenate([np.maximum(pooled + self.p["bias"], 0), (n / CHUNK)[:, None]], axis=1)
+    def forward(self, w: Windows, dtype: type = np.float32) -> tuple[np.ndarray, dict]:
+        """Logit of each text, and what the gradient needs. Memory follows the texts' bytes, not the responses."""
+        tables = self.tables(w.codes, dtype)
+        pieces = w.piece_maxima(tables)
+        spans = np.stack([w.chunk_low, w.chunk_high], axis=1).ravel()
+        pooled = np.maximum.reduceat(np.concatenate([pieces, np.full((1, FILTERS), -np.inf, dtype)]), spans, axis=0)[::2].astype(np.float64)
+        z = np.concatenate([np.maximum(pooled + self.p["bias"], 0), w.filled[:, None]], axis=1)
         h = np.maximum(z @ self.p["w1"] + self.p["b1"], 0)
-        first = np.searchsorted(text, np.arange(len(size)))
-        top = np.maximum.reduceat(h, first, axis=0)
-        count = np.diff(np.append(first, len(text)))[:, None]
-        mean = np.add.reduceat(h, first, axis=0) / count
-        doc = np.concatenate([top, mean], axis=1)
-        logit = doc @ self.p["w2"] + self.p["b2"]
-        return logit, {"response": response, "pooled": pooled, "z": z, "h": h, "doc": doc, "top": top, "at": at, "padded": padded, "bounds": bounds, "text": text, "count": count}
-
-    def gradient(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        """Loss and its gradient; a maximum passes its gradient to the first place that reaches it."""
-        logit, c = self.forward(self.tables(), data, offsets)
+        top = np.maximum.reduceat(h, w.first, axis=0)
+        doc = np.concatenate([top, np.add.reduceat(h, w.first, axis=0) / w.count[:, None]], axis=1)
+        return doc @ self.p["w2"] + self.p["b2"], {"tables": tables, "pieces": pieces, "pooled": pooled, "z": z, "h": h, "doc": doc, "top": top}
+
+    def gradient(self, w: Windows, y: np.ndarray, weight: np.ndarray, dtype: type = np.float32) -> tuple[float, dict]:
+        """Loss and its gradient; a maximum passes its gradient to the first window that reaches it."""
+        logit, c = self.forward(w, dtype)
         prob = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         loss = -(weight * (y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))).sum() / weight.sum()
         g = {}
         d = weight * (prob - y) / weight.sum()
         g["w2"], g["b2"] = c["doc"].T @ d, np.array([d.sum()])
         d_doc = d[:, None] * self.p["w2"]
-        text = c["text"]
-        is_top = c["h"] == c["top"][text]
-        share = np.add.reduceat(is_top.astype(float), np.searchsorted(text, np.arange(len(y))), axis=0)
-        d_h = is_top / share[text] * d_doc[text, :HIDDEN] + (d_doc[:, HIDDEN:] / c["count"])[text]
+        is_top = c["h"] == c["top"][w.text]
+        share = np.add.reduceat(is_top.astype(float), w.first, axis=0)
+        d_h = is_top / share[w.text] * d_doc[w.text, :HIDDEN] + (d_doc[:, HIDDEN:] / w.count[:, None])[w.text]
         d_h *= c["h"] > 0
         g["w1"], g["b1"] = c["z"].T @ d_h, d_h.sum(0)
         d_z = ((d_h @ self.p["w1"].T) * (c["z"] > 0))[:, :FILTERS]
         g["bias"] = d_z.sum(0)
-        # the window that gave each chunk's maximum
-        n = np.diff(c["bounds"])
-        hit = c["response"] == np.repeat(c["pooled"], n, axis=0)
+        # the piece, then the window, that gave each chunk's maximum
+        whole = CHUNK // OVERLAP
+        near = np.minimum(w.chunk_low[:, None] + np.arange(whole), w.chunk_high[:, None] - 1)
+        piece = np.take_along_axis(near, (c["pieces"][near] == c["pooled"][:, None, :]).argmax(axis=1), axis=1)
+        used, place = np.unique(piece, return_inverse=True)
+        place = place.reshape(piece.shape)
+        ends = np.append(w.piece_low[1:], w.bounds[-1])
+        at = np.empty(piece.shape, np.int64)  # first pair of that window
+        for k in range(0, len(used), PART // OVERLAP):
+            own = used[k : k + PART // OVERLAP]
+            pair = np.minimum(w.piece_low[own][:, None] + np.arange(OVERLAP), ends[own][:, None] - 1)
+            pair = pair + (WIDTH // STRIDE - 1) * w.piece_text[own][:, None]
+            response = sum(c["tables"][j][w.pairs[pair + j]] for j in range(len(c["tables"])))
+            best = np.take_along_axis(pair, response.argmax(axis=1), axis=1)
+            r, f = np.nonzero((place >= k) & (place < k + len(own)))
+            at[r, f] = best[place[r, f] - k, f]
         g["embed"], g["kernel"] = np.zeros_like(self.p["embed"]), np.zeros_like(self.p["kernel"])
-        for f in range(FILTERS):
-            where = np.flatnonzero(hit[:, f])
-            chunk = np.searchsorted(c["bounds"], where, side="right") - 1
-            _, once = np.unique(chunk, return_index=True)
-            where = where[once]
-            for k in range(WIDTH):
-                byte = c["padded"][c["at"][where] + k]
-                g["kernel"][k, :, f] += d_z[:, f] @ self.p["embed"][byte]
-                np.add.at(g["embed"], byte, d_z[:, f, None] * self.p["kernel"][k, :, f])
+        for k in range(WIDTH):
+            byte = w.padded[STRIDE * at + k].astype(np.int64)
+            by_byte = np.bincount((byte * FILTERS + np.arange(FILTERS)).ravel(), d_z.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+            g["kernel"][k] = self.p["embed"].T @ by_byte
+            g["embed"] += by_byte @ self.p["kernel"][k].T
         return float(loss), g
 
 
@@ -139,8 +192,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int, prior: float = 0.5,
             pick = order[low : low + batch]
             own = [texts[k] for k in pick]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in own])])
-            data = np.frombuffer(b"".join(own), np.uint8)
-            _, g = net.gradient(data, offsets, labels[pick], weights[pick])
+            _, g = net.gradient(Windows(np.frombuffer(b"".join(own), np.uint8), offsets), labels[pick], weights[pick])
             step += 1
             rate = 0.02 * (1 - step / (total + 1)) + 0.001
             for k in net.p:
@@ -150,68 +202,67 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int, prior: float = 0.5,
     return net
 
 
-def held_out(doc_id: str = "doc_id"):
+def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that labels are never learnt from: crc32 of the id as text, modulo 3, is 1."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(named(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 5000, epochs: int = 8, text: str = "text", label: str = "quality", doc_id: str = "doc_id") -> Network | None:
-    """Fits the network on at most ``sample_rows`` labelled rows that are not held out (None without both labels).
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 24 << 20, epochs: int = 8, text: str = "text", label: str = "quality", doc_id: str = "doc_id") -> Network | None:
+    """Fits the network on a bounded sample of labelled rows that are not held out (None without both labels).
 
-    The bound is this parameter: half the rows from each label, in order of a hash of the id. A training text over
-    ``sample_bytes`` gives that many of its bytes from a place chosen by the hash; scoring always reads whole texts.
+    The bounds are parameters: at most ``sample_rows`` rows, half from each label, in order of a hash of the id, and of
+    those as many as come to ``sample_bytes``, leaving out rows of over a hundredth of that. Texts in the sample are
+    whole; scoring reads all texts whole.
     """
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y"), F.min(label).alias("y0")).where("y = y0").where(~held_out(doc_id))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(11), doc_id))
+    key = named(doc_id)
+    rows = labels.where(named(label).isin(0, 1) & key.isNotNull()).groupBy(key.alias("id")).agg(F.max(named(label)).alias("y"), F.min(named(label)).alias("y0")).where("y = y0").where(~held_out("id"))
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(11), "id"))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     prior = min(0.9, max(0.1, counts.get(1, 0) / max(1, sum(counts.values()))))
-    picked = [x for y in (0, 1) for x in rows.where(F.col("y") == y).orderBy("draw", doc_id).limit(sample_rows // 2).collect()]
+    picked = [x for y in (0, 1) for x in rows.where(F.col("y") == y).orderBy("draw", "id").limit(sample_rows // 2).collect()]
     if len({x["y"] for x in picked}) < 2:
         return None
     spark = docs.sparkSession
-    few = spark.createDataFrame([(x[doc_id], float(x["y"])) for x in picked], T.StructType([T.StructField("key", labels.schema[doc_id].dataType), T.StructField("y", T.DoubleType())]))
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    size = F.octet_length(text)
-    low = F.when(size > sample_bytes, F.pmod(F.xxhash64(doc_id), size - sample_bytes)).otherwise(0)
-    own = docs.join(F.broadcast(few), F.col(doc_id) == F.col("key")).select("key", "y", F.substring(raw, low.cast("int") + 1, F.lit(sample_bytes)).alias("bytes"))  # at most sample_rows rows
-    seen = {r["key"]: (bytes(r["bytes"]), r["y"]) for r in own.orderBy("key", "bytes").collect()}
-    keys = sorted(seen)
-    y = np.array([seen[k][1] for k in keys])
-    return fit([seen[k][0] for k in keys], y, epochs, prior) if len(set(y)) == 2 else None
+    few = spark.createDataFrame([(x["id"], float(x["y"]), x["draw"]) for x in picked], T.StructType([T.StructField("key", labels.schema[doc_id].dataType), T.StructField("y", T.DoubleType()), T.StructField("draw", T.LongType())]))
+    own = docs.select(key.alias("id"), F.coalesce(named(text), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes // 100)
+    own = own.join(F.broadcast(few), F.col("id") == F.col("key")).groupBy("key").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("draw").alias("draw"))  # at most sample_rows rows
+    running = F.sum(F.octet_length("text")).over(Window.orderBy("draw", "key"))
+    seen = own.withColumn("running", running).where(F.col("running") <= sample_bytes).select("text", "y").collect()
+    y = np.array([x["y"] for x in seen])
+    return fit([x["text"].encode() for x in seen], y, epochs, prior) if len(set(y)) == 2 else None
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5, **training) -> DataFrame:
-    """Quality of every whole text: the columns of ``docs`` and score (0 to 1), predicted (1 if score >= threshold).
+def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5, score: str = "score", predicted: str = "predicted", **training) -> DataFrame:
+    """Quality of every whole text: the columns of ``docs``, ``score`` (0 to 1) and ``predicted`` (1 if score >=
+    ``threshold``, else 0).
 
     Trained by ``train`` on labelled rows that are not held out; ids, languages and sources are no inputs. Texts are
-    read whole in overlapping chunks. A null or empty text is one window of padding and has a score like any other;
-    without usable labels of both kinds every score is 0.5. Repeated rows score alike; an empty table gives no rows.
-    Columns of ``docs`` named score or predicted are replaced.
+    read whole in overlapping chunks, a bounded number of windows at a time. A null or empty text is one window of
+    padding and has a score like any other; without usable labels of both kinds every score is 0.5. Repeated rows score
+    alike; an empty table gives no rows. Columns of ``docs`` with the names of the two added ones are replaced, so give
+    other names to keep them.
     """
     net = train(docs, labels, text=text, doc_id=doc_id, **training)
-    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))
-    added = [T.StructField("score", T.DoubleType())]
+    kept = docs.select(*(named(c) for c in docs.columns if c.lower() not in (score.lower(), predicted.lower())))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
-    copied = kept.withColumn("__text", F.col(text))
 
     def make():
         model = shared.value
-        tables = None if model is None else model.tables().astype(np.float32)
 
         def compute(data: np.ndarray, offsets: np.ndarray) -> list:
-            if model is None or len(offsets) < 2:
+            if model is None:
                 return [np.full(len(offsets) - 1, 0.5)]
-            # in parts, which bounds the memory of the responses
-            out, low = [], 0
-            while low < len(offsets) - 1:
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (1 << 18), side="right")) - 1)
-                own = offsets[low : high + 1]
-                logit, _ = model.forward(tables, data[own[0] : own[-1]], own - own[0])
-                out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-                low = high
-            return [np.concatenate(out).astype(np.float64)]
+            logit, _ = model.forward(Windows(data, offsets))
+            return [1 / (1 + np.exp(-np.clip(logit, -30, 30)))]
 
         return compute
 
-    scored = with_text_columns(copied, "__text", added, make)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = with_text_columns(kept, text, [T.StructField(score, T.DoubleType())], make, keep=True)
+    return scored.select(*(named(c) for c in kept.columns), named(score), (named(score) >= threshold).cast("int").alias(predicted))
+
+
+def without_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` predicts 1 for, in the same columns, whatever their names."""
+    score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
+    scored = score_quality(docs, labels, score=score, predicted=predicted, **options)
+    return scored.where(named(predicted) == 1).select(*(named(c) for c in docs.columns))

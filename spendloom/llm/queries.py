@@ -14,7 +14,7 @@ from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.nearest import nearest_vectors
 from spendloom.llm.packing import pack_documents
 from spendloom.llm.quality import held_out, score_quality
-from spendloom.llm.repeats import repeated_paragraphs
+from spendloom.llm.repeats import repeated_passages
 from spendloom.llm.sharding import shard_by_bytes
 from spendloom.llm.token_counts import token_counts
 
@@ -36,7 +36,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

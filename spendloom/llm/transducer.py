@@ -10,7 +10,8 @@ state each chunk really starts in; a second pass from those states emits the cut
 *Merger.* Inside a pretoken the canonical tokenization of a prefix has one last token, and it is decided by the
 tokens that end at the start of each vocabulary entry which is still being read. A state is that tuple, so reading a
 byte is a deterministic transition, annotated with the change in the number of tokens of the prefix. Transitions are
-compiled when first met, kept per worker process, and dropped when ``max_states`` is reached, which bounds memory.
+compiled when first met and kept per worker process. When ``max_states`` is reached, states that no later batch came
+back to are dropped, which bounds memory.
 All pretokens of a batch advance in step, one numpy gather per byte position.
 """
 
@@ -180,7 +181,7 @@ class Merger:
 
     START = -1
 
-    def __init__(self, merges: list[tuple[int, int, int]], byte_ids: dict[int, int], token_bytes: dict[int, bytes], max_states: int = 200_000):
+    def __init__(self, merges: list[tuple[int, int, int]], byte_ids: dict[int, int], token_bytes: dict[int, bytes], max_states: int = 100_000):
         """merges: (left id, right id, merged id) by rank."""
         self.max_states = max_states
         self.rank = {a << 32 | b: r for r, (a, b, _) in enumerate(merges)}
@@ -249,13 +250,41 @@ class Merger:
         first = array("i", (0, self.START, 0)).tobytes()
         self.ids = {first: 0}
         self.states = [first]
-        self.known.clear()
-        size = 1 << 14
+        if len(self.known) > 2 * self.max_states:
+            self.known.clear()
+        size = 1 << 12
         self.last = np.zeros(size, np.int32)
-        self.page = np.zeros(size * 8, np.int64)  # [state, byte // 32] -> page
-        self.to = np.full((size, 32), -1, np.int64)  # page -> next state
+        self.made, self.seen = np.zeros(size, np.int32), np.zeros(size, np.int32)  # batch that made a state, that met it last
+        self.page = np.zeros(size * 8, np.int32)  # [state, byte // 32] -> page
+        self.to = np.full((size, 32), -1, np.int32)  # page -> next state
         self.delta = np.zeros((size, 32), np.int8)  # emitted tokens of the transition
-        self.n_pages = 1
+        self.n_pages, self.batch = 1, 0
+
+    def shrink(self) -> None:
+        """Keeps the states that a later batch came back to, at most half of ``max_states``, the latest ones."""
+        n = len(self.states)
+        seen = np.where(self.seen[:n] > self.made[:n], self.seen[:n], -1)
+        seen[0] = self.batch + 1
+        kept = np.sort(np.argsort(-seen, kind="stable")[: self.max_states // 2])
+        kept = kept[seen[kept] >= 0]
+        number = np.full(n + 1, -1, np.int32)
+        number[kept] = np.arange(len(kept))
+        old = [self.states[k] for k in kept.tolist()]
+        pages = self.page.reshape(-1, 8)[kept]
+        used = np.flatnonzero(pages)
+        to, delta = self.to[pages.ravel()[used]], self.delta[pages.ravel()[used]]
+        last, batch, seen = self.last[kept], self.batch, self.seen[kept]
+        self.reset()
+        self.batch, self.states, self.ids = batch, old, {s: k for k, s in enumerate(old)}
+        size = 1 << max(12, int(len(kept) * 1.25).bit_length())
+        self.last, self.seen, self.made = (np.resize(np.append(x, np.zeros(size - len(kept), np.int32)), size).astype(np.int32) for x in (last, seen, np.full(len(kept), -1)))
+        self.page = np.zeros(size * 8, np.int32)
+        self.page[used] = np.arange(1, len(used) + 1)
+        self.n_pages = len(used) + 1
+        room = self.n_pages + self.n_pages // 4 + 1
+        self.to, self.delta = np.full((room, 32), -1, np.int32), np.zeros((room, 32), np.int8)
+        self.to[1 : self.n_pages] = number[to]
+        self.delta[1 : self.n_pages] = delta
 
     def _compile(self, state: int, byte: int) -> None:
         packed = array("i", self.states[state])
@@ -281,17 +310,20 @@ class Merger:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
             if to >= len(self.last):
-                self.last = np.append(self.last, np.zeros_like(self.last))
-                self.page = np.append(self.page, np.zeros_like(self.page))
+                more = np.zeros(len(self.last) // 2, np.int32)
+                self.last, self.made, self.seen = (np.append(x, more) for x in (self.last, self.made, self.seen))
+                self.page = np.append(self.page, np.zeros(8 * len(more), np.int32))
             self.last[to] = last
+            self.made[to] = self.batch
         slot = state * 8 + (byte >> 5)
         page = self.page[slot]
         if page == 0:
             page = self.page[slot] = self.n_pages
             self.n_pages += 1
             if page >= len(self.to):
-                self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
-                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
+                more = len(self.to) // 2
+                self.to = np.concatenate([self.to, np.full((more, 32), -1, np.int32)])
+                self.delta = np.concatenate([self.delta, np.zeros((more, 32), np.int8)])
         self.to[page, byte & 31] = to
         self.delta[page, byte & 31] = tally
 
@@ -299,19 +331,20 @@ class Merger:
         """Index of each transition in the page arrays, compiled where it is new."""
         high, low = byte >> 5, byte & 31
         page = self.page[state * 8 + high]
-        at = page * 32 + low
+        at = page.astype(np.int64) * 32 + low
         # page 0 stays empty, so a missing page reads as a missing transition
         new = np.flatnonzero(self.to.ravel()[at] < 0)
         if new.size:
             for key in np.unique(state[new].astype(np.int64) << 8 | byte[new]):
                 self._compile(int(key >> 8), int(key & 255))
-            at[new] = self.page[state[new] * 8 + high[new]] * 32 + low[new]
+            at[new] = self.page[state[new] * 8 + high[new]].astype(np.int64) * 32 + low[new]
         return at
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, trace: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens in each pretoken, and with ``trace`` the last token after every byte of ``data``."""
         if len(self.states) > self.max_states:
-            self.reset()
+            self.shrink()
+        self.batch += 1
         size = (ends - starts).astype(np.int32)
         # 16-bit keys are radix-sorted
         order = np.argsort((0xFFFF - size).astype(np.uint16) if size.max(initial=0) <= 0xFFFF else -size, kind="stable")
@@ -324,6 +357,7 @@ class Merger:
             pos = first[:n] + k
             at = self._step(state[:n], data[pos].astype(np.int64))
             state[:n] = self.to.ravel()[at]
+            self.seen[state[:n]] = self.batch
             total[:n] += self.delta.ravel()[at]
             if trace:
                 last[pos] = self.last[state[:n]]
@@ -342,7 +376,7 @@ def byte_alphabet() -> dict[str, int]:
 class Tokenizer:
     """A vocabulary file's splitter, merger and special strings."""
 
-    def __init__(self, spec: str, max_states: int = 200_000):
+    def __init__(self, spec: str, max_states: int = 100_000):
         """spec: the text of a tokenizer file with byte-level BPE, no normalizer and the usual word pattern."""
         doc = json.loads(spec)
         model, pre = doc["model"], doc["pre_tokenizer"]

@@ -11,7 +11,7 @@ from spendloom.llm.licences import TEMPLATES, scan_licences
 from spendloom.llm.mixing import min_cost_flow, mix_sources, mixed_documents, water_fill
 from spendloom.llm.near_dedup import near_duplicates, without_near_duplicates
 from spendloom.llm.quality import held_out, score_quality
-from spendloom.llm.repeats import repeated_paragraphs, without_repeats
+from spendloom.llm.repeats import repeated_passages, without_repeats
 from spendloom.llm.sharding import shard_by_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -108,7 +108,7 @@ def passages(seed=3):
 def test_repeats_are_found_and_clean_documents_left_alone(spark):
     texts, shared = passages()
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
-    rows = repeated_paragraphs(df).collect()
+    rows = repeated_passages(df).collect()
     first = {s: min(i for i in texts if s in texts[i]) for s in shared}
     hit = defaultdict(int)
     for r in rows:
@@ -129,13 +129,13 @@ def test_repeats_are_found_and_clean_documents_left_alone(spark):
 
 def test_repeats_edges(spark):
     df = spark.createDataFrame([(1, None, None, None, None), (None, "a " * 50, "", "", 0), (2, "", "", "", 0)], SCHEMA)
-    assert repeated_paragraphs(df).count() == 0
+    assert repeated_passages(df).count() == 0
     assert without_repeats(df).count() == 3
-    assert repeated_paragraphs(df.limit(0)).count() == 0
+    assert repeated_passages(df.limit(0)).count() == 0
     same = " ".join(words(80, 9, 100_000))
     twice = spark.createDataFrame([(5, same, "", "", 0), (6, same, "", "", 0), (7, same, "", "", 0)], SCHEMA)
     assert {r.doc_id for r in without_repeats(twice).collect()} == {5}
-    assert {(r.doc_id, r.kept_doc_id) for r in repeated_paragraphs(twice).collect()} == {(6, 5), (7, 5)}
+    assert {(r.doc_id, r.kept_doc_id) for r in repeated_passages(twice).collect()} == {(6, 5), (7, 5)}
 
 
 def test_repeats_on_given_documents(spark):
