@@ -10,13 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from spendloom.llm.columns import bound_batches, cut, fresh, map_arrow, named, of_ids, split_of_ids, text_blocks, with_text_columns
 from spendloom.llm.components import connected_components
-from spendloom.llm.near_dedup import LONGS, links_left, verified
+from spendloom.llm.near_dedup import links_left, verified
 from spendloom.llm.shingles import ShingleHasher, distinct, mix, odd_numbers
 
-PARAGRAPHS = T.ArrayType(T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("fp", T.LongType())]))
+PARAGRAPHS = T.ArrayType(T.StructType([T.StructField("paragraph", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("fp", T.LongType())]))
 #: Sides of a paragraph.
 LEFT, RIGHT = 0, 1
 
@@ -159,7 +160,7 @@ class Paragraphs:
 
 
 def paragraph_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """(doc_id, variant, paragraph, fp) of each paragraph."""
+    """(doc_id, variant, paragraph, n_words, fp) of each paragraph."""
 
     def make():
         cutter = Paragraphs(*shape)
@@ -167,7 +168,7 @@ def paragraph_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
         def compute(data: np.ndarray, offsets: np.ndarray) -> list:
             p = cutter(data, offsets)
             ends = np.searchsorted(p["text"], np.arange(len(offsets)))
-            parts = [p["nth"].astype(np.int32), p["fp"].view(np.int64)]
+            parts = [p["nth"].astype(np.int32), p["words"].astype(np.int32), p["fp"].view(np.int64)]
             each = pa.StructArray.from_arrays([pa.array(x) for x in parts], names=[f.name for f in PARAGRAPHS.elementType.fields])
             return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)]
 
@@ -192,7 +193,7 @@ def band_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
 
 
 def paragraph_sets(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """(fp, shingles) of each paragraph of ``docs``."""
+    """(fp, shingles) of each paragraph of ``docs``; its few shingles are told apart by 32 bits of their hashes."""
 
     def make():
         cutter = Paragraphs(*shape)
@@ -200,13 +201,13 @@ def paragraph_sets(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
         def compute(data: np.ndarray, offsets: np.ndarray) -> list:
             p = cutter(data, offsets)
             values, bounds = distinct(*cutter.runs(p, np.arange(len(p["fp"]))))
-            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.uint32).view(np.int32)))
             each = pa.StructArray.from_arrays([pa.array(p["fp"].view(np.int64)), sets], names=["fp", "shingles"])
             return [pa.ListArray.from_arrays(pa.array(np.searchsorted(p["text"], np.arange(len(offsets))), pa.int32()), each)]
 
         return compute
 
-    field = T.ArrayType(T.StructType([T.StructField("fp", T.LongType()), T.StructField("shingles", LONGS)]))
+    field = T.ArrayType(T.StructType([T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.IntegerType()))]))
     return with_text_columns(docs, "text", [T.StructField("p", field)], make).select(F.inline("p"))
 
 
@@ -264,15 +265,19 @@ def repeated_components(docs: DataFrame, shape: tuple[int, int, int], percent: i
     return named_.select("fp", "component_id").join(whole.select("component_id", "kept_doc_id"), "component_id")
 
 
-def marked_documents(docs: DataFrame, shape: tuple[int, int, int], percent: int, min_run: int) -> DataFrame:
+def marked_documents(docs: DataFrame, shape: tuple[int, int, int], percent: int, min_found: int, min_run: int) -> DataFrame:
     """(doc_id, variant, marks, beside): the repeated paragraphs of each document that has any, in order, and the words
     beside the kept copies of those that begin or end a run. ``docs`` has doc_id, variant and text."""
-    found = paragraph_rows(docs, shape).join(repeated_components(docs, shape, percent), "fp")
+    found = cut(paragraph_rows(docs, shape).join(repeated_components(docs, shape, percent), "fp"))
     kept = found.where(F.col("doc_id") == F.col("kept_doc_id")).groupBy("component_id").agg(F.min(F.struct("variant", "paragraph")).alias("k"))
     found = found.join(kept.select("component_id", F.col("k.variant").alias("kept_variant"), F.col("k.paragraph").alias("kept_paragraph")), "component_id")
     itself = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("variant") == F.col("kept_variant")) & (F.col("paragraph") == F.col("kept_paragraph"))
+    found = found.where(~itself).distinct()
+    # repeats in a row have consecutive numbers
+    run = F.col("paragraph") - F.row_number().over(Window.partitionBy("doc_id", "variant").orderBy("paragraph"))
+    found = found.withColumn("run", run).withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "variant", "run")))
     mark = F.struct("paragraph", "component_id", "kept_doc_id", "kept_variant", "kept_paragraph")
-    marks = cut(found.where(~itself).groupBy("doc_id", "variant").agg(F.array_sort(F.collect_set(mark)).alias("marks")))
+    marks = cut(found.where(F.col("run_words") >= min_found).groupBy("doc_id", "variant").agg(F.array_sort(F.collect_set(mark)).alias("marks")))
 
     def edges(side: int):
         step = -1 if side == LEFT else 1
@@ -310,13 +315,13 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, percent: int = 75, reach: int = 7, min_words: int = 8, bands: int = 3, min_run: int = 50, gap: int = 2, text: str = "text", doc_id: str = "doc_id",
+    docs: DataFrame, percent: int = 75, reach: int = 7, min_words: int = 8, bands: int = 3, min_found: int = 12, min_run: int = 50, gap: int = 2, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """One row per span to remove: doc_id, passage, start, length, n_words, component_id, kept_doc_id.
 
     Paragraphs (see ``Paragraphs``) are linked if their sets of 5-word shingles have 100 * intersection >= ``percent``
     * union. Of each component that more than one document has, the first paragraph of the smallest doc_id stays; the
-    others are repeats. Repeats in a row are a run, which grows at both ends word by word as far as its text equals
+    others are repeats. Repeats in a row are a run; one of ``min_found`` words or more grows at both ends word by word as far as its text equals
     that of the kept copy, by ``min_run`` words at most, so that a passage need not begin and end at a cut. Runs with
     ``gap`` words or fewer between them are one passage; passages of ``min_run`` words or more are listed. So shorter
     repeats, such as common lines, stay: what is sought is passages of at least ``min_run`` words.
@@ -333,7 +338,7 @@ def repeated_passages(
     """
     shape = (reach, min_words, bands)
     docs = _keyed(docs, text, doc_id)
-    marked = marked_documents(docs, shape, percent, min_run)
+    marked = marked_documents(docs, shape, percent, min_found, min_run)
     texts = of_ids(docs, marked.select("doc_id").distinct(), "doc_id").join(marked, ["doc_id", "variant"]).select("doc_id", "marks", "beside", "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("passage", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "n_words", "component_id", "kept_doc_id"))])
 
@@ -346,7 +351,7 @@ def repeated_passages(
 
 
 def without_repeats(
-    docs: DataFrame, percent: int = 75, reach: int = 7, min_words: int = 8, bands: int = 3, min_run: int = 50, gap: int = 2, text: str = "text", doc_id: str = "doc_id", size: str | None = "n_chars",
+    docs: DataFrame, percent: int = 75, reach: int = 7, min_words: int = 8, bands: int = 3, min_found: int = 12, min_run: int = 50, gap: int = 2, text: str = "text", doc_id: str = "doc_id", size: str | None = "n_chars",
 ) -> DataFrame:
     """``docs`` without their repeated passages, same columns; ``size``, if it is a column, counts characters anew.
 
@@ -354,7 +359,7 @@ def without_repeats(
     null text or doc_id. Texts without a repeat are not moved.
     """
     shape = (reach, min_words, bands)
-    marked = marked_documents(_keyed(docs, text, doc_id), shape, percent, min_run)
+    marked = marked_documents(_keyed(docs, text, doc_id), shape, percent, min_found, min_run)
     touched, rest = split_of_ids(docs, marked.select("doc_id").distinct(), doc_id)
     variant, key, of, marks, beside, changed = (fresh(docs, f"__{c}") for c in ("variant", "key", "of", "marks", "beside", "changed"))
     joined = touched.withColumn(variant, F.hash(named(text))).join(marked.toDF(key, of, marks, beside), (named(doc_id) == F.col(key)) & (F.col(variant) == F.col(of)), "left")
