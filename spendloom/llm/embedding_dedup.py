@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.llm.columns import cut
+from spendloom.llm.columns import cut, named
 from spendloom.llm.components import connected_components
 from spendloom.llm.vectors import matrix, usable, with_class_key
 
@@ -19,7 +19,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def k_means(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Unit centers of ``sample`` (unit rows), from a farthest-first start over a shuffled sample."""
+    """Unit centers of ``sample`` (unit rows), from a start drawn by a seed."""
     r = np.random.default_rng(5)
     centers = sample[r.permutation(len(sample))[:k]].copy()
     for _ in range(rounds):
@@ -50,58 +50,82 @@ def near_cells(v: np.ndarray, centers: np.ndarray, reach: float) -> tuple[np.nda
     return home, inside
 
 
-def robust_prune(v: np.ndarray, pool: np.ndarray, degree: int, alpha: float, low: int = 0) -> np.ndarray:
-    """Out-neighbours of the rows from ``low`` on, at most ``degree``, from their candidates ``pool``; -1 fills up.
+def robust_prune(v: np.ndarray, rows: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Out-neighbours of ``rows``, at most ``degree`` each, from their candidates ``pool``; -1 fills up.
 
     The nearest candidate left is taken, and those that it is closer to than the row itself, by the factor alpha, go.
     """
     n = len(pool)
-    vectors = v[pool].astype(np.float32)
-    own = v[low : low + n].astype(np.float32)
-    gap = np.maximum(0, 2 - 2 * (vectors @ own[:, :, None])[:, :, 0])
-    gap[pool == np.arange(low, low + n)[:, None]] = np.inf
+    vectors = v[pool]
+    gap = np.maximum(0, 2 - 2 * (vectors @ v[rows][:, :, None])[:, :, 0])
+    gap[pool == rows[:, None]] = np.inf
     order = np.argsort(gap, axis=1, kind="stable")
     gap, pool = np.take_along_axis(gap, order, 1), np.take_along_axis(pool, order, 1)
     vectors = np.take_along_axis(vectors, order[:, :, None], 1)
     alive = np.isfinite(gap)
     out = np.full((n, degree), -1, np.int64)
-    rows = np.arange(n)
+    at = np.arange(n)
     for k in range(degree):
         pick = alive.argmax(axis=1)
-        has = alive[rows, pick]
+        has = alive[at, pick]
         if not has.any():
             break
-        out[has, k] = pool[rows, pick][has]
-        between = np.maximum(0, 2 - 2 * (vectors @ vectors[rows, pick][:, :, None])[:, :, 0])
+        out[has, k] = pool[at, pick][has]
+        between = np.maximum(0, 2 - 2 * (vectors @ vectors[at, pick][:, :, None])[:, :, 0])
         alive &= alpha * alpha * between > gap
-        alive[rows, pick] = False
+        alive[at, pick] = False
     return out
 
 
-def build_graph(v: np.ndarray, degree: int = 16, far: int = 6, pool: int = 48, alpha: float = 1.2, block: int = 1024) -> list[np.ndarray]:
-    """Adjacency lists of a shard: pruned near neighbours, pruned far ones to travel by, and the reverse of both."""
+def clusters(v: np.ndarray, size: int) -> list[np.ndarray]:
+    """Overlapping clusters of about ``size`` members: each vector is in those of its two nearest centers.
+
+    A cluster that a crowd of alike vectors overfills is dealt into parts, so that none is above four times ``size``.
+    """
+    n = len(v)
+    r = np.random.default_rng(n)
+    count = max(2, -(-2 * n // size))
+    centers = k_means(v[r.permutation(n)[: 16 * count]], count, 3)
+    dots = v @ centers.T
+    two = np.argpartition(-dots, min(1, len(centers) - 1), axis=1)[:, :2]
+    out = []
+    for c in range(len(centers)):
+        own = r.permutation(np.flatnonzero((two == c).any(axis=1)))
+        out += [np.sort(x) for x in np.array_split(own, -(-len(own) // (4 * size)))] if len(own) else []
+    return out
+
+
+def build_graph(v: np.ndarray, degree: int = 12, far: int = 6, pool: int = 40, size: int = 128, alpha: float = 1.2) -> list[np.ndarray]:
+    """Adjacency lists: near neighbours, pruned in each overlapping cluster and united over the clusters, pruned far ones
+    to travel by, and the reverse of both. Vectors are compared within clusters only."""
     n = len(v)
     if n <= degree:
         return [np.delete(np.arange(n), k) for k in range(n)]
     r = np.random.default_rng(n)
-    parts = []
     low_precision = v.astype(np.float32)
-    for low in range(0, n, block):
-        rows = np.arange(low, min(n, low + block))
-        near = np.argpartition(-(low_precision[rows] @ low_precision.T), min(pool, n - 1), axis=1)[:, : pool + 1]
-        parts.append(near)
-    pools = [np.concatenate(parts), r.integers(0, n, (n, 4 * far))]
-    near, away = (np.concatenate([robust_prune(v, p[low : low + 2 * block], d, alpha, low) for low in range(0, n, 2 * block)]) for p, d in zip(pools, (degree, far), strict=True))
-    out = np.concatenate([near, away], axis=1)
-    a = np.repeat(np.arange(n), out.shape[1])
-    b = out.ravel()
-    a, b = a[b >= 0], b[b >= 0]
-    edges = np.unique(np.concatenate([a * n + b, b * n + a]))
-    a, b = edges // n, edges % n
-    lists = np.split(b, np.searchsorted(a, np.arange(1, n)))
+    starts, ends = [], []
+
+    def link(rows: np.ndarray, candidates: np.ndarray, most: int) -> None:
+        for k in range(0, len(rows), 1024):
+            own = rows[k : k + 1024]
+            out = robust_prune(low_precision, own, candidates[k : k + 1024], most, alpha)
+            r_, c_ = np.nonzero(out >= 0)
+            starts.append(own[r_])
+            ends.append(out[r_, c_])
+
+    for members in clusters(v, size):
+        near = low_precision[members] @ low_precision[members].T
+        take = min(pool + 1, len(members))
+        link(members, members[np.argpartition(-near, take - 1, axis=1)[:, :take]], degree)
+    link(np.arange(n), r.integers(0, n, (n, 4 * far)), far)
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    own = np.unique(a * n + b)
+    edges = np.unique(np.concatenate([own, b * n + a]))
+    lists = np.split(edges % n, np.searchsorted(edges // n, np.arange(1, n)))
+    chosen = np.split(own % n, np.searchsorted(own // n, np.arange(1, n)))
     # a node that very many point at keeps its own choice and as many of the others
-    most = 4 * (degree + far)
-    return [x if len(x) <= most else np.unique(np.concatenate([out[k][out[k] >= 0], r.choice(x, most, replace=False)])) for k, x in enumerate(lists)]
+    most = 4 * (2 * degree + far)
+    return [x if len(x) <= most else np.unique(np.concatenate([chosen[k], r.choice(x, most, replace=False)])) for k, x in enumerate(lists)]
 
 
 def medoids(v: np.ndarray, count: int = 8) -> np.ndarray:
@@ -228,9 +252,51 @@ def shard_rows(classes: DataFrame, sizes: dict, sample_rows: int, shard_size: in
     return classes.mapInArrow(work, classes.schema)
 
 
+class Forest:
+    """Which of some ids links have joined; the smallest id of a tree is its top."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.root = ids.tolist(), list(range(len(ids)))
+
+    def top(self, k: int) -> int:
+        root = self.root
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            if self.ids[a] > self.ids[b]:
+                a, b = b, a
+            self.root[b] = a
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(id, id of its top) of all that are not tops."""
+        ids = np.array(self.ids, np.int64)
+        tops = np.array([self.top(k) for k in range(len(ids))], np.int64)
+        k = np.flatnonzero(tops != np.arange(len(ids)))
+        return ids[k], ids[tops[k]]
+
+
+OUT = "kind string, a long, b long, shard string, queries long, met_self long, links_true long, links_found long"
+
+
+def shard_result(links: tuple[np.ndarray, np.ndarray], forest: Forest, shard: str, audit: tuple[int, int, int, int, int]) -> pa.Table:
+    """Rows of OUT: links counted for each query, edges of the forest, and one row of the audit."""
+    a, b = forest.edges()
+    k, e = len(links[0]), len(a)
+    members, *counts = audit
+    none = pa.nulls(k + e, pa.int64())
+    cat = lambda *x: pa.concat_arrays([pa.array(y, pa.int64()) for y in x])
+    columns = {"kind": pa.array(["links"] * k + ["edge"] * e + ["audit"]), "a": cat(links[0], a, [None]), "b": cat(links[1], b, [members]), "shard": pa.array([None] * (k + e) + [shard], pa.string())}
+    return pa.table(columns | {c: pa.concat_arrays([none, pa.array([x], pa.int64())]) for c, x in zip(("queries", "met_self", "links_true", "links_found"), counts, strict=True)})
+
+
 def near_duplicate_vectors(
     embeddings: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-    sample_rows: int = 20_000, shard_size: int = 6_000, levels: int = 2, audit_every: int = 16, wanted_recall: float = 0.999,
+    sample_rows: int = 20_000, shard_size: int = 2_000, levels: int = 6, audit_every: int = 16, wanted_recall: float = 0.999,
 ) -> tuple[DataFrame, DataFrame]:
     """(result, audit). Result: vec_id, n_links, component_id, kept, one row per vector.
 
@@ -239,33 +305,41 @@ def near_duplicate_vectors(
     vectors of different lengths. Equal vectors of a label are one class, linked with each other and counted each.
     A null vec_id stays null and is not linked. An empty table gives no rows.
 
-    Classes are dealt to cluster shards around centers fitted on about ``sample_rows`` vectors a level; shards overlap,
-    so that the shard a vector is at home in holds all its neighbours in range. Shards are as large as a task's memory
-    allows (up to twice ``shard_size``): in many dimensions a vector within range of one cell is within range of most,
-    so each further cut multiplies copies. Each shard gets a robust-pruned graph,
-    the adjacency lists of a vector are united over its shards, and every vector is searched in its home shard, from
-    the medoids, expanding the range. Each ``audit_every``-th query is compared with brute force; a shard under
-    ``wanted_recall`` is searched again, four times as widely. audit: shard, members, queries, met_self, links_true,
-    links_found. Links leave a shard as counts and as a spanning forest, never as all pairs of a group.
+    A label over twice ``shard_size`` is dealt to cluster shards around centers fitted on about ``sample_rows`` vectors
+    a level. These overlap, so that the shard a vector is at home in holds all its neighbours in range. What ``levels``
+    cuts don't bring to that size (many vectors within range of each other are in reach of every cell) is dealt into
+    blocks: each has its own graph, and pairs of blocks are compared by products. In a shard of any size, a graph is
+    built on overlapping clusters: lists pruned in each are united, and then united over the vector's shards. Every
+    vector is searched in its home shard, from the medoids, expanding the range. Each ``audit_every``-th query is
+    compared with brute force over the shard; a shard under ``wanted_recall`` is searched again, four times as widely,
+    at last by product. It is an error if all shards together are below it. audit: shard, members, queries, met_self,
+    links_true, links_found. Links leave a shard as counts and as a spanning forest, never as all pairs of a group.
     """
     reach = float(np.sqrt(2 - 2 * threshold))
-    rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("embedding"))
+    rows = embeddings.select(named(vec_id).cast("long").alias("vec_id"), named(label).cast("string").alias("label"), named(vector).alias("embedding"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("embedding")
     rows = with_class_key(rows.withColumn("fit", fit), "embedding")
     classes = rows.where("fit").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     shard = F.concat_ws("/", F.col("label"), F.size("embedding").cast("string"))
     members = cut(classes.select("rep", "copies", "embedding", shard.alias("shard"), F.lit(True).alias("home")))
     of_class = cut(classes.select("label", "h1", "h2", "rep", "copies"))
+    before = float("inf")
     for level in range(levels):
-        sizes = {r["shard"]: r["count"] for r in members.groupBy("shard").count().where(F.col("count") > 2 * shard_size).limit(MAX_CENTERS // 2).collect()}
-        if not sizes:
+        sizes = {r["shard"]: r["count"] for r in members.groupBy("shard").count().where(F.col("count") > 2 * shard_size).orderBy(F.desc("count"), "shard").limit(MAX_CENTERS // 2).collect()}
+        largest = max(sizes.values(), default=0)
+        if not sizes or largest > 0.9 * before:
             break
+        before = largest
         members = cut(shard_rows(members, sizes, sample_rows, shard_size, reach, level))
+    # what is still overfull is dealt into blocks
+    blocks = cut(members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_size)).cast("int").alias("blocks")).where("blocks > 1"))
+    dealt = None if blocks.isEmpty() else cut(members.join(blocks, "shard", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")), F.lit(0)).cast("int")))
+    if dealt is not None:
+        members = dealt.select("rep", "copies", "embedding", F.concat_ws("#", "shard", "block").alias("shard"), "home")
 
     def build(key, group):
-        v = unit(matrix(group.column("embedding")))
         ids = group.column("rep").to_numpy()
-        lists = build_graph(v)
+        lists = build_graph(unit(matrix(group.column("embedding"))))
         ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         flat = ids[np.concatenate(lists).astype(np.int64)] if len(lists) and ends[-1] else np.zeros(0, np.int64)
         return pa.table({"rep": ids, "neighbours": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))})
@@ -285,54 +359,61 @@ def near_duplicate_vectors(
         at = np.minimum(np.searchsorted(ids, flat, sorter=order), len(ids) - 1)
         local = np.where(ids[order[at]] == flat, order[at], -1)  # a neighbour from another shard may be no member here
         local = [x[x >= 0] for x in np.split(local, ends[1:-1])]
-        audited = home[::audit_every]
-        truth = v[audited] @ v.T >= threshold
-        truth[np.arange(len(audited)), audited] = False
+
+        def by_product(queries: np.ndarray) -> list[np.ndarray]:
+            out = []
+            for low in range(0, len(queries), 256):
+                close = v[queries[low : low + 256]] @ v.T >= threshold
+                close[np.arange(len(close)), queries[low : low + 256]] = False
+                out += [np.flatnonzero(x) for x in close]
+            return out
+
+        n_true = sum(len(x) for x in by_product(home[::audit_every]))
         extra = 12
         while True:
             found, met = range_search(v, local, home, threshold, threshold - 0.04, extra)
-            n_true, n_found = int(truth.sum()), sum(len(x) for x in found[::audit_every])
-            if n_found >= wanted_recall * n_true or extra > len(ids):
+            n_found = sum(len(x) for x in found[::audit_every])
+            if n_found >= wanted_recall * n_true:
+                break
+            if extra > len(ids):
+                found = by_product(home)
+                n_found = n_true
                 break
             extra *= 4
-        root = np.arange(len(ids))
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        total = np.zeros(len(home), np.int64)
-        for k, (h, x) in enumerate(zip(home.tolist(), found, strict=True)):
-            total[k] = copies[x].sum() + copies[h] - 1
+        total = np.array([copies[x].sum() + copies[h] - 1 for h, x in zip(home.tolist(), found, strict=True)], np.int64)
+        forest = Forest(ids)
+        for h, x in zip(home.tolist(), found, strict=True):
             for y in x.tolist():
-                a, b = top(h), top(y)
-                if a != b:
-                    # the smaller id stays on top
-                    if ids[a] > ids[b]:
-                        a, b = b, a
-                    root[b] = a
-        tops = np.array([top(k) for k in range(len(ids))], np.int64)
-        joined = np.flatnonzero(tops != np.arange(len(ids)))
-        k, e = len(home), len(joined)
-        none = lambda n: pa.nulls(n, pa.int64())
-        cat = lambda *x: pa.concat_arrays([y if isinstance(y, pa.Array) else pa.array(y, pa.int64()) for y in x])
-        return pa.table(
-            {
-                "kind": pa.array(["links"] * k + ["edge"] * e + ["audit"]),
-                "a": cat(ids[home], ids[joined], none(1)),
-                "b": cat(total, ids[tops[joined]], [len(ids)]),
-                "shard": pa.array([None] * (k + e) + [key[0].as_py()], pa.string()),
-                "queries": cat(none(k + e), [len(home)]), "met_self": cat(none(k + e), [int(met.sum())]),
-                "links_true": cat(none(k + e), [n_true]), "links_found": cat(none(k + e), [n_found]),
-            }
-        )
-
-    out = cut(ready.groupBy("shard").applyInArrow(search, "kind string, a long, b long, shard string, queries long, met_self long, links_true long, links_found long"))
+                forest.join(h, y)
+        return shard_result((ids[home], total), forest, key[0].as_py(), (len(ids), len(home), int(met.sum()), n_true, n_found))
+
+    out = ready.groupBy("shard").applyInArrow(search, OUT)
+
+    def across(key, left, right):
+        q, v = unit(matrix(left.column("embedding"))), unit(matrix(right.column("embedding")))
+        a, b, copies = left.column("rep").to_numpy(), right.column("rep").to_numpy(), right.column("copies").to_numpy()
+        forest, total = Forest(np.concatenate([a, b])), np.zeros(len(a), np.int64)
+        for low in range(0, len(a), 256):
+            r, c = np.nonzero(q[low : low + 256] @ v.T >= threshold)
+            np.add.at(total, low + r, copies[c])
+            for x, y in zip((low + r).tolist(), c.tolist(), strict=True):
+                forest.join(x, len(a) + y)
+        return shard_result((a, total), forest, key[0].as_py(), (len(b), len(a), 0, 0, 0))
+
+    if dealt is not None:
+        several = dealt.where("blocks > 1").withColumn("every", F.sequence(F.lit(0), F.col("blocks") - 1))
+        every = several.withColumn("other", F.explode("every")).where("other <> block")
+        left = every.where("home").select("shard", F.col("block").alias("x"), F.col("other").alias("y"), "rep", "embedding")
+        right = every.select("shard", F.col("other").alias("x"), F.col("block").alias("y"), "rep", "embedding", "copies")
+        group = ["shard", "x", "y"]
+        out = out.unionByName(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(across, OUT))
+    out = cut(out)
     audit = out.where("kind = 'audit'").select("shard", F.col("b").alias("members"), "queries", "met_self", "links_true", "links_found")
+    whole = audit.agg(F.sum("links_true").alias("t"), F.sum("links_found").alias("f")).first()
+    if whole["t"] and whole["f"] < wanted_recall * whole["t"]:
+        raise RuntimeError(f"the audit found {whole['f']} of {whole['t']} links")
     components = connected_components(out.where("kind = 'edge'").select("a", "b"))
-    links = out.where("kind = 'links'").select(F.col("a").alias("rep"), F.col("b").alias("n_links"))
+    links = out.where("kind = 'links'").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n_links"))
     of_class = of_class.join(links, "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select(F.col("label").alias("of_label"), "h1", "h2", "n_links", F.coalesce("component_id", "rep").alias("component_id"))
     joined = rows.withColumn("of_label", F.when(F.col("fit"), F.col("label"))).join(of_class, ["of_label", "h1", "h2"], "left")

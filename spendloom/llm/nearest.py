@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spendloom.llm.columns import cut
+from spendloom.llm.columns import cut, named
 from spendloom.llm.vectors import matrix, usable, with_class_key
 
 
@@ -29,7 +30,7 @@ class HashTables:
         return cell.astype(np.int64), x - cell
 
     def key(self, cells: np.ndarray, table: int) -> np.ndarray:
-        x = (cells.astype(np.uint64) * self.code[table]).sum(axis=-1, dtype=np.uint64) + np.uint64(table + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (cells.astype(np.uint64) * self.code[table]).sum(axis=-1, dtype=np.uint64) + np.uint64((table + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         x ^= x >> np.uint64(29)
         return (x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
@@ -89,70 +90,89 @@ def lifted(v: np.ndarray, top: float, query: bool) -> np.ndarray:
 
 
 BEST = "query_id long, block int, best array<struct<minus: double, vec_id: long>>"
+#: A table with a row for each vector length is broadcast up to so many lengths (a few MB).
+BROADCAST_LENGTHS = 100_000
 
 
 def nearest_vectors(
     embeddings: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
-    tables: int = 4, width: int = 2, probes: int = 6, w: float = 1.2, block_rows: int = 4_000,
+    tables: int = 4, width: int = 2, probes: int = 6, w: float = 1.2, block_rows: int = 4_000, block_queries: int = 2_000,
 ) -> DataFrame:
     """The ``k`` rows of largest inner product found for each query: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows for which ``queries`` holds; candidates are all other rows of the same length. score is the
     inner product of the original vectors in double precision; ties go to the smaller vec_id. Null or zero vectors,
     those with null or non-finite components, and rows without a vec_id take no part. A query with fewer candidates
-    gets all of them; an empty table gives no rows; equal vectors are hashed once and listed each.
-
-    Every row is hashed into ``tables`` tables by ``width`` projections floor((a x + b) / w). A query visits
-    ``probes`` perturbed buckets of each table in estimated order of success. Buckets over ``block_rows`` are split
-    into blocks, and each block is compared with the queries that probe it by one matrix product; only the ``k`` best
-    of a block leave it, as one row. Queries that found fewer than ``k`` candidates are compared with all rows, in
-    blocks. The defaults suit vectors without structure (the 20 nearest of 50,000 in 64 dimensions have a cosine of
-    about 0.4, and no hashing finds nine tenths of them in a small part of the rows); clustered ones take a larger
-    ``width`` and smaller ``w``.
+    gets all of them; an empty table gives no rows; equal vectors are hashed once and listed each. Of a vec_id that
+    comes with several vectors one asks (the one whose hash is smallest), and each may be listed.
+
+    Every row is hashed into ``tables`` tables by ``width`` projections floor((a x + b) / w); its length is part of the
+    bucket. A query visits ``probes`` perturbed buckets of each table in estimated order of success. Buckets over
+    ``block_rows`` rows or ``block_queries`` queries are split into blocks of both, and each pair of blocks is compared
+    by one matrix product; only the ``k`` best of a block leave it, as one row. Queries that found fewer than ``k``
+    candidates are compared with all rows, in blocks. The defaults suit vectors without structure (the 20 nearest of
+    50,000 in 64 dimensions have a cosine of about 0.4, and no hashing finds nine tenths of them in a small part of the
+    rows); clustered ones take a larger ``width`` and smaller ``w``.
     """
-    rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("query"))
+    rows = embeddings.select(named(vec_id).cast("long").alias("vec_id"), named(vector).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("query"))
     rows = with_class_key(rows.where(F.col("vec_id").isNotNull() & usable("embedding")), "embedding")
     # of equal vectors the k + 1 smallest ids suffice; two steps keep a hot vector out of one task
     some = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1)
     listed = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(4096))).groupBy("h1", "h2", "salt").agg(F.first("embedding").alias("embedding"), F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    classes = cut(listed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), some.alias("ids")).select("embedding", "ids", F.size("embedding").alias("dim"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("square")))
-    asked = cut(rows.where("query").select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim")))
-    shapes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("top")).orderBy("dim").limit(1000).collect()
-    found = embeddings.sparkSession.createDataFrame([], BEST)
-    for s in shapes:
-        own = F.col("dim") == s["dim"]
-        found = found.unionByName(_search(classes.where(own), asked.where(own), s["dim"], s["n"], s["top"] ** 0.5, k, tables, width, probes, w, block_rows))
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    classes = cut(listed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), some.alias("ids")).select("embedding", "ids", F.size("embedding").alias("dim"), square.alias("square")))
+    asked = rows.where("query").groupBy("vec_id").agg(F.min_by("embedding", F.struct("h1", "h2")).alias("embedding")).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
+    shapes = cut(classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("square")).alias("top")))
+    if shapes.count() <= BROADCAST_LENGTHS:
+        shapes = F.broadcast(shapes)
+    found = _search(classes.join(shapes, "dim"), cut(asked.join(shapes, "dim")), k, tables, width, probes, w, block_rows, block_queries)
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best")
     best = found.groupBy("query_id", F.pmod("block", F.lit(64)).alias("part")).agg(merged).groupBy("query_id").agg(merged)
     return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"))
 
 
-def _search(classes: DataFrame, asked: DataFrame, dim: int, n: int, top: float, k: int, tables: int, width: int, probes: int, w: float, block_rows: int) -> DataFrame:
-    """Best candidates of the queries among classes of one length: a row for each query and block."""
-    hashed = HashTables(dim + 1, tables, width, w)
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, float, pa.RecordBatch]]:
+    """(length, largest norm, rows) for each vector length of a batch."""
+    dim = batch.column("dim").to_numpy()
+    for d in np.unique(dim).tolist():
+        part = batch.filter(pa.array(dim == d))
+        yield d, part.column("top")[0].as_py(), part
+
+
+def _search(classes: DataFrame, asked: DataFrame, k: int, tables: int, width: int, probes: int, w: float, block_rows: int, block_queries: int) -> DataFrame:
+    """Best candidates of the queries among the classes: a row for each query and block."""
     sets = probe_sets(width, probes)
-    entry = T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.IntegerType()), *(f for f in classes.schema.fields if f.name in ("embedding", "ids"))])
+    vectors = classes.schema["embedding"].dataType.simpleString()
 
     def index(batches):
         for batch in batches:
-            v = lifted(matrix(batch.column("embedding")), top, False)
-            for t in range(tables):
-                cell, _ = hashed.place(v, t)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.key(cell, t)), batch.column("embedding"), batch.column("ids")], names=["key", "embedding", "ids"])
+            for d, top, part in _by_length(batch):
+                hashed = HashTables(d + 1, tables, width, w)
+                v = lifted(matrix(part.column("embedding")), top, False)
+                for t in range(tables):
+                    cell, _ = hashed.place(v, t)
+                    yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(hashed.key(cell, t)), part.column("embedding"), part.column("ids")], names=["dim", "key", "embedding", "ids"])
 
     def ask(batches):
         for batch in batches:
-            q = lifted(matrix(batch.column("embedding")), top, True)
-            for t in range(tables):
-                keys = probe_keys(hashed, q, t, sets)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("embedding"), lists], names=["query_id", "embedding", "keys"])
-
-    stored = classes.select("embedding", "ids").mapInArrow(index, T.StructType([f for f in entry.fields if f.name != "block"]))
-    sizes = stored.groupBy("key").count().select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
-    probing = asked.select("query_id", "embedding").mapInArrow(ask, T.StructType([*(f for f in asked.schema.fields if f.name in ("query_id", "embedding")), T.StructField("keys", T.ArrayType(T.LongType()))]))
-    probing = probing.select("query_id", "embedding", F.explode("keys").alias("key")).join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "embedding")
-    stored = stored.join(sizes, "key").select("key", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).cast("int").alias("block"), "embedding", "ids")
+            for d, top, part in _by_length(batch):
+                hashed = HashTables(d + 1, tables, width, w)
+                q = lifted(matrix(part.column("embedding")), top, True)
+                for t in range(tables):
+                    keys = probe_keys(hashed, q, t, sets)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column("dim"), part.column("query_id"), part.column("embedding"), lists], names=["dim", "query_id", "embedding", "keys"])
+
+    bucket = ["dim", "key"]
+    stored = classes.select("dim", "top", "embedding", "ids").mapInArrow(index, f"dim int, key long, embedding {vectors}, ids array<long>")
+    probing = asked.select("dim", "top", "query_id", "embedding").mapInArrow(ask, f"dim int, query_id long, embedding {vectors}, keys array<long>").select("dim", "query_id", "embedding", F.explode("keys").alias("key"))
+    sizes = stored.groupBy(*bucket).count().select(*bucket, F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
+    asking = probing.groupBy(*bucket).count().select(*bucket, F.ceil(F.col("count") / block_queries).cast("int").alias("parts"))
+    sizes = sizes.join(asking, bucket)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.col(n)).cast("int")
+    probing = probing.join(sizes, bucket).select(*bucket, each("blocks").alias("block"), dealt("query_id", "parts").alias("part"), "query_id", "embedding")
+    stored = stored.join(sizes, bucket).select(*bucket, dealt(F.col("ids")[0], "blocks").alias("block"), each("parts").alias("part"), "embedding", "ids")
 
     def compare(key, left, right):
         asking, query = np.unique(left.column("query_id").to_numpy(), return_index=True)
@@ -161,21 +181,23 @@ def _search(classes: DataFrame, asked: DataFrame, dim: int, n: int, top: float,
         who, first = np.unique(query_id, return_index=True)
         each = pa.StructArray.from_arrays([pa.array(-score, pa.float64()), pa.array(vec_id, pa.int64())], names=["minus", "vec_id"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(query_id)), pa.int32()), each)
-        block = int(np.uint64(hash((key[0].as_py(), key[1].as_py())) & 0x7FFFFFFF))
+        block = hash(tuple(x.as_py() for x in key)) & 0x7FFFFFFF
         return pa.table({"query_id": who, "block": pa.array([block] * len(who), pa.int32()), "best": lists})
 
-    result = BEST
-    near = probing.groupBy("key", "block").cogroup(stored.groupBy("key", "block")).applyInArrow(compare, result)
-    near = cut(near)
-    # queries with too few candidates meet all rows, dealt into blocks
-    short = near.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("best.vec_id")))).alias("n")).where(F.col("n") >= k)
-    few = asked.join(short, "query_id", "left_anti")
-    blocks = max(1, -(-n // block_rows))
+    group = [*bucket, "block", "part"]
+    near = cut(probing.groupBy(*group).cogroup(stored.groupBy(*group)).applyInArrow(compare, BEST))
+    # queries with too few candidates meet all rows of their length, dealt into blocks
+    enough = near.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("best.vec_id")))).alias("n")).where(F.col("n") >= k)
+    few = cut(asked.join(enough.select("query_id"), "query_id", "left_anti"))
     if few.isEmpty():
         return near
-    spread = few.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).cast("long").alias("key"), "query_id", "embedding")
-    whole = classes.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(blocks)).cast("int").alias("block"), F.lit(0).cast("long").alias("key"), "embedding", "ids")
-    return near.unionByName(spread.groupBy("key", "block").cogroup(whole.groupBy("key", "block")).applyInArrow(compare, result))
+    blocks = F.ceil(F.col("n") / block_rows).cast("int")
+    parts = cut(few.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("parts")))
+    if parts.count() <= BROADCAST_LENGTHS:
+        parts = F.broadcast(parts)
+    spread = few.withColumn("blocks", blocks).join(parts, "dim").select("dim", F.lit(0).cast("long").alias("key"), each("blocks").alias("block"), dealt("query_id", "parts").alias("part"), "query_id", "embedding")
+    whole = classes.withColumn("blocks", blocks).join(parts, "dim").select("dim", F.lit(0).cast("long").alias("key"), dealt(F.col("ids")[0], "blocks").alias("block"), each("parts").alias("part"), "embedding", "ids")
+    return near.unionByName(spread.groupBy(*group).cogroup(whole.groupBy(*group)).applyInArrow(compare, BEST))
 
 
 def best_of(query_id: np.ndarray, q: np.ndarray, v: np.ndarray, ids: pa.Array, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,12 +206,15 @@ def best_of(query_id: np.ndarray, q: np.ndarray, v: np.ndarray, ids: pa.Array, k
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     ends = ids.offsets.to_numpy() - ids.offsets.to_numpy()[0]
     flat = ids.flatten().to_numpy()
+    longest = float(np.linalg.norm(v, axis=1).max())
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for low in range(0, len(q), rows):
         score = q[low : low + rows] @ v.T
         take = min(len(v), k + 1)
         cut_at = -np.partition(-score, take - 1, axis=1)[:, [take - 1]]
-        r, c = np.nonzero(score >= cut_at)  # ties at the cut stay in
+        # ties at the cut stay in, whatever the rounding of the product
+        slack = 1e-12 * np.linalg.norm(q[low : low + rows], axis=1)[:, None] * longest
+        r, c = np.nonzero(score >= cut_at - slack)
         n = np.diff(ends)[c]
         at = np.repeat(ends[c] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         # summed in one order, whatever the block: equal vectors get equal scores

@@ -100,3 +100,29 @@ def test_nearest_few_candidates_ties_and_empty(spark):
     assert of(0) == list(range(1, 21)) and of(20) == list(range(20)) and of(100) == list(range(20))
     assert of(40) == [60] and of(60) == [40]
     assert nearest_vectors(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_vectors_that_no_cell_parts_are_dealt_into_blocks(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(0, 1, 8)
+    rows = [(k, [float(np.float32(x)) for x in base + r.normal(0, 0.06, 8)], 1) for k in range(260)]
+    result, audit = near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA), shard_size=40)
+    links, component = brute(rows)
+    got = {x.vec_id: x for x in result.collect()}
+    assert {i: x.n_links for i, x in got.items()} == {i: len(x) for i, x in links.items()}
+    assert {i: x.component_id for i, x in got.items()} == component
+    assert audit.where("members > 90").count() == 0
+
+
+def test_nearest_blocks_of_rows_and_queries_and_many_lengths(spark):
+    r = np.random.default_rng(8)
+    rows = [(k, [float(np.float32(x)) for x in r.normal(0, 1, 3 + k % 4)], 0) for k in range(800)]
+    df = spark.createDataFrame(rows + rows[:50], SCHEMA)
+    got = {}
+    for x in nearest_vectors(df, F.col("vec_id") % 2 == 0, k=5, block_rows=40, block_queries=16, probes=20).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id))
+    right = 0
+    for q, v, _ in rows[::2]:
+        s = sorted((-float(np.dot(np.array(v), np.array(u))), i) for i, u, _ in rows if len(u) == len(v) and i != q)[:5]
+        right += len({i for _, i in s} & {i for _, i in got[q]})
+    assert len(got) == 400 and right >= 0.9 * 2000
