@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendloom.functions import text as tx
+from spendloom.functions.normalize import hash_id
 
 BOOSTS = {"contract": 1.0, "lot": 0.95, "announcement": 0.9, "plan": 0.85}
 TYPE_LIMITS = {"SEARCH": 10, "COMPARISON": 50, "ANALYTICS": 30, "ANOMALY": 100, "FAIRNESS": 50}
@@ -26,15 +28,46 @@ def entity_documents(rows: DataFrame, entity_type: str, content: Column, **colum
     return rows.select(F.lit(entity_type).alias("entity_type"), content.alias("content"), *(v.alias(k) for k, v in own.items())).select(*DOCUMENT_COLUMNS)
 
 
-def contract_text(number: Column, category: Column, region: Column, amount: Column) -> Column:
-    """Text of a contract, lot or plan."""
-    return F.concat_ws(" ", F.lit("Contract"), number.cast("string"), F.lit("ENSTR"), category, F.lit("KATO"), region, F.lit("amount"), amount.cast("string"))
+# Texts of the entities, a short and a long one; names in braces are columns.
+SHORT_TEXTS = {
+    "contract": "Contract {number} ENSTR {category} KATO {region} amount {amount}",
+    "lot": "Lot {number} ENSTR {category} KATO {region} amount {amount}",
+    "announcement": "Announcement {number} total_sum {amount} lots {count_lots}",
+    "plan": "Plan {number} ENSTR {category} KATO {region} amount {amount}",
+}
+LONG_TEXTS = {
+    "contract": "Contract #{number}. Contract ID {id}. Customer BIN {customer}. Supplier BIN {supplier}. ENSTR code {category}. KATO {region}. Trade buy ID {announcement_id}. Lot ID {lot_id}. Signed on {sign_date}. Contract sum {amount:.2f}.",
+    "lot": "Lot #{number}. Lot ID {id}. Announcement {announcement_id}. Customer BIN {customer}. Supplier BIN {supplier}. ENSTR code {category}. KATO {region}. Quantity {quantity:.3f}. Amount {amount:.2f}. Created at {sign_date}.",
+    "announcement": "Announcement #{number}. Announcement ID {id}. Customer BIN {customer}. Total sum {amount:.2f}. Lots {count_lots}. Trade method {trade_method_id}. Status {status_id}. Publish date {sign_date}. Start date {start_date}. End date {end_date}.",
+    "plan": "Plan #{number}. Plan ID {id}. Customer BIN {customer}. ENSTR code {category}. KATO {region}. Planned amount {amount:.2f}. Quantity {quantity:.3f}. Plan year {plan_year}. Publish date {sign_date}.",
+}
+
+
+def entity_text(rows: DataFrame, entity_type: str, long: bool = False) -> Column:
+    """Text of the latest rows of an entity; columns that ``rows`` does not have, and nulls, are left blank."""
+    parts = []
+    for k, piece in enumerate(re.split(r"\{([^}]*)\}", (LONG_TEXTS if long else SHORT_TEXTS)[entity_type])):
+        name, _, form = piece.partition(":")
+        if k % 2 == 0:
+            parts.append(F.lit(piece))
+        elif name not in rows.columns:
+            parts.append(F.lit(""))
+        else:
+            shown = F.format_string(f"%{form}", F.col(name).cast("double")) if form else F.col(name).cast("string")
+            parts.append(F.coalesce(F.when(F.col(name).isNotNull(), shown), F.lit("")))
+    return F.concat(*parts)
 
 
 def union_documents(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def best_per_question(scores: DataFrame, top: int, score: str = "bm25", key: Sequence[str] = ("entity_type", "entity_id"), question_id: str = "question_id") -> DataFrame:
+    """The ``top`` rows of highest score of each question, ties by ``key``, with ``place``."""
+    order = Window.partitionBy(question_id).orderBy(F.desc(score), *key)
+    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def recent(documents: DataFrame, n: int = 200, order: str = "sign_date") -> DataFrame:
     """The ``n`` most recent documents, ties by type and id."""
     return documents.orderBy(F.desc(order), "entity_type", "entity_id").limit(n)
@@ -60,9 +93,10 @@ def bm25(questions: DataFrame, documents: DataFrame, k1: float = 1.5, b: float =
 
 
 def chunk_rows(documents: DataFrame, max_chars: int = 800, overlap: int = 100, content: str = "content", keep: Sequence[str] = ("entity_type", "entity_id")) -> DataFrame:
-    """One row per chunk: the kept columns, chunk_no, chunk, and chunk_id, a hash of the kept columns and the number."""
+    """One row per chunk: the kept columns, chunk_no, chunk, and chunk_id, a hash of the kept columns and the number
+    that other systems can compute too."""
     rows = documents.select(*keep, F.posexplode(tx.chunks(F.col(content), max_chars, overlap)).alias("chunk_no", "chunk"))
-    return rows.withColumn("chunk_id", F.xxhash64(*keep, "chunk_no"))
+    return rows.withColumn("chunk_id", hash_id(*(F.col(k) for k in keep), F.col("chunk_no")))
 
 
 def vector_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -71,6 +105,11 @@ def vector_index(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors, "chunk_id").withColumn("norm", norm)
 
 
+def upsert_index(stored: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """An index after an upsert: rows of ``new`` replace those of the same key, others stay; one shuffle on the key."""
+    return stored.join(new.select(key), key, "left_anti").unionByName(new)
+
+
 def payload_filter(customers: Sequence[int] = (), category: str | None = None, start: str | None = None, end: str | None = None) -> Column:
     """Any of the customers, category containing a text, inclusive days."""
     out = F.col("customer").isin(list(customers)) if customers else F.lit(True)
@@ -198,12 +237,10 @@ def limited(candidates: DataFrame, query_type: str = "query_type", query_id: str
     return good.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def retrieve(questions: DataFrame, documents: DataFrame, vector_scores: DataFrame, limit: int = 10, weight: float = 0.7, max_words: int = 4000) -> DataFrame:
-    """Keyword scores, fusion with given vector scores (question_id, entity_type, entity_id, score) and the context
-    window, for all questions."""
+def retrieve(questions: DataFrame, documents: DataFrame, vector_scores: DataFrame, limit: int = 10, weight: float = 0.7, max_words: int = 4000, candidates: int = 200, top: int = 20) -> DataFrame:
+    """Keyword scores of the ``candidates`` most recent documents, the ``top`` of each question fused with given vector
+    scores (question_id, entity_type, entity_id, score), and the context window, for all questions."""
     key = ["entity_type", "entity_id"]
-    keyword = bm25(questions, documents).withColumnRenamed("bm25", "score")
+    keyword = best_per_question(bm25(questions, recent(documents, candidates)), top).drop("place").withColumnRenamed("bm25", "score")
     fused = fuse(vector_scores, keyword, key, weight).join(documents.select(*key, "content"), key)
     return context_window(fused, limit, max_words, order=[F.desc("fused"), *key], carry=[*key, "fused"])
-
-

@@ -94,9 +94,9 @@ def merge_rollups(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
 def analytics_bundle(contracts: DataFrame, names: DataFrame, min_sample: int = 5) -> DataFrame:
     """Five spend queries over one filtered snapshot, as rows (section, key, value, contract_count).
 
-    The snapshot is cached once for the five. The section 'total' has the sum of contract counts.
+    The section 'total' has the sum of contract counts. Callers who compute the snapshot at length persist it.
     """
-    base = contracts.select("customer", "supplier", "category", "region", "amount", "sign_date").persist()
+    base = contracts.select("customer", "supplier", "category", "region", "amount", "sign_date")
     rows = lambda df, section, key, value, n: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), n.cast("long").alias("contract_count"))
     n = F.col("contract_count")
     by_customer = total_by_customer(base)

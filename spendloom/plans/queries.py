@@ -77,16 +77,7 @@ def q7_customer_volume(spark: SparkSession, sf: str) -> DataFrame:
     return spend.customer_volume(contracts(spark, sf), (1996, 1998)).select("customer", "contract_count", *money("total_spend"))
 
 
-@query("""SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts WHERE customer > 0 GROUP BY customer
-  UNION ALL SELECT 'category', category, CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE length(category) = 2 GROUP BY category
-  UNION ALL SELECT 'region', substr(region, 1, 2), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
-  UNION ALL SELECT 'year', CAST(year(sign_date) AS VARCHAR), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
-  UNION ALL SELECT 'total', 'all', CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE customer > 0""")
-def q8_analytics_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return spend.analytics_bundle(contracts(spark, sf), region_names(spark, sf)).where("section <> 'concentration'")
-
-
-@query("""SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts WHERE customer > 0 GROUP BY customer
+BUNDLE_SQL = """SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts WHERE customer > 0 GROUP BY customer
   UNION ALL SELECT 'category', category, CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE length(category) = 2 GROUP BY category
   UNION ALL SELECT 'region', substr(region, 1, 2), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
   UNION ALL SELECT 'concentration', CAST(customer AS VARCHAR), CAST(round(sum(share * share), 6) AS DOUBLE), count(*) FROM (
@@ -95,12 +86,20 @@ def q8_analytics_bundle(spark: SparkSession, sf: str) -> DataFrame:
       JOIN (SELECT customer, sum(amount) AS t, count(*) AS n FROM contracts GROUP BY 1 HAVING count(*) >= 5) c ON p.customer = c.customer
     WHERE supplier > 0 AND s > 0) x GROUP BY customer
   UNION ALL SELECT 'year', CAST(year(sign_date) AS VARCHAR), CAST(sum(amount) AS DOUBLE), count(*) FROM contracts GROUP BY 2
-  UNION ALL SELECT 'total', 'all', CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE customer > 0""")
-def q8_analytics_bundle_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All sections; q8_analytics_bundle leaves one out, as its SQL does."""
+  UNION ALL SELECT 'total', 'all', CAST(sum(amount) AS DOUBLE), count(*) FROM contracts WHERE customer > 0"""
+
+
+@query(BUNDLE_SQL)
+def q8_analytics_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return spend.analytics_bundle(contracts(spark, sf), region_names(spark, sf))
 
 
+@query(BUNDLE_SQL)
+def q8_analytics_bundle_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same query under its older name."""
+    return q8_analytics_bundle(spark, sf)
+
+
 @query("""SELECT customer, CAST(CAST(sign_date AS DATE) AS VARCHAR) AS day, CAST(strftime(sign_date, '%Y%m') AS INTEGER) AS month, CAST(sum(amount) AS DOUBLE) AS total_spend,
   count(*) AS contract_count FROM contracts WHERE amount > 0 GROUP BY 1, 2, 3""")
 def s7_daily_by_customer(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,7 +269,7 @@ def a1_price_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("entity_id", "actual", F.round("expected", 4).alias("expected"), F.round("deviation_pct", 4).alias("deviation_pct"), "severity", "sample_size")
 
 
-VOLUME_SQL = """, v AS (SELECT id, lot_id, customer, category, quantity, year(sign_date) AS y, month(sign_date) AS m FROM contracts WHERE quantity > 0 AND category < '30'),
+VOLUME_SQL = """, v AS (SELECT id, lot_id, customer, category, quantity, year(sign_date) AS y, month(sign_date) AS m FROM contracts WHERE quantity > 0),
   my AS (SELECT category, m, y, sum(quantity) AS s, count(*) AS n FROM v GROUP BY 1, 2, 3),
   sea AS (SELECT category, m, y, sum(s) OVER w AS s, coalesce(sum(n) OVER w, 0) AS n FROM my WINDOW w AS (PARTITION BY category, m ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   yy AS (SELECT category, y, sum(s) AS s, sum(n) AS n FROM my GROUP BY 1, 2),
@@ -292,13 +291,13 @@ def _volume(rows: DataFrame) -> DataFrame:
 
 @query(VOLUME_SQL)
 def a2_volume_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    return _volume(contracts(spark, sf).where("quantity > 0 and category < '30'"))
+    return _volume(contracts(spark, sf).where("quantity > 0"))
 
 
-@query(VOLUME_SQL.replace(" AND category < '30'", ""))
+@query(VOLUME_SQL)
 def a2_volume_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All categories; a2_volume_anomalies looks at those its SQL names."""
-    return _volume(contracts(spark, sf).where("quantity > 0"))
+    """The same query under its older name."""
+    return a2_volume_anomalies(spark, sf)
 
 
 @query("""SELECT customer, CASE WHEN size <> 'large' AND contains(name, '0001') THEN 'small' ELSE size END AS org_size FROM (
@@ -316,7 +315,7 @@ def _peers_sql(name: str, key: str, bucket: str, source: str) -> str:
 
 
 FAIR_SQL = (
-    ", f AS (SELECT id, category, region, substr(region, 1, 2) AS r2, CAST(amount AS DOUBLE) AS amount, year(sign_date) * 4 + quarter(sign_date) - 1 AS q FROM contracts WHERE amount > 0 AND supplier % 10 = 1), "
+    ", f AS (SELECT id, category, region, substr(region, 1, 2) AS r2, CAST(amount AS DOUBLE) AS amount, year(sign_date) * 4 + quarter(sign_date) - 1 AS q FROM contracts WHERE amount > 0), "
     + ", ".join(
         _peers_sql(f"{t}_{s}", k, b, "f")
         for t, b in (("same", "a.q = b.q"), ("wide", "abs(a.q - b.q) <= 1"))
@@ -342,19 +341,21 @@ def _fairness(rows: DataFrame) -> DataFrame:
 
 @query(FAIR_SQL)
 def a3_fairness_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    return _fairness(contracts(spark, sf).where("supplier % 10 = 1"))
+    return _fairness(contracts(spark, sf))
 
 
-@query()
+@query(FAIR_SQL)
 def a3_fairness_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All contracts, each among all its peers; a3_fairness_anomalies keeps to the tenth its quadratic SQL can do."""
-    return _fairness(contracts(spark, sf))
+    """The same query under its older name."""
+    return a3_fairness_anomalies(spark, sf)
 
 
-@query("""SELECT count(*) AS "analysed", count(*) FILTER (WHERE CAST(amount AS DOUBLE) > 80000) AS found, CAST(0 AS BIGINT) AS skipped FROM contracts""")
+@query(PRICE_SQL.replace(">= 5)", ">= 2000)").replace("SELECT id AS entity_id, CAST(amount AS DOUBLE) AS actual, round(expected, 4) AS expected, round(deviation_pct, 4) AS deviation_pct,\n    CASE WHEN deviation_pct > 100 THEN 'high' WHEN deviation_pct >= 50 THEN 'medium' ELSE 'low' END AS severity, sample_size\n  FROM d WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)", """SELECT count(*) AS "analysed", count(*) FILTER (WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)) AS found, (SELECT count(*) FROM contracts) - count(*) AS skipped FROM d"""))
 def a6_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a price run: those analysed (of categories with enough rows), found, and skipped."""
     base = contracts(spark, sf)
-    return anomalies.run_summary(base, base, base.where("amount > 80000"))
+    analysed = anomalies.price_candidates(base, 2000, base="1999-01-01")
+    return anomalies.run_summary(base, analysed, anomalies.price_anomalies(base, AT, 2000, base="1999-01-01"))
 
 
 @query("""SELECT supplier, round(average, 4) AS average, round(z, 6) AS z FROM (SELECT supplier, average, (average - avg(average) OVER ()) / stddev_pop(average) OVER () AS z FROM

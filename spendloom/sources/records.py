@@ -17,7 +17,7 @@ def _fields(*names: str) -> list[T.StructField]:
     return [T.StructField(x, TEXT) for x in names]
 
 
-#: Aliases of the fields of each entity, first one first; values of any type are read as text.
+# Aliases of the fields of each entity, first one first; values of any type are read as text.
 ALIASES = {
     "subjects": {
         "id": ("pid", "id", "subject_id"), "bin": ("bin", "iin", "biin"), "name": ("name_ru", "full_name_ru", "name"), "name_kz": ("name_kz", "full_name_kz"),
@@ -50,25 +50,40 @@ ALIASES = {
 NESTED = {
     "lots": ("point_list", ("id", "enstr_code", "kato_code", "count", "amount", "unit_price")),
     "plans": ("pln_points", ("id", "enstr_code", "kato_code", "amount")),
-    "contracts": ("contract_units", ("id", "lot_id", "enstr_code", "kato_code", "quantity", "unit_price", "sum")),
     "announcements": ("lots", ("id", "amount")),
 }
 
 
-def record_schema(entity: str, nesting: int = 2) -> T.StructType:
-    """Schema of a record: every alias as text, the nested list, and code lists. Contract units may hold units again,
-    ``nesting`` levels deep."""
+# Under which keys a contract or unit holds units, what a unit is told by, and the aliases of its fields.
+UNIT_CHILDREN = ("specifications", "items", "children", "contract_units", "unit_list", "rows")
+UNIT_FIELDS = {
+    "id": ("id",), "lot_id": ("lot_id",), "enstr_code": ("enstr_code",), "kato_code": ("kato_code",), "quantity": ("quantity", "qty", "count"), "unit_price": ("unit_price", "price"), "sum": ("sum", "amount"),
+}
+UNIT_TELLING = ("lot_id", "enstr_code", "quantity", "unit_price", "sum")
+# Where lots and their points name category and region codes, and where codes lie in the lists' objects.
+CODE_LISTS, REGION_LIST = ("enstru_list", "enstr_list", "tru_list"), "pln_point_kato_list"
+CODE_FIELDS = ("enstr_code", "enstru_code", "tru_code", "spec_enstr_code", "code")
+REGION_FIELDS = ("kato_code", "kato", "katoCode")
+CODE_KEYS = ("enstr_code", "enstru_code", "tru_code", "code", "code_lvl2", "code_lvl3", "code_lvl4", "lvl2", "lvl3", "lvl4")
+CODE_CHILDREN = ("children", "items", "sub_items", "enstru_list")
+REGION_KEYS = ("kato_code", "kato", "code", "katoCode")
+
+
+def record_schema(entity: str) -> T.StructType:
+    """Schema of a record: every alias as text, the nested list; lists whose objects vary are variants."""
     names = sorted({a for aliases in ALIASES[entity].values() for a in aliases})
+    variants = lambda *keys: [T.StructField(k, T.VariantType()) for k in keys]
+    if entity == "contracts":
+        return T.StructType([*_fields(*names), *variants(*UNIT_CHILDREN)])
     fields = _fields(*names)
     if entity in NESTED:
         name, own = NESTED[entity]
-        unit = T.StructType(_fields(*own))
-        if entity == "contracts":
-            for _ in range(nesting - 1):
-                unit = T.StructType([*_fields(*own), T.StructField("items", T.ArrayType(unit))])
-        fields = [f for f in fields if f.name != name] + [T.StructField(name, T.ArrayType(unit))]
+        point = _fields(*own)
+        if entity == "lots":
+            point = [*_fields(*sorted({*own, *CODE_FIELDS, *REGION_FIELDS})), *variants(*CODE_LISTS, REGION_LIST)]
+        fields = [f for f in fields if f.name != name] + [T.StructField(name, T.ArrayType(T.StructType(point)))]
     if entity == "lots":
-        fields += [T.StructField("enstru_list", TEXTS), T.StructField("pln_point_kato_list", TEXTS)]
+        fields = [*_fields(*sorted({*names, *CODE_FIELDS, *REGION_FIELDS})), fields[-1], *variants(*CODE_LISTS, REGION_LIST)]
     return T.StructType(fields)
 
 
@@ -105,37 +120,63 @@ def _in(column: str, values: Sequence[int]) -> Column:
     return (F.col(column) > 0) & (F.col(column).isin(list(values)) if values else F.lit(True))
 
 
-def collect_units(units: str, df: DataFrame, fields: Sequence[str]) -> Column:
-    """All units of a nested list, one level after another as deep as the schema goes, that name a price, quantity,
-    sum or code."""
-    levels, element, current = [], df.schema[units].dataType.elementType, F.col(units)
-    while True:
-        levels.append(F.transform(current, lambda u: F.struct(*(u[f].alias(f) for f in fields))))
-        inner = next((f for f in element.fields if f.name == "items"), None)
-        if inner is None:
+NO_NODES = "array<variant>"
+
+
+def _nodes(value: Column) -> Column:
+    """A variant as an array of variants: a list's items, an object alone; none of null."""
+    return F.coalesce(F.try_variant_get(value, "$", NO_NODES), F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(value)), F.array().cast(NO_NODES))
+
+
+def _children(nodes: Column, keys: Sequence[str]) -> Column:
+    """All nodes under ``keys`` of the nodes."""
+    of = lambda v: F.flatten(F.array(*(_nodes(F.try_variant_get(v, f"$.{k}", "variant")) for k in keys)))
+    return F.flatten(F.transform(nodes, of))
+
+
+def collect_units(roots: Sequence[Column], nesting: int = 3) -> tuple[Column, Column]:
+    """(units, too_deep): all nodes under the roots, one level after another, ``nesting`` deep, that name a price,
+    quantity, sum, code or lot; whether any lie deeper."""
+    level, levels = F.flatten(F.array(*(_nodes(r) for r in roots))), []
+    for _ in range(nesting):
+        levels.append(level)
+        level = _children(level, UNIT_CHILDREN)
+    text = lambda v, names: F.coalesce(*(F.try_variant_get(v, f"$.{x}", "string") for x in names))
+    units = F.transform(F.flatten(F.array(*levels)), lambda v: F.struct(*(text(v, names).alias(f) for f, names in UNIT_FIELDS.items())))
+    return F.filter(units, lambda u: F.coalesce(*(u[f] for f in UNIT_TELLING)).isNotNull()), F.size(level) > 0
+
+
+def collect_codes(lists: Sequence[Column], keys: Sequence[str], children: Sequence[str] = (), nesting: int = 3) -> Column:
+    """Codes of lists of texts, numbers and objects (their ``keys``, then those of their ``children``), in order."""
+    level, out = F.flatten(F.array(*(_nodes(x) for x in lists))), []
+    for _ in range(nesting):
+        kind = lambda v: F.schema_of_variant(v)
+        own = lambda v: F.when(kind(v).rlike("^(OBJECT|ARRAY|VOID)"), F.array(*(F.try_variant_get(v, f"$.{k}", "string") for k in keys))).otherwise(F.array(F.try_variant_get(v, "$", "string")))
+        out.append(F.flatten(F.transform(level, own)))
+        if not children:
             break
-        current = F.flatten(F.transform(current, lambda u: F.coalesce(u["items"], F.array().cast(inner.dataType))))
-        element = inner.dataType.elementType
-    telling = [f for f in fields if f in ("enstr_code", "quantity", "unit_price", "sum")]
-    return F.filter(F.flatten(F.array(*(F.coalesce(x, F.array().cast(df.select(levels[0].alias("x")).schema["x"].dataType)) for x in levels))), lambda u: F.coalesce(*(u[f] for f in telling)).isNotNull())
+        level = _children(level, children)
+    return F.array_compact(F.concat(*out))
 
 
-def parse_contracts(records: DataFrame, now: Column, customers: Sequence[int] = (), years: Sequence[int] = ()) -> DataFrame:
-    """One row per contract unit (or contract without units) with ``reject_reason``, null for good rows."""
-    e, g = "contracts", lambda f, text=False: _get(records, "contracts", f, text)
+def parse_contracts(records: DataFrame, now: Column, customers: Sequence[int] = (), years: Sequence[int] = (), nesting: int = 3) -> DataFrame:
+    """One row per contract unit (or contract without units) with ``reject_reason``, null for good rows. Records with
+    units more than ``nesting`` levels deep are rejects."""
+    units, too_deep = collect_units([F.col(k) for k in UNIT_CHILDREN], nesting)
+    g = lambda f, text=False: _get(records, "contracts", f, text)
     rows = records.select(
         n.to_uint(g("id")).alias("contract_id"), n.to_uint(g("announcement_id")).alias("announcement_id"), g("number", True).alias("number"), n.to_uint(g("lot_id")).alias("root_lot"),
         n.to_uint(g("customer")).alias("customer"), n.to_uint(g("supplier")).alias("supplier"), g("category", True).alias("root_category"), g("region", True).alias("root_region"),
         n.to_decimal(g("amount")).alias("root_amount"), n.to_decimal(g("amount_tax"), 2, n.to_decimal(g("amount"))).alias("amount_tax"), n.to_uint(g("status_id")).alias("status_id"), g("status", True).alias("status"),
         n.to_timestamp(g("signed"), now).alias("sign_date"), g("start").alias("start_text"), g("end").alias("end_text"), g("updated_at").alias("updated_text"),
-        collect_units("contract_units", records, NESTED[e][1]).alias("units"), F.col("contract_units").isNotNull().alias("nested"),
+        units.alias("units"), too_deep.alias("too_deep"), (F.size(units) > 0).alias("nested"),
     )
     rows = rows.withColumn("start_date", n.to_timestamp(F.col("start_text"), F.col("sign_date")))
     rows = rows.withColumn("end_date", n.to_timestamp(F.col("end_text"), F.col("start_date"))).withColumn("updated_at", n.to_timestamp(F.col("updated_text"), F.col("sign_date")))
     year = F.when(F.year("sign_date") > 1970, F.year("sign_date")).otherwise(F.year("start_date"))
     reason = _reasons(
         (F.col("contract_id") <= 0, "missing_id"), (F.col("announcement_id") <= 0, "missing_announcement"), (~_in("customer", customers), "non_target"),
-        (~year.isin(list(years)) if years else F.lit(False), "non_target_year"), (~n.status_allowed(F.col("status_id"), F.col("status")), "status"),
+        (~year.isin(list(years)) if years else F.lit(False), "non_target_year"), (~n.status_allowed(F.col("status_id"), F.col("status")), "status"), (F.col("too_deep"), "too_deep"),
     )
     rows = rows.withColumn("reject_reason", reason)
     one = rows.select("*", F.posexplode_outer("units").alias("unit_no", "u"))
@@ -155,19 +196,23 @@ def parse_lots(records: DataFrame, now: Column, customers: Sequence[int] = ()) -
     g = lambda f, text=False: _get(records, "lots", f, text)
     rows = records.select(
         n.to_uint(g("id")).alias("lot_id"), n.to_uint(g("announcement_id")).alias("announcement_id"), g("number", True).alias("number"), n.to_uint(g("customer")).alias("customer"),
-        g("category", True).alias("root_category"), g("region", True).alias("root_region"), g("quantity").alias("root_quantity"), g("unit_price").alias("root_price"), g("amount").alias("root_amount"),
-        n.to_timestamp(g("created"), now).alias("created_at"), g("updated_at").alias("updated_text"), "point_list", F.col("enstru_list").alias("categories"), F.col("pln_point_kato_list").alias("regions"),
+        g("quantity").alias("root_quantity"), g("unit_price").alias("root_price"), g("amount").alias("root_amount"),
+        n.to_timestamp(g("created"), now).alias("created_at"), g("updated_at").alias("updated_text"), "point_list", collect_codes([F.col(k) for k in CODE_LISTS], CODE_KEYS, CODE_CHILDREN).alias("categories"), collect_codes([F.col(REGION_LIST)], REGION_KEYS).alias("regions"),
+        n.first_text(*(F.col(k) for k in CODE_FIELDS)).alias("own_category"), n.first_text(*(F.col(k) for k in REGION_FIELDS)).alias("own_region"),
     )
     rows = rows.withColumn("updated_at", n.to_timestamp(F.col("updated_text"), F.col("created_at")))
     one = rows.select("*", F.posexplode_outer("point_list").alias("point_no", "p"))
-    one = one.withColumn("codes", n.codes_of(F.array(F.col("p.enstr_code")), F.array("root_category"), F.col("categories"))).withColumn("places", n.codes_of(F.array(F.col("p.kato_code")), F.array("root_region"), F.col("regions")))
+    point = lambda fields: F.array(n.first_text(*(F.col("p")[k] for k in fields)))
+    listed = collect_codes([F.col("p")[k] for k in CODE_LISTS], CODE_KEYS, CODE_CHILDREN), collect_codes([F.col("p")[REGION_LIST]], REGION_KEYS)
+    one = one.withColumn("codes", n.codes_of(point(CODE_FIELDS), F.array("own_category"), listed[0], F.col("categories")))
+    one = one.withColumn("places", n.codes_of(point(REGION_FIELDS), F.array("own_region"), listed[1], F.col("regions")))
     one = one.withColumn("category", F.explode_outer("codes")).withColumn("region", F.explode(F.when(F.size("places") > 0, F.col("places")).otherwise(F.array(F.lit("")))))
     amount = n.to_decimal(F.coalesce(F.col("p.amount"), F.col("root_amount")))
     quantity = n.to_decimal(F.coalesce(F.col("p.count"), F.col("root_quantity")), 3)
     price = n.unit_price(n.to_decimal(F.coalesce(F.col("p.unit_price"), F.col("root_price"))), amount, quantity)
     plain = F.col("p").isNull() & (F.size("codes") <= 1) & (F.size("places") <= 1)
-    point = n.to_uint(F.col("p.id"))
-    own_id = F.when(plain, F.col("lot_id")).otherwise(n.hash_id(F.col("lot_id"), F.when(point > 0, point).otherwise(F.col("point_no")), F.coalesce("category", F.lit("")), F.col("region")))
+    unit = n.to_uint(F.col("p.id"))
+    own_id = F.when(plain, F.col("lot_id")).otherwise(n.hash_id(F.col("lot_id"), F.when(unit > 0, unit).otherwise(F.col("point_no")), F.coalesce("category", F.lit("")), F.col("region")))
     reason = _reasons((F.col("lot_id") <= 0, "missing_id"), (F.col("announcement_id") <= 0, "missing_announcement"), (F.col("category").isNull(), "missing_code"), (F.lit(bool(customers)) & ~_in("customer", customers), "non_target"))
     return one.select(own_id.alias("id"), F.col("lot_id").alias("source_id"), "announcement_id", "number", "customer", "category", "region", quantity.alias("quantity"), price.alias("unit_price"), amount.alias("amount"), "created_at", "updated_at", reason.alias("reject_reason"))
 

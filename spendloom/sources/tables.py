@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.functions import normalize as n
 from spendloom.operators.versions import hash_upsert
+from spendloom.sources.shared import remove
 
 #: Columns of the tables, as DDL.
 SCHEMAS = {
@@ -33,21 +34,30 @@ def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df
 
 
-def load_reference(records: DataFrame, stored: DataFrame | None, code: Sequence[str] = ("code",), name: Sequence[str] = ("name_ru", "name"), name_kz: Sequence[str] = ("name_kz",)) -> DataFrame:
+def load_reference(records: DataFrame, stored: DataFrame | None, code: Sequence[str] = ("code",), name: Sequence[str] = ("name_ru", "name"), name_kz: Sequence[str] = ("name_kz",), arrival: str | None = None) -> DataFrame:
     """Rows of a reference table with ``change_type`` against the stored ones (all 'new' without them, which replaces
-    the table). Rows without a code or either name are left out; of a code the last record counts."""
+    the table). Rows without a code or either name are left out; of a code the record of highest ``arrival`` counts,
+    then (or without that column) the one whose names order last."""
     own = lambda names: n.first_text(*(F.col(c) for c in names if c in records.columns))
-    rows = records.select(own(code).alias("code"), own(name).alias("name"), own(name_kz).alias("name_kz")).where("code <> '' and name <> '' and name_kz <> ''")
-    rows = rows.withColumn("__arrival", F.monotonically_increasing_id())
+    order = F.col(arrival) if arrival else F.lit(0)
+    rows = records.select(own(code).alias("code"), own(name).alias("name"), own(name_kz).alias("name_kz"), order.alias("__arrival")).where("code <> '' and name <> '' and name_kz <> ''")
+    rows = rows.withColumn("__arrival", F.struct("__arrival", "name", "name_kz"))
     before = stored if stored is not None else records.sparkSession.createDataFrame([], "code string, name string, name_kz string")
     return hash_upsert(rows, before, ["code"], ["name", "name_kz"], "__arrival").drop("__arrival")
 
 
-def write_anomalies(rows: DataFrame, path: str, replace: bool = False) -> None:
-    """Appends anomalies by type; with ``replace`` the types in ``rows`` replace their partitions, others stay."""
+def write_anomalies(rows: DataFrame, path: str, replace: bool = False, types: Sequence[str] = ()) -> None:
+    """Appends anomalies by type; with ``replace`` the types in ``rows`` replace their partitions, others stay.
+
+    ``types`` are those that a replacing run looked for: what it found nothing of loses its old rows, too.
+    """
     names = [f.split()[0] for f in SCHEMAS["anomalies"].split(", ")]
     writer = rows.select(*names).write.partitionBy("anomaly_type")
     (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else writer.mode("append")).parquet(path)
+    if replace and types:
+        found = {r["anomaly_type"] for r in rows.where(F.col("anomaly_type").isin(list(types))).select("anomaly_type").distinct().collect()}  # at most so many
+        for t in set(types) - found:
+            remove(rows.sparkSession, f"{path}/anomaly_type={t}")
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -61,5 +71,14 @@ def write_report(leveled: DataFrame, path: str) -> None:
     leveled.write.mode("overwrite").parquet(path)
 
 
+def missing(tables: Mapping[str, DataFrame], expected: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
+    """(table, column) of the expected columns that are not there; of a table that is not there, (table, '')."""
+    out = []
+    for name, columns in expected.items():
+        df = tables.get(name)
+        out += [(name, "")] if df is None else [(name, c) for c in columns if c not in df.columns]
+    return out
+
+
 def missing_columns(df: DataFrame, expected: Sequence[str]) -> list[str]:
     return [c for c in expected if c not in df.columns]

@@ -193,11 +193,28 @@ def test_records_are_parsed_or_rejected_with_a_reason(spark):
     assert sum(r.n for r in records.ingest_stats(records.parse_contracts(rows, F.current_timestamp().cast("timestamp_ntz"))).collect()) == 10
 
 
+def read_as(spark, rows, schema):
+    return spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
+
+
+def test_units_of_any_depth_and_too_deep(spark):
+    deep = lambda k: {"id": k, "sum": k, "items": [deep(k - 1)]} if k else {"id": 0, "count": "3"}
+    rows = [{"id": 1, "trd_buy_id": 2, "bin": 3, "rows": {"children": [{"price": "5"}, {"note": "no unit"}]}}, {"id": 4, "trd_buy_id": 2, "bin": 3, "unit_list": [deep(2)]}, {"id": 5, "trd_buy_id": 2, "bin": 3, "unit_list": [deep(4)]}]
+    parsed = records.parse_contracts(read_as(spark, rows, records.record_schema("contracts")), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    assert sorted((r.contract_id, r.reject_reason) for r in parsed) == sorted([(1, None)] + [(4, None)] * 3 + [(5, "too_deep")] * 3)
+
+
+def test_codes_of_texts_numbers_and_objects(spark):
+    point = {"id": 1, "tru_code": "11", "tru_list": ["12", 13, {"code": "14", "lvl2": "1", "children": [{"enstru_code": 15}, "16"]}], "pln_point_kato_list": [{"kato": "71"}, {"code": "75"}]}
+    got = records.parse_lots(read_as(spark, [{"id": 1, "buy_id": 2, "kato": "35", "point_list": [point]}], records.record_schema("lots")), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    assert {r.category for r in got} == {"11", "12", "13", "14", "1", "15", "16"} and {r.region for r in got} == {"35", "71", "75"} and len(got) == 21
+
+
 def test_lots_cross_codes_and_regions(spark):
     schema = records.record_schema("lots")
     empty = dict.fromkeys([f.name for f in schema.fields])
     rows = [{**empty, "lot_id": "1", "trd_buy_id": "2", "point_list": [{"id": "5", "enstr_code": "11", "count": "4", "amount": "10"}], "enstru_list": ["12", "11"], "pln_point_kato_list": ["71", "75"]}, {**empty, "id": "3", "trd_buy_id": "2"}]
-    got = records.parse_lots(spark.createDataFrame(rows, schema), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    got = records.parse_lots(read_as(spark, rows, schema), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
     assert {(r.category, r.region) for r in got if r.reject_reason is None} == {(c, p) for c in ("11", "12") for p in ("71", "75")}
     assert [r.reject_reason for r in got if r.source_id == 3] == ["missing_code"]
     assert {r.unit_price for r in got if r.source_id == 1} == {Decimal("2.50")} and len({r.id for r in got}) == 5
@@ -206,7 +223,7 @@ def test_lots_cross_codes_and_regions(spark):
 @pytest.mark.parametrize("entity", ["subjects", "plans", "announcements", "acts"])
 def test_other_parsers_run_on_empty_records(spark, entity):
     schema = records.record_schema(entity)
-    out = records.PARSERS[entity](spark.createDataFrame([dict.fromkeys(f.name for f in schema.fields)], schema), F.lit("2024-01-01").cast("timestamp_ntz"))
+    out = records.PARSERS[entity](read_as(spark, [{}], schema), F.lit("2024-01-01").cast("timestamp_ntz"))
     assert [r.reject_reason for r in out.collect()] == ["missing_id"]
 
 
@@ -362,7 +379,7 @@ def test_confidence(spark):
     c = lambda n_, q: value(spark, answers.confidence(F.lit(n_), F.lit(1.0), F.lit(True), F.lit(0.5), F.lit("SEARCH"), F.lit(q), F.lit(0.02)))
     assert c(0, "PASS") == 0.0 and c(4, "PASS") == pytest.approx(0.44) and c(100, "FAIL") == pytest.approx(0.69)
     assert value(spark, answers.simple_confidence(F.lit(20), F.lit(0.5), F.lit(True))) == 0.45
-    assert len(value(spark, answers.limitations(F.lit(3), F.lit(0.4), F.lit(True)))) == 3
+    assert [(x.code, x.value) for x in value(spark, answers.limitations(F.lit(3), F.lit(0.4), F.lit(True)))] == [("few_rows", 3.0), ("gaps", 0.6), ("partial_period", None)]
 
 
 def test_high_water_mark_and_plan(spark):
