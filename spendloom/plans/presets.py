@@ -33,22 +33,23 @@ def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.concat(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("code"), F.col("n_name").alias("name"))
 
 
-def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contracts(spark: SparkSession, sf_dir: str, *, category: bool = True, region: bool = True) -> DataFrame:
     """Latest snapshot: id, announcement_id, lot_id, customer, supplier, category, region, amount, quantity, sign_date,
-    updated_at. Dimensions are joined after the snapshot, so Spark prunes and broadcasts what it can."""
-    li = latest_lines(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
-    joined = joined.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    region = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0"))
-    return joined.select(
-        "id", F.col("l_orderkey").alias("announcement_id"), F.col("l_partkey").alias("lot_id"), F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier"),
-        F.regexp_replace("p_brand", "[^0-9]", "").alias("category"), region.alias("region"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
+    updated_at. Dimensions are joined after the snapshot, and only those asked for, since Spark keeps inner joins."""
+    rows = latest_lines(spark, sf_dir)
+    rows = rows.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    columns = [
+        "id", F.col("l_orderkey").alias("announcement_id"), F.col("l_partkey").alias("lot_id"), F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         F.col("l_quantity").alias("quantity"), F.col("o_orderdate").alias("sign_date"), F.col("l_shipdate").alias("updated_at"),
-    )
+    ]
+    if category:
+        rows = rows.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        columns.insert(5, F.regexp_replace("p_brand", "[^0-9]", "").alias("category"))
+    if region:
+        rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        rows = rows.join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+        columns.insert(6 if category else 5, F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("region"))
+    return rows.select(*columns)
 
 
 #: The same views in SQL.

@@ -36,13 +36,13 @@ TOTALS = "CAST(sum(amount) AS DOUBLE) AS total_spend, count(*) AS contract_count
 
 @query(f"SELECT customer, {TOTALS} FROM contracts WHERE amount > 0 AND customer > 0 GROUP BY customer")
 def q1_total_by_customer(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.total_by_customer(contracts(spark, sf).where(scope.contract_filter()))
+    out = spend.total_by_customer(contracts(spark, sf, category=False, region=False).where(scope.contract_filter()))
     return out.select("customer", *money("total_spend"), "contract_count")
 
 
 @query(f"SELECT category, {TOTALS} FROM contracts WHERE amount > 0 AND length(category) = 2 GROUP BY category")
 def q2_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.by_category(contracts(spark, sf).where(scope.contract_filter()), 2)
+    out = spend.by_category(contracts(spark, sf, region=False).where(scope.contract_filter()), 2)
     return out.select("category", *money("total_spend"), "contract_count")
 
 
@@ -50,7 +50,7 @@ def q2_by_category(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT substr(region, 1, 2) AS region, {TOTALS} FROM contracts WHERE amount > 0 GROUP BY 1) s
   JOIN nation ON s.region = lpad(CAST(n_nationkey AS VARCHAR), 2, '0')""")
 def q3_by_region(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.by_region(contracts(spark, sf).where(scope.contract_filter()), region_names(spark, sf))
+    out = spend.by_region(contracts(spark, sf, category=False).where(scope.contract_filter()), region_names(spark, sf))
     return out.select("region", "region_name", *money("total_spend"), "contract_count")
 
 
@@ -60,7 +60,7 @@ def q3_by_region(spark: SparkSession, sf: str) -> DataFrame:
       JOIN (SELECT customer, sum(amount) AS t, count(*) AS n FROM contracts WHERE amount > 0 GROUP BY 1 HAVING count(*) >= 5) c ON p.customer = c.customer
     WHERE supplier > 0 AND s > 0) x GROUP BY customer""")
 def q4_supplier_concentration(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.supplier_concentration(contracts(spark, sf).where(scope.contract_filter()))
+    out = spend.supplier_concentration(contracts(spark, sf, category=False, region=False).where(scope.contract_filter()))
     return out.select("customer", *money("hhi"), "supplier_count", *money("top_share"))
 
 
@@ -68,13 +68,13 @@ def q4_supplier_concentration(spark: SparkSession, sf: str) -> DataFrame:
     SELECT year, t, contract_count, lag(t) OVER (ORDER BY year) AS p FROM
       (SELECT year(sign_date) AS year, sum(amount) AS t, count(*) AS contract_count FROM contracts WHERE amount > 0 GROUP BY 1) y) z""")
 def q5_year_over_year(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.year_over_year(contracts(spark, sf).where(scope.contract_filter()))
+    out = spend.year_over_year(contracts(spark, sf, category=False, region=False).where(scope.contract_filter()))
     return out.select(F.col("year").cast("long").alias("year"), *money("total_spend"), "contract_count", *money("change_pct"))
 
 
 @query("SELECT customer, count(*) AS contract_count, CAST(sum(amount) AS DOUBLE) AS total_spend FROM contracts WHERE year(sign_date) BETWEEN 1996 AND 1998 GROUP BY 1")
 def q7_customer_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return spend.customer_volume(contracts(spark, sf), (1996, 1998)).select("customer", "contract_count", *money("total_spend"))
+    return spend.customer_volume(contracts(spark, sf, category=False, region=False), (1996, 1998)).select("customer", "contract_count", *money("total_spend"))
 
 
 BUNDLE_SQL = """SELECT 'customer' AS section, CAST(customer AS VARCHAR) AS key, CAST(sum(amount) AS DOUBLE) AS value, count(*) AS contract_count FROM contracts WHERE customer > 0 GROUP BY customer
@@ -103,20 +103,20 @@ def q8_analytics_bundle_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT customer, CAST(CAST(sign_date AS DATE) AS VARCHAR) AS day, CAST(strftime(sign_date, '%Y%m') AS INTEGER) AS month, CAST(sum(amount) AS DOUBLE) AS total_spend,
   count(*) AS contract_count FROM contracts WHERE amount > 0 GROUP BY 1, 2, 3""")
 def s7_daily_by_customer(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.daily_rollup(contracts(spark, sf), ["customer"])
+    out = spend.daily_rollup(contracts(spark, sf, category=False, region=False), ["customer"])
     return out.select("customer", F.col("day").cast("string").alias("day"), "month", *money("total_spend"), "contract_count")
 
 
 @query("""SELECT category, CAST(CAST(sign_date AS DATE) AS VARCHAR) AS day, CAST(strftime(sign_date, '%Y%m') AS INTEGER) AS month, CAST(sum(amount) AS DOUBLE) AS total_spend,
   count(*) AS contract_count FROM contracts WHERE amount > 0 AND length(category) = 2 GROUP BY 1, 2, 3""")
 def s8_daily_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    out = spend.daily_rollup(contracts(spark, sf).where(F.length("category") == 2), ["category"])
+    out = spend.daily_rollup(contracts(spark, sf, region=False).where(F.length("category") == 2), ["category"])
     return out.select("category", F.col("day").cast("string").alias("day"), "month", *money("total_spend"), "contract_count")
 
 
 @query("SELECT customer, CAST(sum(amount) AS DOUBLE) AS total_spend, count(*) AS contract_count FROM contracts WHERE amount > 0 GROUP BY customer")
 def s9_merged_rollups(spark: SparkSession, sf: str) -> DataFrame:
-    base = contracts(spark, sf)
+    base = contracts(spark, sf, category=False, region=False)
     parts = [spend.daily_rollup(base.where(F.year("sign_date") % 2 == k), ["customer"]) for k in (0, 1)]
     return spend.merge_rollups(parts, ["customer"]).select("customer", *money("total_spend"), "contract_count")
 
@@ -240,7 +240,7 @@ def f4_keyword_match(spark: SparkSession, sf: str) -> DataFrame:
   round(sum(CAST(amount AS DOUBLE) * quantity) / sum(quantity), 4) AS weighted, round(avg(CAST(amount AS DOUBLE)) - 1.959964 * stddev_samp(CAST(amount AS DOUBLE)) / sqrt(count(*)), 4) AS ci_low
   FROM contracts GROUP BY category""")
 def t9_describe(spark: SparkSession, sf: str) -> DataFrame:
-    base = contracts(spark, sf).withColumn("value", F.col("amount").cast("double"))
+    base = contracts(spark, sf, region=False).withColumn("value", F.col("amount").cast("double"))
     d = stats.describe(base, ["category"], "value").select("category", "n", *(F.round(c, 3).alias(c) for c in ("median", "p25", "p90", "p99", "mad")), F.round("ci_low", 4).alias("ci_low"))
     w = base.groupBy("category").agg((F.sum("amount").cast("double") / F.count("amount")).alias("mean"), F.round(stats.weighted_mean(F.col("value"), F.col("quantity")), 4).alias("weighted"))
     return d.join(w, "category")
