@@ -180,6 +180,7 @@ class Merger:
     """Lazily compiled transducer from the bytes of a pretoken to tokens of a byte-level BPE vocabulary."""
 
     START = -1
+    FEW = 8
 
     def __init__(self, merges: list[tuple[int, int, int]], byte_ids: dict[int, int], token_bytes: dict[int, bytes], max_states: int = 100_000):
         """merges: (left id, right id, merged id) by rank."""
@@ -340,6 +341,24 @@ class Merger:
             at[new] = self.page[state[new] * 8 + high[new]].astype(np.int64) * 32 + low[new]
         return at
 
+    def _alone(self, data: np.ndarray, low: int, high: int, state: int, last: np.ndarray | None) -> tuple[int, int]:
+        """End state and tokens of one run of bytes from ``state``."""
+        total, step = 0, 1 << 14
+        for begin in range(low, high, step):
+            for pos, byte in enumerate(data[begin : min(high, begin + step)].tolist(), begin):
+                page = self.page.item(state * 8 + (byte >> 5))
+                to = self.to.item(page, byte & 31) if page else -1
+                if to < 0:
+                    self._compile(state, byte)
+                    page = self.page.item(state * 8 + (byte >> 5))
+                    to = self.to.item(page, byte & 31)
+                total += self.delta.item(page, byte & 31)
+                state = to
+                self.seen[state] = self.batch
+                if last is not None:
+                    last[pos] = self.last[state]
+        return state, total
+
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, trace: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens in each pretoken, and with ``trace`` the last token after every byte of ``data``."""
         if len(self.states) > self.max_states:
@@ -354,6 +373,12 @@ class Merger:
         total = np.zeros(len(order), np.int32)
         last = np.zeros(len(data), np.int32) if trace else None
         for k, n in enumerate(left):
+            if n <= self.FEW:
+                # the longest runs go on alone, without an array for each byte
+                for i in range(n):
+                    state[i], more = self._alone(data, int(first[i]) + k, int(first[i] + longest[i]), int(state[i]), last)
+                    total[i] += more
+                break
             pos = first[:n] + k
             at = self._step(state[:n], data[pos].astype(np.int64))
             state[:n] = self.to.ravel()[at]

@@ -255,3 +255,9 @@ def test_mixing_overlapping_sources(spark):
     assert mix_sources(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, None, None), (1, "", "a"), (2, "one word", "a"), (2, "one word", "a")], "doc_id long, text string, source string")
     assert mix_sources(nulls).count() == 4
+
+
+def test_water_fill_by_hand():
+    """160 words by 5 : 2 : 1 are 100, 40, 20; the second stops at 30, its 10 go on by 5 : 1."""
+    assert water_fill([100, 10, 50], [5, 2, 1], 160, 3) == pytest.approx([100 + 50 / 6, 30, 20 + 10 / 6])
+    assert water_fill([4, 4], [1, 1], 40, 3) == [12, 12] and water_fill([0, 5], [5, 2], 5, 3) == [0, 5]
