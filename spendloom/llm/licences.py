@@ -188,12 +188,17 @@ UNKNOWN = (
     "spricht mit", "mit uns",
     "Ein Haus mit Garten", "kommt mit",
     "The attention of the general public", "A total eclipse",
+    "Er kommt mit dem Bus", "Wir gehen mit den Kindern", "Das Kind spielt mit dem Ball",
+    "Sie schreibt mit einem Stift", "mit Blick auf das Meer", "Brot mit Butter und Salz",
+    "Er sprach lange mit seinem Lehrer", "zusammen mit anderen", "mit großer Mühe",
+    "Die Stadt wuchs mit der Zeit", "mit dem Zug", "Kaffee mit Zucker",
+    "Der Mann mit dem Hut", "nicht mit mir", "mit allen Mitteln",
 )
 
 # Words that say nothing of a licence, alone or with each other.
 COMMON = frozenset(
     "a about above after again all also an and any are as at be been before but by can could do each either for from had has have he her his how i if in into is it its last made make may more most must "
-    "new no not of on one or other our out over said same see should so some such than that the their them then there these they this those through to two under until up use used was we were what "
+    "new no not of on one or other our out over said same see should so some such than that the their them then there these they this those through to two under until up only use used was we were what "
     "when where which who will with would year you your der die das und den dem ein eine für nicht von zu ist la le les de des et un une en el los las y que del".split()
 )
 
@@ -201,6 +206,10 @@ COMMON = frozenset(
 WORD = r"[a-z0-9]+"
 #: A paragraph is scored in windows of so many words, half overlapping.
 WINDOW = 32
+#: In a paragraph of so many words, one telling word may state a licence.
+SHORT = 8
+#: The least chance at which a licence counts as stated.
+CERTAINTY = 0.6
 
 
 def words_of(text: str) -> list[str]:
@@ -224,7 +233,8 @@ def windows_of(words: list[str]) -> list[list[str]]:
 @dataclass(frozen=True)
 class Model:
     """Sparse one-against-rest logistic regressions: weights[n-gram][family], biases, slope and offset of the
-    calibration, the words without one of which no paragraph scores above the biases, and the templates by family."""
+    calibration, the words without one of which no paragraph scores above the biases, those of them that don't tell alone
+    among more than SHORT words, and the templates by family."""
 
     families: tuple[str, ...]
     weights: dict[str, tuple[float, ...]]
@@ -232,6 +242,7 @@ class Model:
     slope: float
     offset: float
     anchors: tuple[str, ...]
+    weak: tuple[str, ...]
     templates: dict[str, tuple[str, ...]]
 
 
@@ -305,8 +316,15 @@ def train(licences: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str,
         slope, offset = slope - 0.2 * float(d @ best), offset - 0.2 * float(d.sum())
     rising = [g for g, row in weights.items() if max(row) > 0]
     anchors = tuple(sorted({w for g in rising for w in g.split(" ") if telling(w)}))
+    # what a word can add up to with common words beside it, over the n-grams of more than SHORT words
+    def reach(word: str) -> float:
+        alone = np.maximum(0, weights.get(word, np.zeros(len(families))))
+        beside = [np.maximum(0, weights[g]) for g in rising if " " in g and word in g.split(" ") and all(w == word or not telling(w) for w in g.split(" "))]
+        return float(((alone + np.sort(beside, axis=0)[-2:].sum(axis=0) if beside else alone) / math.sqrt(2 * SHORT + 1) + bias).max())
+
+    weak = tuple(a for a in anchors if 1 / (1 + math.exp(-(slope * reach(a) + offset))) < CERTAINTY)
     templates = {f: tuple([*ns, *ids, *ts]) for f, (ns, ids, ts) in licences.items()}
-    return Model(families, weights, tuple(round(float(b), 3) for b in bias), round(slope, 4), round(offset, 4), anchors, templates)
+    return Model(families, weights, tuple(round(float(b), 3) for b in bias), round(slope, 4), round(offset, 4), anchors, weak, templates)
 
 
 @functools.lru_cache(maxsize=1)
@@ -314,7 +332,7 @@ def default_model() -> Model:
     return train()
 
 
-def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text", doc_id: str = "doc_id", certainty: float = 0.6, agreement: float = 0.6) -> DataFrame:
+def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text", doc_id: str = "doc_id", certainty: float = CERTAINTY, agreement: float = 0.6) -> DataFrame:
     """One row per paragraph that speaks of licences: doc_id, paragraph, start, family, probability, template, agreement,
     confirmed.
 
@@ -325,35 +343,41 @@ def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text
     ``certainty``. A known family is then compared with its templates: agreement is the largest share of a template's
     n-grams that the window has, and confirmed says whether it reaches ``agreement``.
 
-    Only paragraphs with one of the model's anchors are scored and listed. The anchors are all telling words of n-grams
-    with a positive weight, so any other paragraph scores no more than the biases, which is unknown.
+    Paragraphs are scored and listed if they have an anchor, or, of more than SHORT words, one that is not weak or two
+    different ones. The anchors are all telling words of n-grams with a positive weight, so a paragraph without any
+    scores no more than the biases; a weak one alone, with common words beside it, can't lift so many words to
+    CERTAINTY. So the others are unknown without being scored.
 
     start is the character at which the paragraph begins. A null or empty text has no paragraphs and gives no rows;
     repeated rows are scanned each; a null doc_id stays null; an empty table gives no rows. A paragraph of any length
     is read whole. Only functions of Spark are used; the model is a fixed table of weights.
     """
     model = model or default_model()
-    if 1 / (1 + math.exp(-(model.slope * max(model.bias) + model.offset))) >= certainty:
-        raise ValueError("a paragraph without any n-gram of the model would be known")
+    if certainty < CERTAINTY or 1 / (1 + math.exp(-(model.slope * max(model.bias) + model.offset))) >= certainty:
+        raise ValueError(f"paragraphs that are not scored could be known; certainty is at least {CERTAINTY}")
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    anchor = rf"\b(?:{'|'.join(model.anchors)})\b"
+    anchor = rf"(?<![a-z0-9])(?:{'|'.join(model.anchors)})(?![a-z0-9])"
     joined = F.regexp_replace("text", r"(?<=[^.!?:;\s])\n(?=\S)", " ")
     rows = rows.where(F.lower("text").rlike(anchor)).select("doc_id", F.split(joined, "\n").alias("all"))
     lines = rows.select("doc_id", "all", F.posexplode("all").alias("paragraph", "line"))
     start = F.aggregate(F.slice("all", 1, F.col("paragraph")), F.lit(0).cast("long"), lambda s, x: s + F.char_length(x) + 1)
-    lines = lines.where(F.lower("line").rlike(anchor)).select("doc_id", "paragraph", start.alias("start"), "line")
-    lines = lines.withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
+    lines = lines.where(F.lower("line").rlike(anchor)).withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
+    found = F.array_intersect("words", F.array(*(F.lit(w) for w in model.anchors)))
+    strong = F.array(*(F.lit(w) for w in model.anchors if w not in model.weak)).cast("array<string>")
+    lines = lines.withColumn("found", F.when(F.size("words") > SHORT, found)).where(F.col("found").isNull() | (F.size("found") > 1) | F.arrays_overlap("found", strong))
+    lines = lines.select("doc_id", "paragraph", start.alias("start"), "words")
     last = F.greatest(F.lit(0), F.size("words") - WINDOW // 2 - 1)
     windows = F.transform(F.sequence(F.lit(0), last, F.lit(WINDOW // 2)), lambda k: F.slice(F.col("words"), k + 1, F.lit(WINDOW)))
-    lines = lines.select("doc_id", "paragraph", "start", F.transform(windows, _grams).alias("windows"))
     keys = F.array(*(F.lit(g) for g in sorted(model.weights)))
+    # the few n-grams of the paragraph that have weights are found once for all windows
+    lines = lines.select("doc_id", "paragraph", "start", F.transform(windows, _grams).alias("windows"), F.array_intersect(_grams(F.col("words")), keys).alias("known"))
     weights = F.map_from_arrays(keys, F.array(*(F.array(*(F.lit(x) for x in model.weights[g])) for g in sorted(model.weights))))
     zero = F.array(*(F.lit(0.0) for _ in model.families))
     bias = F.array(*(F.lit(b) for b in model.bias))
     names = F.array(*(F.lit(x) for x in model.families))
 
     def scored(grams: Column) -> Column:
-        hits = F.transform(F.array_intersect(grams, keys), lambda g: F.try_element_at(weights, g))
+        hits = F.transform(F.array_intersect(grams, F.col("known")), lambda g: F.try_element_at(weights, g))
         total = F.aggregate(hits, zero, lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
         scores = F.zip_with(total, bias, lambda t, b: t / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + b)
         return F.struct(F.array_max(scores).alias("best"), scores.alias("scores"), grams.alias("grams"))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spendloom.llm.licences import LICENCES, default_model, grams_of, scan_licences, windows_of, words_of
+from spendloom.llm.licences import LICENCES, SHORT, default_model, grams_of, scan_licences, windows_of, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,13 +68,13 @@ def test_wrapped_text_and_templates(spark):
 def test_scan_equals_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = default_model()
-    anchor = re.compile(rf"\b(?:{'|'.join(model.anchors)})\b")
     wanted = {}
     for r in docs.collect():
         joined = re.sub(r"(?<=[^.!?:;\s])\n(?=\S)", " ", r.text or "")
         start = 0
         for k, line in enumerate(joined.split("\n")):
-            if anchor.search(line.lower()):
+            own = set(words_of(line)) & set(model.anchors)
+            if len(words_of(line)) <= SHORT and own or len(own) > 1 or own - set(model.weak):
                 wanted[r.doc_id, k, start] = plain(line)
             else:
                 assert plain(line)[0] < 0.6
