@@ -296,7 +296,7 @@ def shard_result(links: tuple[np.ndarray, np.ndarray], forest: Forest, shard: st
 
 def near_duplicate_vectors(
     embeddings: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-    sample_rows: int = 20_000, shard_size: int = 2_000, levels: int = 6, audit_every: int = 16, wanted_recall: float = 0.999,
+    sample_rows: int = 20_000, shard_size: int = 6_000, levels: int = 6, audit_every: int = 16, wanted_recall: float = 0.999,
 ) -> tuple[DataFrame, DataFrame]:
     """(result, audit). Result: vec_id, n_links, component_id, kept, one row per vector.
 
@@ -305,7 +305,7 @@ def near_duplicate_vectors(
     vectors of different lengths. Equal vectors of a label are one class, linked with each other and counted each.
     A null vec_id stays null and is not linked. An empty table gives no rows.
 
-    A label over twice ``shard_size`` is dealt to cluster shards around centers fitted on about ``sample_rows`` vectors
+    A label over twice ``shard_size`` (what a task holds with ease) is dealt to cluster shards around centers fitted on about ``sample_rows`` vectors
     a level. These overlap, so that the shard a vector is at home in holds all its neighbours in range. What ``levels``
     cuts don't bring to that size (many vectors within range of each other are in reach of every cell) is dealt into
     blocks: each has its own graph, and pairs of blocks are compared by products. In a shard of any size, a graph is
