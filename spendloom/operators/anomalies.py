@@ -59,9 +59,9 @@ def price_candidates(contracts: DataFrame, min_sample: int = 5, rate: float = 0.
     return rows.withColumn("deviation_pct", (F.col("amount").cast("double") - F.col("expected")) / F.col("expected") * 100)
 
 
-def price_anomalies(contracts: DataFrame, detected_at: str, min_sample: int = 5, rate: float = 0.03, base: str = "2024-01-01", threshold_pct: float = 30.0) -> DataFrame:
+def price_anomalies(contracts: DataFrame, detected_at: str, min_sample: int = 5, rate: float = 0.03, base: str = "2024-01-01", threshold_pct: float = 30.0, urban: Sequence[str] = URBAN_PREFIXES) -> DataFrame:
     """Overpriced contracts: rounded deviation above the threshold and amount above the rounded limit."""
-    rows = price_candidates(contracts, min_sample, rate, base)
+    rows = price_candidates(contracts, min_sample, rate, base, urban)
     limit = F.round((F.col("expected") * (1 + threshold_pct / 100)).cast("decimal(28,8)"), 2)
     shown = F.round(F.col("deviation_pct").cast("decimal(28,8)"), 2)
     found = rows.where((shown > threshold_pct) & (F.col("amount") > limit))

@@ -153,10 +153,10 @@ def u3_change_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT n.p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'new' WHEN n.p_brand = o.p_brand AND n.p_type = o.p_type THEN 'unchanged' ELSE 'changed' END AS change_type
-  FROM part n LEFT JOIN (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'old' ELSE p_brand END AS p_brand, p_type FROM part WHERE p_partkey % 3 <> 0) o ON n.p_partkey = o.p_partkey""")
+  FROM part n LEFT JOIN (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'old' ELSE p_brand END AS p_brand, p_type FROM part WHERE p_size > 15) o ON n.p_partkey = o.p_partkey""")
 def u4_hash_upsert(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    stored = part.where("p_partkey % 3 <> 0").withColumn("p_brand", F.when(F.col("p_size") % 5 == 0, "old").otherwise(F.col("p_brand")))
+    stored = part.where("p_size > 15").withColumn("p_brand", F.when(F.col("p_size") % 5 == 0, "old").otherwise(F.col("p_brand")))
     return versions.hash_upsert(part, stored, ["p_partkey"], ["p_brand", "p_type"], "p_partkey").select("p_partkey", "change_type")
 
 
@@ -191,11 +191,14 @@ def u7_baselines(spark: SparkSession, sf: str) -> DataFrame:
     return one(orders, "orders").unionByName(one(orders.where("o_orderkey < 0"), "none"))
 
 
-@query("""SELECT id, CASE WHEN o_orderkey IS NULL THEN 'missing_link' WHEN year(o_orderdate) NOT IN (1996, 1997) THEN 'out_of_scope' ELSE NULL END AS reject_reason
-  FROM contracts LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON announcement_id = o_orderkey""")
+@query("""SELECT id, CASE WHEN o_orderkey IS NULL THEN 'missing_link' WHEN o_custkey NOT BETWEEN 2 AND 699 OR year(o_orderdate) NOT IN (1996, 1997) THEN 'out_of_scope'
+    WHEN CASE WHEN own > 0 THEN own ELSE o_custkey END NOT BETWEEN 2 AND 699 THEN 'non_target' END AS reject_reason
+  FROM (SELECT *, CASE WHEN quantity > 25 THEN supplier ELSE customer END AS own FROM contracts) c LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT') o ON announcement_id = o_orderkey""")
 def j1_announcement_scope(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.year("o_orderdate").alias("year"))
-    return scope.announcement_scope(contracts(spark, sf), a, [], [1996, 1997]).select("id", "reject_reason")
+    """Urgent orders are no announcements here; contracts of large quantity name their supplier as customer."""
+    a = table(spark, sf, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.year("o_orderdate").alias("year"))
+    rows = contracts(spark, sf, category=False, region=False).withColumn("customer", F.when(F.col("quantity") > 25, F.col("supplier")).otherwise(F.col("customer")))
+    return scope.announcement_scope(rows, a, list(range(2, 700)), [1996, 1997]).select("id", "reject_reason")
 
 
 @query("""SELECT l.l_orderkey * 10 + l.l_linenumber AS id, l.l_shipdate IS NOT NULL AS has_act, c.customer,
@@ -254,9 +257,10 @@ def t8_column_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 AT = "2026-01-01 00:00:00"
+URBAN = ("01", "05", "09")
 PRICE_SQL = """, m AS (SELECT category, CAST(sum(amount) AS DOUBLE) / count(*) AS baseline, count(*) AS sample_size FROM contracts GROUP BY category HAVING count(*) >= 5),
   e AS (SELECT c.*, sample_size, baseline * (CASE WHEN sign_date < TIMESTAMP '1999-01-01' THEN pow(1.03, greatest(0, 1999 - year(sign_date))) ELSE 1.0 END)
-    * (1 + CASE WHEN substr(region, 1, 2) IN ('71', '75', '79') THEN 0.10e0 ELSE -0.05e0 END) AS expected FROM contracts c JOIN m ON c.category = m.category),
+    * (1 + CASE WHEN substr(region, 1, 2) IN ('01', '05', '09') THEN 0.10e0 ELSE -0.05e0 END) AS expected FROM contracts c JOIN m ON c.category = m.category),
   d AS (SELECT *, (CAST(amount AS DOUBLE) - expected) / expected * 100 AS deviation_pct FROM e)
   SELECT id AS entity_id, CAST(amount AS DOUBLE) AS actual, round(expected, 4) AS expected, round(deviation_pct, 4) AS deviation_pct,
     CASE WHEN deviation_pct > 100 THEN 'high' WHEN deviation_pct >= 50 THEN 'medium' ELSE 'low' END AS severity, sample_size
@@ -265,7 +269,7 @@ PRICE_SQL = """, m AS (SELECT category, CAST(sum(amount) AS DOUBLE) / count(*) A
 
 @query(PRICE_SQL)
 def a1_price_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    out = anomalies.price_anomalies(contracts(spark, sf), AT, base="1999-01-01")
+    out = anomalies.price_anomalies(contracts(spark, sf), AT, base="1999-01-01", urban=URBAN)
     return out.select("entity_id", "actual", F.round("expected", 4).alias("expected"), F.round("deviation_pct", 4).alias("deviation_pct"), "severity", "sample_size")
 
 
@@ -354,8 +358,8 @@ def a3_fairness_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
 def a6_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a price run: those analysed (of categories with enough rows), found, and skipped."""
     base = contracts(spark, sf)
-    analysed = anomalies.price_candidates(base, 2000, base="1999-01-01")
-    return anomalies.run_summary(base, analysed, anomalies.price_anomalies(base, AT, 2000, base="1999-01-01"))
+    analysed = anomalies.price_candidates(base, 2000, base="1999-01-01", urban=URBAN)
+    return anomalies.run_summary(base, analysed, anomalies.price_anomalies(base, AT, 2000, base="1999-01-01", urban=URBAN))
 
 
 @query("""SELECT supplier, round(average, 4) AS average, round(z, 6) AS z FROM (SELECT supplier, average, (average - avg(average) OVER ()) / stddev_pop(average) OVER () AS z FROM

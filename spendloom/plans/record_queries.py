@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendloom.functions import normalize as n
 from spendloom.operators import anomalies, answers, quality, retrieval, spend
 from spendloom.plans.presets import contracts, table
-from spendloom.plans.queries import AT, PRICE_SQL, query
+from spendloom.plans.queries import AT, PRICE_SQL, URBAN, query
 from spendloom.plans.text_queries import d12_quality_metrics
 from spendloom.sources import records, tables
 from spendloom.sources.shared import shared_folder
@@ -193,7 +193,7 @@ def s10_table_schema(spark: SparkSession, sf: str) -> DataFrame:
 @query(PRICE_SQL.replace("SELECT id AS entity_id", "SELECT CAST(CAST('0x' || substr(sha256('price|contract|' || CAST(id AS VARCHAR) || '|' || category || '|2026-01-01 00:00:00'), 1, 16) AS UBIGINT) AS VARCHAR) AS anomaly_id, round(baseline, 4) AS baseline, id AS entity_id").replace("SELECT c.*, sample_size,", "SELECT c.*, sample_size, baseline,").replace("CAST(amount AS DOUBLE) AS actual, round(expected, 4) AS expected, round(deviation_pct, 4) AS deviation_pct,\n    CASE WHEN deviation_pct > 100 THEN 'high' WHEN deviation_pct >= 50 THEN 'medium' ELSE 'low' END AS severity, sample_size", "CAST(sample_size AS BIGINT) AS sample_size"))
 def a4_ids_and_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Stable ids of price anomalies, and their evidence read back from JSON."""
-    found = anomalies.price_anomalies(contracts(spark, sf), AT, base="1999-01-01")
+    found = anomalies.price_anomalies(contracts(spark, sf), AT, base="1999-01-01", urban=URBAN)
     read = answers.parsed_evidence(found, "baseline double, sample_size long, expected double, actual double")
     return read.select(F.conv(F.hex("anomaly_id"), 16, 10).alias("anomaly_id"), F.round("evidence.baseline", 4).alias("baseline"), "entity_id", "evidence.sample_size")
 
