@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.llm import quality as q
 from spendloom.llm.repeats import repeated_passages, without_repeats
+from spendloom.llm.sharding import shard_by_bytes
 
 
 def plain_logit(net, text):
@@ -154,3 +155,30 @@ def test_stages_on_awkward_rows(spark, name):
 def test_repeats_without_a_size_column(spark):
     df = awkward(spark).select("doc_id", "text", F.col("`a.b`").alias("c.d"))
     assert without_repeats(df).columns == ["doc_id", "text", "c.d"]
+
+
+def test_sharding_equals_plain_version(spark):
+    """All rows in key order, running bytes, groups of equal texts as one unit unless they are large; no splitters."""
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(900)}" for _ in range(r.choice([1, 5, 40, 300]))) for _ in range(1500)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k, texts[k % 7]) for k in range(2000, 2400)] + [(k, "hot " * 9) for k in range(3000, 3900)] + [(4000, None), (4001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [(x.h, x.doc_id, x.size) for x in df.select(F.xxhash64("text").alias("h"), "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).collect()]
+    keyed.sort()
+    target = sum(s for _, _, s in keyed) / 16
+    at, units, run = [], {}, 0
+    for h, _, size in keyed:
+        at.append(run)
+        low, total, copies = units.get(h, (run, 0, 0))
+        units[h] = (low, total + size, copies + 1)
+        run += size
+    wanted, seen = {}, {}
+    for (h, doc, size), own in zip(keyed, at, strict=True):
+        low, total, copies = units[h]
+        if copies > 1 and total <= 0.005 * target:
+            own, size = low, total
+        shard = min(int((own + size / 2) // target), 15)
+        wanted[doc] = (shard, seen.get(shard, 0))
+        seen[shard] = seen.get(shard, 0) + 1
+    got = {x.doc_id: (x.shard, x.slot) for x in shard_by_bytes(df).collect()}
+    assert got == wanted
