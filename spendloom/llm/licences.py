@@ -362,22 +362,26 @@ def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text
     lines = rows.select("doc_id", "all", F.posexplode("all").alias("paragraph", "line"))
     start = F.aggregate(F.slice("all", 1, F.col("paragraph")), F.lit(0).cast("long"), lambda s, x: s + F.char_length(x) + 1)
     lines = lines.where(F.lower("line").rlike(anchor)).withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
-    found = F.array_intersect("words", F.array(*(F.lit(w) for w in model.anchors)))
-    strong = F.array(*(F.lit(w) for w in model.anchors if w not in model.weak)).cast("array<string>")
+    found = F.array_intersect("words", F.split(F.lit(" ".join(model.anchors)), " "))
+    strong = F.split(F.lit(" ".join(w for w in model.anchors if w not in model.weak)), " ")
     lines = lines.withColumn("found", F.when(F.size("words") > SHORT, found)).where(F.col("found").isNull() | (F.size("found") > 1) | F.arrays_overlap("found", strong))
     lines = lines.select("doc_id", "paragraph", start.alias("start"), "words")
     last = F.greatest(F.lit(0), F.size("words") - WINDOW // 2 - 1)
     windows = F.transform(F.sequence(F.lit(0), last, F.lit(WINDOW // 2)), lambda k: F.slice(F.col("words"), k + 1, F.lit(WINDOW)))
-    keys = F.array(*(F.lit(g) for g in sorted(model.weights)))
+    # tables as one literal each, which Spark turns into constants
+    words_list = lambda words: F.split(F.lit("\n".join(words)), "\n")
+    keys = words_list(sorted(model.weights))
     # the few n-grams of the paragraph that have weights are found once for all windows
     lines = lines.select("doc_id", "paragraph", "start", F.transform(windows, _grams).alias("windows"), F.array_intersect(_grams(F.col("words")), keys).alias("known"))
-    weights = F.map_from_arrays(keys, F.array(*(F.array(*(F.lit(x) for x in model.weights[g])) for g in sorted(model.weights))))
-    zero = F.array(*(F.lit(0.0) for _ in model.families))
+    flat = F.split(F.lit(" ".join(str(x) for g in sorted(model.weights) for x in model.weights[g])), " ").cast("array<double>")
+    size = len(model.families)
+    weights = lambda g: F.slice(flat, ((F.array_position(keys, g) - 1) * size + 1).cast("int"), F.lit(size))
+    zero = F.array_repeat(F.lit(0.0), len(model.families))
     bias = F.array(*(F.lit(b) for b in model.bias))
     names = F.array(*(F.lit(x) for x in model.families))
 
     def scored(grams: Column) -> Column:
-        hits = F.transform(F.array_intersect(grams, F.col("known")), lambda g: F.try_element_at(weights, g))
+        hits = F.transform(F.array_intersect(grams, F.col("known")), weights)
         total = F.aggregate(hits, zero, lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
         scores = F.zip_with(total, bias, lambda t, b: t / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + b)
         return F.struct(F.array_max(scores).alias("best"), scores.alias("scores"), grams.alias("grams"))
@@ -390,7 +394,7 @@ def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text
     shares = []
     for family in model.families:
         for k, t in enumerate(model.templates[family]):
-            grams = F.array(*(F.lit(g) for g in sorted(set(grams_of(words_of(t)[:WINDOW])))))
+            grams = words_list(sorted(set(grams_of(words_of(t)[:WINDOW]))))
             shares.append(F.when(F.col("guess") == family, F.struct((F.size(F.array_intersect(grams, "grams")) / F.size(grams)).alias("share"), F.lit(f"{family}/{k}").alias("template"))))
     known = F.col("probability") >= certainty
     lines = lines.withColumn("match", F.when(known, F.array_max(F.array(*shares))))
