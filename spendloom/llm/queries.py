@@ -14,6 +14,7 @@ from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.nearest import nearest_vectors
 from spendloom.llm.packing import pack_documents
 from spendloom.llm.quality import held_out, score_quality
+from spendloom.llm.ranked_search import SEARCH_SQL, ranked_search
 from spendloom.llm.repeats import repeated_passages
 from spendloom.llm.sharding import shard_by_bytes
 from spendloom.llm.token_counts import token_counts
@@ -64,5 +65,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing)}
-SQL: dict[str, str] = {}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing, op11_ranked_search)}
+SQL: dict[str, str] = {"op11_ranked_search": SEARCH_SQL}
