@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spendloom.llm.columns import table
 from spendloom.llm.embedding_dedup import near_duplicate_vectors
 from spendloom.llm.licences import scan_licences
+from spendloom.llm.line_rules import clean_lines, cleaning_sql
 from spendloom.llm.mixing import mix_sources
 from spendloom.llm.near_dedup import near_duplicates
 from spendloom.llm.nearest import nearest_vectors
@@ -69,5 +70,9 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing, op11_ranked_search)}
-SQL: dict[str, str] = {"op11_ranked_search": SEARCH_SQL}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing, op11_ranked_search, op13_quality_rules)}
+SQL: dict[str, str] = {"op11_ranked_search": SEARCH_SQL, "op13_quality_rules": cleaning_sql()}
