@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendloom.llm.columns import table
 from spendloom.llm.embedding_dedup import near_duplicate_vectors
+from spendloom.llm.hard_negatives import NEGATIVES_SQL, hard_negatives
 from spendloom.llm.licences import scan_licences
 from spendloom.llm.line_rules import clean_lines, cleaning_sql
 from spendloom.llm.mixing import mix_sources
@@ -70,9 +71,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing, op11_ranked_search, op13_quality_rules)}
-SQL: dict[str, str] = {"op11_ranked_search": SEARCH_SQL, "op13_quality_rules": cleaning_sql()}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_nearest_neighbours, op3_quality_classifier, op4_substring_dedup, op5_licence_scan, op6_sharding, op7_minhash_near_dedup, op8_best_fit_packing, op9_token_counts, op10_source_mixing, op11_ranked_search, op12_hard_negatives, op13_quality_rules)}
+SQL: dict[str, str] = {"op11_ranked_search": SEARCH_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_quality_rules": cleaning_sql()}
