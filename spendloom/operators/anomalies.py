@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spendloom.functions.order_stats import LIMIT, order_statistics
+from spendloom.sources.shared import kept
+
 # Name tokens that tell the size of an organisation.
 SMALL_ORG_TOKENS = ("школ", "school", "лицей", "гимназ", "детск", "kindergarten", "ясли", "библиот", "museum", "амбулат", "clinic", "поликлиник")
 LARGE_ORG_TOKENS = ("министер", "ministry", "акимат", "управлен", "департамент", "комитет", "national", "националь")
@@ -133,42 +136,66 @@ def quarter_index(moment: Column) -> Column:
     return F.year(moment) * 4 + F.quarter(moment) - 1
 
 
-def _peer_statistics(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Count, mean and median of the other rows of a group, from ranks and four central values; no self-join."""
-    ordered = Window.partitionBy(*keys).orderBy("amount_d", "id")
-    whole = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"r": F.row_number().over(ordered), "n": F.count(F.lit(1)).over(whole), "total": F.sum("amount").over(whole)})
-    k = F.floor(F.col("n") / 2).cast("int")
-    at = lambda j: F.max(F.when(F.col("r") == k + j, F.col("amount_d"))).over(whole)
-    ranked = ranked.withColumns({"v0": at(0), "v1": at(1), "v2": at(2)})
-    # the median of n - 1 values is the mean of their order statistics lo and up; those at or above the row's own rank
-    # are one further on in the full list
-    lo, up = k, F.floor((F.col("n") - 1) / 2).cast("int") + 1
-    pick = lambda p: F.when(p + (p >= F.col("r")).cast("int") == k, F.col("v0")).when(p + (p >= F.col("r")).cast("int") == k + 1, F.col("v1")).otherwise(F.col("v2"))
-    median = F.when(F.col("n") > 1, (pick(lo) + pick(up)) / 2)
-    mean = F.when(F.col("n") > 1, (F.col("total") - F.col("amount")).cast("double") / (F.col("n") - 1))
-    return ranked.withColumns({f"{prefix}_n": F.col("n") - 1, f"{prefix}_median": median, f"{prefix}_mean": mean}).drop("r", "n", "total", "v0", "v1", "v2")
-
-
-def fairness_scores(contracts: DataFrame, min_sample: int = 5) -> DataFrame:
+#: What peers share beside the category and the time, from the narrowest scope to the widest.
+SCOPES = {"exact": ["region_full"], "prefix": ["region2"], "category": []}
+
+
+def _central(n: Column) -> list[Column]:
+    """Ranks that hold the median of the others, whichever row is left out."""
+    return [F.floor(n / 2).cast("long") + j for j in range(3)]
+
+
+def _scope_table(rows: DataFrame, keys: list[str], prefix: str, limit: int, sized: bool) -> DataFrame:
+    """Of each group its size, its central values and its sum; a row a group."""
+    central = order_statistics(rows, keys, "amount_d", _central, limit, sized).withColumnsRenamed({"n": f"{prefix}_size", "at": f"{prefix}_at"})
+    return central.join(rows.groupBy(*keys).agg(F.sum("amount").alias(f"{prefix}_total")), keys)
+
+
+def _without_own(prefix: str) -> dict[str, Column]:
+    """Count, median and mean of a row's group without the row.
+
+    Taking one of several equal values away changes nothing below it and moves up what comes after the last of them. So
+    the rank p of the others is the rank p of all if that value lies below the row's own, and rank p + 1 if not.
+    """
+    n, at, own = F.col(f"{prefix}_size"), F.col(f"{prefix}_at"), F.col("amount_d")
+    pick = lambda p: F.when(own <= at[p], at[p + 1]).otherwise(at[p])
+    median = F.when(n > 1, (pick(0) + F.when(n % 2 == 0, pick(0)).otherwise(pick(1))) / 2)
+    mean = F.when(n > 1, (F.col(f"{prefix}_total") - F.col("amount")).cast("double") / (n - 1))
+    return {f"{prefix}_n": n - 1, f"{prefix}_median": median, f"{prefix}_mean": mean}
+
+
+def fairness_scores(contracts: DataFrame, min_sample: int = 5, limit: int = LIMIT) -> DataFrame:
     """Each contract's amount over the median of its peers: same category and quarter, without itself.
 
     The first scope with ``min_sample`` peers counts: same region, same two-character region, any region; if even the
     last has too few, the same three with one quarter more on either side. Rows without such a scope are left out.
-    Every row goes to the buckets of its own and the two neighbouring quarters; within a bucket, medians of the others
-    follow from ranks, so the cost is linear in the rows.
+
+    No row meets its peers: each group has one row with its size, sum and three central values, and the tables of the
+    scopes are joined before the contracts are. A group of more than ``limit`` rows is not gathered either; its central
+    values are found by counts (see ``order_statistics``). Neighbouring quarters are looked at only for the quarters
+    whose own peers are too few. The contracts are computed once, into the shared checkpoint folder.
     """
-    rows = contracts.where(F.col("amount") > 0).withColumns({"amount_d": F.col("amount").cast("double"), "q": quarter_index(F.col("sign_date")), "region2": F.substring(F.coalesce("region", F.lit("")), 1, 2), "region_full": F.coalesce("region", F.lit(""))})
-    scopes = [("exact", ["region_full"]), ("prefix", ["region2"]), ("category", [])]
-    own = rows
-    for name, keys in scopes:
-        own = _peer_statistics(own, ["category", "q", *keys], f"same_{name}")
-    wide = rows.select("id", "category", "amount", "amount_d", "region_full", "region2", "q", F.explode(F.array(F.col("q") - 1, F.col("q"), F.col("q") + 1)).alias("bucket"))
-    for name, keys in scopes:
-        wide = _peer_statistics(wide, ["category", "bucket", *keys], f"wide_{name}")
-    wide = wide.where("bucket = q").select("id", *(f"wide_{n}_{s}" for n, _ in scopes for s in ("n", "median", "mean")))
-    joined = own.join(wide, "id")
-    order = [f"{t}_{n}" for t in ("same", "wide") for n, _ in scopes]
+    columns = {"amount_d": F.col("amount").cast("double"), "q": quarter_index(F.col("sign_date")), "region2": F.substring(F.coalesce("region", F.lit("")), 1, 2), "region_full": F.coalesce("region", F.lit(""))}
+    rows = contracts.where(F.col("amount") > 0).select("id", "customer", "category", "region", "sign_date", "amount").withColumns(columns)
+    rows = kept(rows.where(F.col("category").isNotNull() & F.col("q").isNotNull()))
+    sizes = kept(rows.groupBy("category", "q").agg(F.count(F.lit(1)).alias("n")))
+    sized = sizes.where(F.col("n") > limit).isEmpty()
+
+    def groups(peers: DataFrame, time: str, kind: str) -> DataFrame:
+        """(category, time, region_full) with what is known of each scope."""
+        exact, prefix, whole = (_scope_table(peers, ["category", time, *keys], f"{kind}_{name}", limit, sized) for name, keys in SCOPES.items())
+        return exact.withColumn("region2", F.substring("region_full", 1, 2)).join(prefix, ["category", time, "region2"]).join(whole, ["category", time]).drop("region2")
+
+    joined = rows.join(groups(rows, "q", "same"), ["category", "q", "region_full"])
+    few = sizes.where(F.col("n") <= min_sample).select("category", F.col("q").alias("bucket"))
+    kinds = ["same"]
+    if not few.isEmpty():
+        near = few.select("category", "bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("q"))
+        wide = groups(rows.join(near, ["category", "q"]), "bucket", "wide").withColumnRenamed("bucket", "q")
+        joined = joined.join(wide, ["category", "q", "region_full"], "left")
+        kinds.append("wide")
+    order = [f"{t}_{n}" for t in kinds for n in SCOPES]
+    joined = joined.withColumns({k: c for p in order for k, c in _without_own(p).items()})
     scope = F.coalesce(*(F.when(F.col(f"{p}_n") >= min_sample, F.lit(p)) for p in order))
     chosen = lambda s: F.coalesce(*(F.when(F.col(f"{p}_n") >= min_sample, F.col(f"{p}_{s}")) for p in order))
     joined = joined.withColumns({"scope": scope, "peer_count": chosen("n"), "peer_median": chosen("median"), "peer_mean": chosen("mean")})
@@ -176,9 +203,9 @@ def fairness_scores(contracts: DataFrame, min_sample: int = 5) -> DataFrame:
     return joined.select("id", "customer", "category", "region", "sign_date", F.col("amount_d").alias("actual"), "scope", "peer_count", "peer_median", "peer_mean", "score")
 
 
-def fairness_anomalies(contracts: DataFrame, detected_at: str, min_sample: int = 5, low: float = 0.7, high: float = 1.3) -> DataFrame:
+def fairness_anomalies(contracts: DataFrame, detected_at: str, min_sample: int = 5, low: float = 0.7, high: float = 1.3, limit: int = LIMIT) -> DataFrame:
     """Contracts whose fairness score is below ``low`` or above ``high``."""
-    found = fairness_scores(contracts, min_sample).where((F.col("score") < low) | (F.col("score") > high))
+    found = fairness_scores(contracts, min_sample, limit).where((F.col("score") < low) | (F.col("score") > high))
     return found.select(
         stable_id(F.lit("fairness"), F.lit("contract"), F.col("id"), F.col("category"), F.lit(detected_at)).alias("anomaly_id"),
         F.lit("fairness").alias("anomaly_type"), F.lit("contract").alias("entity_type"), F.col("id").alias("entity_id"), "customer", "category", "region", "sign_date", "actual",

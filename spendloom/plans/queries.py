@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.functions import stats
+from spendloom.functions import order_stats, stats
 from spendloom.operators import anomalies, scope, spend, versions
 from spendloom.plans.presets import CONTRACTS_SQL, VERSION_COLUMNS, contracts, latest_lines, line_versions, region_names, table
 
@@ -94,10 +94,11 @@ def q8_analytics_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return spend.analytics_bundle(contracts(spark, sf), region_names(spark, sf))
 
 
-@query(BUNDLE_SQL)
+@query(re.sub(r"\bFROM contracts\b", "FROM (SELECT * FROM contracts WHERE amount > 0 AND sign_date >= TIMESTAMP '1996-01-01' AND sign_date <= TIMESTAMP '1999-12-31 23:59:59') c", BUNDLE_SQL))
 def q8_analytics_bundle_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same query under its older name."""
-    return q8_analytics_bundle(spark, sf)
+    """The bundle over what a filter leaves, the filter being applied once for all sections."""
+    base = contracts(spark, sf).where(scope.contract_filter(start="1996-01-01", end="1999-12-31 23:59:59"))
+    return spend.analytics_bundle(base, region_names(spark, sf))
 
 
 @query("""SELECT customer, CAST(CAST(sign_date AS DATE) AS VARCHAR) AS day, CAST(strftime(sign_date, '%Y%m') AS INTEGER) AS month, CAST(sum(amount) AS DOUBLE) AS total_spend,
@@ -256,6 +257,30 @@ def t8_column_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").where("l_quantity > 10").agg(stats.median(v).alias("median"), stats.percentile(v, 95).alias("p95"), stats.iqr(v).alias("iqr"))
 
 
+@query("""SELECT category, count(*) AS n, round(quantile_cont(CAST(amount AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(amount AS DOUBLE), 0.5), 6) AS p50,
+  round(quantile_cont(CAST(amount AS DOUBLE), 0.995), 6) AS p99_5 FROM contracts GROUP BY category""")
+def t4_split_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles with every group of over 100 contracts split, as groups of over LIMIT rows are."""
+    out = order_stats.group_percentiles(contracts(spark, sf, region=False), ["category"], "amount", [10, 50, 99.5], limit=100)
+    return out.select("category", "n", *(F.round(F.col("percentiles")[k], 6).alias(c) for k, c in enumerate(("p10", "p50", "p99_5"))))
+
+
+QS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+@query(f"""SELECT category, q, n, true AS within FROM (SELECT category, count(*) AS n FROM contracts GROUP BY category) c, (VALUES {", ".join(f"({q}::DOUBLE)" for q in QS)}) v(q)""")
+def t8_merged_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles from sketches of single months, merged; within: whether the true rank of what they give is off by no
+    more than the stated error (one value's rows aside)."""
+    base = contracts(spark, sf, region=False).select("category", F.date_format("sign_date", "yyyyMM").alias("month"), F.col("amount").cast("double").alias("x"))
+    monthly = order_stats.quantile_sketches(base, ["category", "month"], "x")
+    merged = order_stats.merged_quantiles(monthly, ["category"], QS)
+    asked = merged.select("category", "n", F.posexplode("quantiles").alias("k", "v")).withColumn("q", F.array(*map(F.lit, QS))[F.col("k")])
+    ranks = base.join(asked, "category").groupBy("category", "q", "n").agg(F.count_if(F.col("x") < F.col("v")).alias("below"), F.count_if(F.col("x") <= F.col("v")).alias("upto"))
+    error = order_stats.SKETCH_ERROR
+    return ranks.select("category", "q", "n", ((F.col("below") / F.col("n") <= F.col("q") + error) & (F.col("upto") / F.col("n") >= F.col("q") - error)).alias("within"))
+
+
 AT = "2026-01-01 00:00:00"
 URBAN = ("01", "05", "09")
 PRICE_SQL = """, m AS (SELECT category, CAST(sum(amount) AS DOUBLE) / count(*) AS baseline, count(*) AS sample_size FROM contracts GROUP BY category HAVING count(*) >= 5),
@@ -298,10 +323,21 @@ def a2_volume_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return _volume(contracts(spark, sf).where("quantity > 0"))
 
 
-@query(VOLUME_SQL)
+SIZE_SQL = """, p AS (SELECT s.customer, CASE WHEN size = 'small' AND contains(name, 'ministry') THEN 'medium' ELSE size END AS size FROM (
+    SELECT customer, CASE WHEN n >= 300 OR t >= 5000000000 THEN 'large' WHEN n >= 80 OR t >= 500000000 THEN 'medium' ELSE 'small' END AS size FROM
+      (SELECT customer, count(*) AS n, sum(amount) AS t FROM contracts WHERE quantity > 0 GROUP BY 1) x) s
+    JOIN (SELECT c_custkey, replace(lower(c_name), '0001', 'ministry') AS name FROM customer) c ON s.customer = c_custkey),
+  lim AS (SELECT customer, CASE size WHEN 'small' THEN 45.0 WHEN 'medium' THEN 47.0 ELSE 49.0 END AS org_threshold FROM p)"""
+
+
+@query(SIZE_SQL + VOLUME_SQL.replace("k AS (SELECT *, round(quantity / baseline, 3) AS multiplier FROM b WHERE", "k AS (SELECT b.*, org_threshold, round(quantity / baseline, 3) AS multiplier FROM b JOIN lim ON b.customer = lim.customer WHERE").replace("45.0, 3", "org_threshold, 3").replace("quantity > 45", "quantity > org_threshold"))
 def a2_volume_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same query under its older name."""
-    return a2_volume_anomalies(spark, sf)
+    """Volume anomalies against thresholds of the customers' own sizes, from their contracts and latest names."""
+    rows = contracts(spark, sf).where("quantity > 0")
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.regexp_replace(F.lower("c_name"), "0001", "ministry").alias("name"))
+    profiles = anomalies.org_profiles(spend.customer_volume(rows, (1900, 2100)), names, {"small": 45.0, "medium": 47.0, "large": 49.0})
+    out = anomalies.volume_anomalies(rows, profiles, AT, trigger=1.6)
+    return out.select("id", "entity_id", "baseline_kind", "sample_size", "expected", "multiplier", "severity")
 
 
 @query("""SELECT customer, CASE WHEN size <> 'large' AND contains(name, '0001') THEN 'small' ELSE size END AS org_size FROM (
@@ -338,8 +374,8 @@ FAIR_SQL = (
 )
 
 
-def _fairness(rows: DataFrame) -> DataFrame:
-    out = anomalies.fairness_anomalies(rows, AT)
+def _fairness(rows: DataFrame, **options: int) -> DataFrame:
+    out = anomalies.fairness_anomalies(rows, AT, **options)
     return out.select("entity_id", "scope", F.col("peer_count").cast("long").alias("peer_count"), "expected", "score", "severity")
 
 
@@ -350,8 +386,8 @@ def a3_fairness_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(FAIR_SQL)
 def a3_fairness_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same query under its older name."""
-    return a3_fairness_anomalies(spark, sf)
+    """The same scores with every group of over 50 contracts split, as groups of over LIMIT rows are."""
+    return _fairness(contracts(spark, sf), limit=50)
 
 
 @query(PRICE_SQL.replace(">= 5)", ">= 2000)").replace("SELECT id AS entity_id, CAST(amount AS DOUBLE) AS actual, round(expected, 4) AS expected, round(deviation_pct, 4) AS deviation_pct,\n    CASE WHEN deviation_pct > 100 THEN 'high' WHEN deviation_pct >= 50 THEN 'medium' ELSE 'low' END AS severity, sample_size\n  FROM d WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)", """SELECT count(*) AS "analysed", count(*) FILTER (WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)) AS found, (SELECT count(*) FROM contracts) - count(*) AS skipped FROM d"""))

@@ -7,7 +7,7 @@ import functools
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the shared checkpoint folder: what follows reads it there, also if executors go."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
