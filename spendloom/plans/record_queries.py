@@ -27,10 +27,15 @@ def _comma(column: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_number(F.col(column).cast("decimal(18,2)"), 2), ",", " "), r"\.", ",")
 
 
-def _landed(spark: SparkSession, rows: DataFrame, page: str, record: Column, entity: str) -> DataFrame:
-    """Records written as pages {"items": [...]} of one ``page`` each, and read again."""
+#: Records of a landed page, on average.
+PAGE = 200
+
+
+def _landed(spark: SparkSession, rows: DataFrame, key: str, record: Column, entity: str, n: int) -> DataFrame:
+    """Records written as pages {"items": [...]} and read again; ``key`` tells rows apart and deals the ``n`` rows to
+    pages of bounded size."""
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}/{entity}"
-    items = rows.groupBy(page).agg(F.collect_list(record).alias("items")).select(F.to_json(F.struct("items", F.lit("next").alias("search_after"))).alias("value"))
+    items = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, n // PAGE))).alias("page")).agg(F.collect_list(record).alias("items")).select(F.to_json(F.struct("items", F.lit("next").alias("search_after"))).alias("value"))
     items.write.text(path)
     return records.read_records(spark, path, entity)[0]
 
@@ -49,17 +54,21 @@ def _hash(*parts: str) -> str:
     CASE WHEN o_orderkey = 0 THEN 'missing_id' WHEN o_custkey = 0 THEN 'non_target' WHEN year(o_orderdate) NOT IN (1996, 1997, 1998) THEN 'non_target_year' WHEN o_orderstatus = 'O' THEN 'status' END AS reject_reason
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""")
 def n20_contracts(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as contracts; their lines as units, some of them deeper and under other keys."""
+    """Orders as contracts; their lines as units at up to seven levels."""
     unit = F.struct(F.col("l_linenumber").alias("id"), F.col("l_partkey").alias("lot_id"), F.lit("26").alias("enstr_code"), _comma("l_extendedprice").alias("sum"), F.col("l_linenumber").alias("no"))
     units = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(unit).alias("units"))
     rows = table(spark, sf, "orders").join(units, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    some = lambda low, high: F.filter("units", lambda u: u["no"].between(low, high))
+    some = lambda no: F.filter("units", lambda u: u["no"] == no)
+    # a line lies as many levels down as its number says, under one key or another
+    below = F.struct(F.filter("units", lambda u: u["no"] >= 7).alias("unit_list"))
+    for no, key in zip((6, 5, 4, 3), ("rows", "items", "unit_list", "rows"), strict=True):
+        below = F.struct(some(no).alias(key), below.alias("children") if no % 2 else F.array(F.array(below)).alias("specifications"))
     status = F.when(F.col("o_orderstatus") == "F", "Исполнен").when(F.col("o_orderstatus") == "O", "Отменен").otherwise("new")
     record = F.struct(
         F.col("o_orderkey").alias("id_contract"), _text("o_orderkey").alias("trdBuyId"), _text("o_custkey").alias("customerBin"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("signed_date"), _comma("o_totalprice").alias("sum"),
-        status.alias("status_name"), some(1, 2).alias("contract_units"), F.struct(some(3, 4).alias("rows"), F.struct(some(5, 99).alias("unit_list")).alias("children")).alias("specifications"),
+        status.alias("status_name"), some(1).alias("contract_units"), F.struct(some(2).alias("items"), below.alias("children")).alias("specifications"),
     )
-    parsed = records.parse_contracts(_landed(spark, rows, "o_custkey", record, "contracts"), F.lit(NOW).cast("timestamp_ntz"), years=(1996, 1997, 1998))
+    parsed = records.parse_contracts(_landed(spark, rows, "o_orderkey", record, "contracts", table(spark, sf, "orders").count()), F.lit(NOW).cast("timestamp_ntz"), years=(1996, 1997, 1998))
     return parsed.select(_id(), "contract_id", "lot_id", "customer", F.col("amount").cast("double").alias("amount"), F.to_date("sign_date").cast("string").alias("day"), "reject_reason")
 
 
@@ -74,11 +83,14 @@ def n20_lots(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as lots of one point; codes as texts, numbers and nested objects, regions as objects."""
     p = table(spark, sf, "part")
     brand, own = F.regexp_replace("p_brand", "[^0-9]", ""), F.concat(F.lit("7"), _text("p_size"))
-    codes = F.struct(F.struct(brand.alias("code")).alias("a"), F.struct(F.array(F.struct(F.array(F.struct(own.cast("int").alias("code_lvl2"))).alias("items"))).alias("children")).alias("b"))
+    deep = F.struct(own.cast("int").alias("code_lvl2"))
+    for key in ("items", "children", "sub_items", "items", "enstru_list"):
+        deep = F.struct(F.array(deep).alias(key))
+    codes = F.struct(F.struct(brand.alias("code")).alias("a"), deep.alias("b"))
     point = F.struct(F.lit(1).alias("id"), _text("p_size").alias("count"), _text(F.col("p_retailprice").cast("decimal(18,2)")).alias("amount"), F.when(F.col("p_size") % 5 != 0, F.array(codes["a"])).alias("tru_list"))
     regions = F.when(F.col("p_size") % 2 == 0, F.array(F.struct(F.lit("71").alias("kato"), F.lit(None).cast("string").alias("code")), F.struct(F.lit(None).cast("string").alias("kato"), F.lit("75").alias("code"))))
     record = F.struct(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 1).alias("buy_id"), F.array(point).alias("point_list"), F.when(F.col("p_size") % 5 != 0, codes["b"]).alias("enstru_list"), regions.alias("pln_point_kato_list"))
-    parsed = records.parse_lots(_landed(spark, p, "p_brand", record, "lots"), F.lit(NOW).cast("timestamp_ntz"))
+    parsed = records.parse_lots(_landed(spark, p, "p_partkey", record, "lots", p.count()), F.lit(NOW).cast("timestamp_ntz"))
     return parsed.select(_id(), "source_id", "category", "region", *(F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price")), "reject_reason")
 
 
@@ -94,7 +106,7 @@ def n20_plans(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("plan_id"), F.col("c_name").alias("plan_number"), _text("c_custkey").alias("subject_biin"), F.lit("1997").alias("year"), F.lpad(_text("c_nationkey"), 2, "0").alias("kato_code"),
         _text(F.col("c_acctbal").cast("decimal(18,2)")).alias("sum"), F.when(F.col("c_nationkey") % 2 == 0, points).alias("pln_points"),
     )
-    parsed = records.parse_plans(_landed(spark, c, "c_nationkey", record, "plans"), F.lit(NOW).cast("timestamp_ntz"), range(1, 901))
+    parsed = records.parse_plans(_landed(spark, c, "c_custkey", record, "plans", c.count()), F.lit(NOW).cast("timestamp_ntz"), range(1, 901))
     return parsed.select(_id(), "number", "plan_year", "category", "region", F.col("amount").cast("double").alias("amount"), "reject_reason")
 
 
@@ -108,7 +120,7 @@ def n20_announcements(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").join(lots, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     status = F.when(F.col("o_orderstatus") == "O", "draft").otherwise("active")
     record = F.struct(F.col("o_orderkey").alias("trd_buy_id"), _text("o_custkey").alias("org_bin"), F.when(F.col("o_orderstatus") != "F", _comma("o_totalprice")).alias("sum"), status.alias("status_name"), F.date_format("o_orderdate", "yyyy-MM-dd'T'15:00:00+05:00").alias("date_publish"), "lots")
-    parsed = records.parse_announcements(_landed(spark, rows, "o_custkey", record, "announcements"), F.lit(NOW).cast("timestamp_ntz"))
+    parsed = records.parse_announcements(_landed(spark, rows, "o_orderkey", record, "announcements", table(spark, sf, "orders").count()), F.lit(NOW).cast("timestamp_ntz"))
     return parsed.select("id", F.col("total_sum").cast("double").alias("total_sum"), "count_lots", F.col("published").cast("string").alias("published"), F.col("start_date").cast("string").alias("start_date"), "reject_reason")
 
 
@@ -121,7 +133,7 @@ def n20_acts(spark: SparkSession, sf: str) -> DataFrame:
         _text(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("act_id"), F.when(F.col("l_suppkey") != 3, _text("l_orderkey")).alias("contractId"), F.col("l_suppkey").alias("supplier"), _comma("l_extendedprice").alias("act_sum"),
         F.when(F.col("l_linestatus") == "F", "Утвержден").otherwise("На согласовании").alias("status_name_ru"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("act_date"),
     )
-    parsed = records.parse_acts(_landed(spark, li, "l_suppkey", record, "acts"), F.lit(NOW).cast("timestamp_ntz"))
+    parsed = records.parse_acts(_landed(spark, li, "l_orderkey", record, "acts", li.count()), F.lit(NOW).cast("timestamp_ntz"))
     return parsed.select("id", "contract_id", "supplier", F.col("act_sum").cast("double").alias("act_sum"), "status", F.to_date("act_date").cast("string").alias("day"), "reject_reason")
 
 
@@ -133,7 +145,7 @@ def n20_subjects(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("").alias("zzz"), F.col("s_suppkey").alias("subject_id"), F.concat(F.lit("БИН "), _text(700 + F.col("s_suppkey"))).alias("biin"), F.lit("  ").alias("name_ru"), F.col("s_name").alias("full_name_ru"),
         F.when(F.col("s_acctbal") > 0, "yes").otherwise("no").alias("is_customer"), F.lit(True).alias("supplier_flag"), F.lit("1").alias("is_supplier"), F.when(F.col("s_nationkey") < 9, "1950-01-01").otherwise("2020-02-02").alias("last_modified"),
     )
-    parsed = records.parse_subjects(_landed(spark, s, "s_nationkey", record, "subjects"), F.lit(NOW).cast("timestamp_ntz"))
+    parsed = records.parse_subjects(_landed(spark, s, "s_suppkey", record, "subjects", s.count()), F.lit(NOW).cast("timestamp_ntz"))
     return parsed.select("id", "bin", "name", "is_customer", "is_supplier", F.to_date("updated_at").cast("string").alias("day"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,55 +128,65 @@ def _nodes(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", NO_NODES), F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(value)), F.array().cast(NO_NODES))
 
 
-def _children(nodes: Column, keys: Sequence[str]) -> Column:
-    """All nodes under ``keys`` of the nodes."""
-    of = lambda v: F.flatten(F.array(*(_nodes(F.try_variant_get(v, f"$.{k}", "variant")) for k in keys)))
-    return F.flatten(F.transform(nodes, of))
+def _reached(roots: Column, keys: Sequence[str], more: Callable[[Column], Column]) -> Column:
+    """All nodes that can be reached from the array ``roots``, level after level, however deep: the items of lists, and
+    what ``more`` gives for an object.
 
+    A record is walked by one fold over its levels. Their number is at most one more than the times that its text has
+    one of ``keys`` or a list in a list; a level without nodes costs next to nothing.
+    """
+    pattern = F.lit(rf'"(?:{"|".join(keys)})":|[\[,]\[')
+    depth = F.aggregate(roots, F.lit(1), lambda s, v: s + F.regexp_count(F.to_json(v), pattern))
+    below = lambda v: F.when(_kind(v).startswith("ARRAY"), _nodes(v)).when(_kind(v).startswith("OBJECT"), more(v)).otherwise(F.array().cast(NO_NODES))
+    # the next level is computed once, as the only element of an array
+    step = lambda s, _: F.transform(F.array(F.flatten(F.transform(s["level"], below))), lambda x: F.struct(x.alias("level"), F.concat(s["all"], x).alias("all")))[0]
+    return F.aggregate(F.sequence(F.lit(1), depth), F.struct(roots.alias("level"), roots.alias("all")), step, lambda s: s["all"])
+
+
+def _kind(v: Column) -> Column:
+    """The type of a variant's value as text: OBJECT<...>, ARRAY<...>, VOID or a scalar's."""
+    return F.schema_of_variant(v)
 
-def collect_units(roots: Sequence[Column], nesting: int = 3) -> tuple[Column, Column]:
-    """(units, too_deep): all nodes under the roots, one level after another, ``nesting`` deep, that name a price,
-    quantity, sum, code or lot; whether any lie deeper."""
-    level, levels = F.flatten(F.array(*(_nodes(r) for r in roots))), []
-    for _ in range(nesting):
-        levels.append(level)
-        level = _children(level, UNIT_CHILDREN)
+
+def collect_units(roots: Sequence[Column]) -> Column:
+    """All nodes under the roots, at any depth, that name a price, quantity, sum, code or lot; one level after another."""
+    under = lambda v: F.flatten(F.array(*(_nodes(F.try_variant_get(v, f"$.{k}", "variant")) for k in UNIT_CHILDREN)))
+    nodes = F.filter(_reached(F.flatten(F.array(*(_nodes(r) for r in roots))), UNIT_CHILDREN, under), lambda v: _kind(v).startswith("OBJECT"))
     text = lambda v, names: F.coalesce(*(F.try_variant_get(v, f"$.{x}", "string") for x in names))
-    units = F.transform(F.flatten(F.array(*levels)), lambda v: F.struct(*(text(v, names).alias(f) for f, names in UNIT_FIELDS.items())))
-    return F.filter(units, lambda u: F.coalesce(*(u[f] for f in UNIT_TELLING)).isNotNull()), F.size(level) > 0
-
-
-def collect_codes(lists: Sequence[Column], keys: Sequence[str], children: Sequence[str] = (), nesting: int = 3) -> Column:
-    """Codes of lists of texts, numbers and objects (their ``keys``, then those of their ``children``), in order."""
-    level, out = F.flatten(F.array(*(_nodes(x) for x in lists))), []
-    for _ in range(nesting):
-        kind = lambda v: F.schema_of_variant(v)
-        own = lambda v: F.when(kind(v).rlike("^(OBJECT|ARRAY|VOID)"), F.array(*(F.try_variant_get(v, f"$.{k}", "string") for k in keys))).otherwise(F.array(F.try_variant_get(v, "$", "string")))
-        out.append(F.flatten(F.transform(level, own)))
-        if not children:
-            break
-        level = _children(level, children)
-    return F.array_compact(F.concat(*out))
-
-
-def parse_contracts(records: DataFrame, now: Column, customers: Sequence[int] = (), years: Sequence[int] = (), nesting: int = 3) -> DataFrame:
-    """One row per contract unit (or contract without units) with ``reject_reason``, null for good rows. Records with
-    units more than ``nesting`` levels deep are rejects."""
-    units, too_deep = collect_units([F.col(k) for k in UNIT_CHILDREN], nesting)
+    units = F.transform(nodes, lambda v: F.struct(*(text(v, names).alias(f) for f, names in UNIT_FIELDS.items())))
+    return F.filter(units, lambda u: F.coalesce(*(u[f] for f in UNIT_TELLING)).isNotNull())
+
+
+def collect_codes(lists: Sequence[Column], keys: Sequence[str], children: Sequence[str] = ()) -> Column:
+    """Codes of lists, at any depth: of texts and numbers the value, of objects what stands under their ``keys`` (lists
+    and objects there are walked too) and in the lists under ``children``; one level after another."""
+    roots = F.flatten(F.array(*(_nodes(x) for x in lists)))
+    get = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant")
+    when = lambda v, kinds: F.when(_kind(v).rlike(f"^({kinds})"), _nodes(v)).otherwise(F.array().cast(NO_NODES))
+    under = lambda v: F.flatten(F.array(*(when(get(v, k), "OBJECT|ARRAY") for k in keys), *(when(get(v, k), "ARRAY") for k in children)))
+    scalar = lambda v: F.when(v.isNotNull() & ~_kind(v).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(v, "$", "string"))
+    own = lambda v: F.when(_kind(v).startswith("OBJECT"), F.array(*(scalar(get(v, k)) for k in keys))).otherwise(F.array(scalar(v)))
+    return F.array_compact(F.flatten(F.transform(_reached(roots, [*keys, *children], under), own)))
+
+
+def parse_contracts(records: DataFrame, now: Column, customers: Sequence[int] = (), years: Sequence[int] = ()) -> DataFrame:
+    """One row per contract unit, at whatever depth (or contract without units), with ``reject_reason``, null for good
+    rows."""
+    units = collect_units([F.col(k) for k in UNIT_CHILDREN])
     g = lambda f, text=False: _get(records, "contracts", f, text)
     rows = records.select(
         n.to_uint(g("id")).alias("contract_id"), n.to_uint(g("announcement_id")).alias("announcement_id"), g("number", True).alias("number"), n.to_uint(g("lot_id")).alias("root_lot"),
         n.to_uint(g("customer")).alias("customer"), n.to_uint(g("supplier")).alias("supplier"), g("category", True).alias("root_category"), g("region", True).alias("root_region"),
         n.to_decimal(g("amount")).alias("root_amount"), n.to_decimal(g("amount_tax"), 2, n.to_decimal(g("amount"))).alias("amount_tax"), n.to_uint(g("status_id")).alias("status_id"), g("status", True).alias("status"),
         n.to_timestamp(g("signed"), now).alias("sign_date"), g("start").alias("start_text"), g("end").alias("end_text"), g("updated_at").alias("updated_text"),
-        units.alias("units"), too_deep.alias("too_deep"), (F.size(units) > 0).alias("nested"),
-    )
+        units.alias("units"),
+    ).withColumn("nested", F.size("units") > 0)
     rows = rows.withColumn("start_date", n.to_timestamp(F.col("start_text"), F.col("sign_date")))
     rows = rows.withColumn("end_date", n.to_timestamp(F.col("end_text"), F.col("start_date"))).withColumn("updated_at", n.to_timestamp(F.col("updated_text"), F.col("sign_date")))
     year = F.when(F.year("sign_date") > 1970, F.year("sign_date")).otherwise(F.year("start_date"))
     reason = _reasons(
         (F.col("contract_id") <= 0, "missing_id"), (F.col("announcement_id") <= 0, "missing_announcement"), (~_in("customer", customers), "non_target"),
-        (~year.isin(list(years)) if years else F.lit(False), "non_target_year"), (~n.status_allowed(F.col("status_id"), F.col("status")), "status"), (F.col("too_deep"), "too_deep"),
+        (~year.isin(list(years)) if years else F.lit(False), "non_target_year"), (~n.status_allowed(F.col("status_id"), F.col("status")), "status"),
     )
     rows = rows.withColumn("reject_reason", reason)
     one = rows.select("*", F.posexplode_outer("units").alias("unit_no", "u"))

@@ -197,11 +197,12 @@ def read_as(spark, rows, schema):
     return spark.createDataFrame([(json.dumps(r),) for r in rows], "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
 
 
-def test_units_of_any_depth_and_too_deep(spark):
+def test_units_of_any_depth(spark):
     deep = lambda k: {"id": k, "sum": k, "items": [deep(k - 1)]} if k else {"id": 0, "count": "3"}
-    rows = [{"id": 1, "trd_buy_id": 2, "bin": 3, "rows": {"children": [{"price": "5"}, {"note": "no unit"}]}}, {"id": 4, "trd_buy_id": 2, "bin": 3, "unit_list": [deep(2)]}, {"id": 5, "trd_buy_id": 2, "bin": 3, "unit_list": [deep(4)]}]
+    rows = [{"id": 1, "trd_buy_id": 2, "bin": 3, "rows": {"children": [{"price": "5"}, {"note": "no unit"}]}}, {"id": 4, "trd_buy_id": 2, "bin": 3, "unit_list": [deep(2)]}, {"id": 5, "trd_buy_id": 2, "bin": 3, "unit_list": [deep(4)]}, {"id": 6, "trd_buy_id": 2, "bin": 3, "specifications": [[{"rows": [[deep(60)]]}], 7, "x", None, {"children": {"items": {"qty": 1}}}]}, {"id": 7, "trd_buy_id": 2, "bin": 3, "items": None, "rows": []}]
     parsed = records.parse_contracts(read_as(spark, rows, records.record_schema("contracts")), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
-    assert sorted((r.contract_id, r.reject_reason) for r in parsed) == sorted([(1, None)] + [(4, None)] * 3 + [(5, "too_deep")] * 3)
+    assert sorted((r.contract_id, r.reject_reason) for r in parsed) == sorted([(1, None)] + [(4, None)] * 3 + [(5, None)] * 5 + [(6, None)] * 62 + [(7, None)])
+    assert len({r.id for r in parsed}) == len(parsed)
 
 
 def test_codes_of_texts_numbers_and_objects(spark):
@@ -210,6 +211,13 @@ def test_codes_of_texts_numbers_and_objects(spark):
     assert {r.category for r in got} == {"11", "12", "13", "14", "1", "15", "16"} and {r.region for r in got} == {"35", "71", "75"} and len(got) == 21
 
 
+def test_codes_of_any_depth(spark):
+    deep = lambda k: {"code": f"c{k}", "items": [deep(k - 1)]} if k else {"lvl3": [["x", {"code": {"tru_code": 5}}], 6.5], "children": {"code": "ignored"}, "sub_items": [None, "", [["y"]]]}
+    rows = [{"id": 1, "buy_id": 2, "enstru_list": [deep(40)], "point_list": [{"id": 1, "tru_list": [[["z"]]]}]}]
+    got = records.parse_lots(read_as(spark, rows, records.record_schema("lots")), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    assert {r.category for r in got} == {*(f"c{k}" for k in range(1, 41)), "x", "5", "6.5", "y", "z"}
+
+
 def test_lots_cross_codes_and_regions(spark):
     schema = records.record_schema("lots")
     empty = dict.fromkeys([f.name for f in schema.fields])
