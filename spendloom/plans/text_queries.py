@@ -183,6 +183,31 @@ def c9_periods(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", F.to_date(p["start"]).cast("string").alias("start"), p["end"].cast("string").alias("end"), F.size(several).cast("long").alias("periods"), F.to_date(F.element_at(several, -1)["start"]).cast("string").alias("last_start"))
 
 
+_SQL_LIST = lambda row: "[" + ", ".join(f"'{m}'" for m in row) + "]"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS kind, CAST(year(o_orderdate) AS VARCHAR) AS y, month(o_orderdate) AS m, month(o_orderdate) % 12 + 1 AS m2, o_orderdate FROM orders),
+    d AS (SELECT *, CASE kind WHEN 0 THEN {_SQL_LIST(tx.MONTHS[1])}[m] || ' ' || y WHEN 1 THEN {_SQL_LIST(tx.MONTHS[2])}[m2] || ' ' || y || ',' || {_SQL_LIST(tx.MONTHS[2])}[m] || ' ' || y
+      ELSE {_SQL_LIST(tx.MONTHS[0])}[m2] || ' ' || y || ',' || {_SQL_LIST(tx.MONTHS[3])}[m] || ' ' || y END AS dates,
+      CASE WHEN kind = 0 THEN m ELSE least(m, m2) END AS first_m, CASE WHEN kind = 0 THEN m ELSE greatest(m, m2) END AS last_m FROM o)
+  SELECT o_orderkey, dates, CAST(make_date(CAST(y AS INTEGER), first_m, 1) AS VARCHAR) AS "start", CAST(last_day(make_date(CAST(y AS INTEGER), last_m, 1)) + INTERVAL 86399 SECOND AS VARCHAR) AS "end", CAST(CASE WHEN kind = 0 THEN 1 ELSE 2 END AS BIGINT) AS periods FROM d""")
+def c3_month_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with named months, one or two that share a year, in two languages, and the periods they speak of."""
+    o = table(spark, sf, "orders")
+    kind, year = F.col("o_orderkey") % 3, F.year("o_orderdate").cast("string")
+    name = lambda row, m: F.array(*map(F.lit, tx.MONTHS[row]))[m - 1]
+    m = F.month("o_orderdate")
+    m2 = m % 12 + 1
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Сколько потратили в "), name(1, m), F.lit("  "), year, F.lit("?")))
+        .when(kind == 1, F.concat(F.lit("Сравнить "), name(2, m), F.lit(" и "), name(2, m2), F.lit(" "), year))
+        .otherwise(F.concat(F.lit("За "), year, F.lit(" год: "), name(3, m), F.lit(", "), name(0, m2), F.lit(" "), year, F.lit(".")))
+    )
+    q = o.select("o_orderkey", tx.date_tokens(text, range(1990, 2010)).alias("dates"))
+    p, several = tx.period(F.col("dates"), "1990-01-01", "2030-12-31"), tx.periods(F.col("dates"), "1990-01-01", "2030-12-31")
+    return q.select("o_orderkey", F.array_join("dates", ",").alias("dates"), F.to_date(p["start"]).cast("string").alias("start"), p["end"].cast("string").alias("end"), F.size(several).cast("long").alias("periods"))
+
+
 @query("""SELECT category, round(avg(a), 4) AS mean, round(median(a), 4) AS median, count(*) AS "groups" FROM (SELECT category, supplier, avg(CAST(amount AS DOUBLE)) AS a FROM contracts GROUP BY 1, 2) x GROUP BY category""")
 def g1_comparison(spark: SparkSession, sf: str) -> DataFrame:
     out = answers.comparison_statistics(contracts(spark, sf).withColumn("v", F.col("amount").cast("double")), "supplier", "v", ["category"])

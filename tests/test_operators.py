@@ -339,6 +339,11 @@ def test_questions(spark):
     assert a(tx.date_tokens, "с 2025-02-01 по 01.02.2025, 2025-02, 2026 год") == ["2025-02-01", "01.02.2025", "2025-02", "2026"]
     assert a(tx.date_tokens, "январь и февраль 2025") == ["февраль 2025", "январь 2025"]
     assert a(tx.date_tokens, "за 2025 год, в марте 2025") == ["марте 2025"]
+    assert a(tx.date_tokens, "Март ,  Сәуір 2026; 2024г., x2025y 2024-13 2025-05-aa 2026-01-0") == ["2025-05", "2026-01", "2024", "Сәуір 2026", "Март 2026"]
+    assert a(tx.date_tokens, "2025-2025-03 2024-031 12.01.2023. 1.01.2024 2031-02-30 20251 2025-го 2027") == ["2031-02-30", "12.01.2023", "2025-03", "2024"]
+    assert a(tx.date_tokens, "мартиапрель 2025, май2026 июнь и 2024") == ["2025", "2026", "2024"]
+    assert a(tx.category_codes, "1.26.20 26.20.11.2233.44.55 12.3 33.12345 77.10x 88.99.1x aa.11.22") == ["26.20", "26.20.11.2233", "44.55", "88.99", "11.22"]
+    assert a(tx.owner_ids, "x123456789012 1234567890123 (123456789012)") == ["123456789012"]
     assert value(spark, tx.owner_ids(F.lit("000000000001 и 000000000002 и 000000000001"), ["000000000002"])) == ["000000000002"]
     assert a(tx.category_codes, "код 26.20.11 и 26.20") == ["26.20.11", "26.20"]
     assert [a(tx.language, s) for s in ("баға қандай", "цена объекта", "hello", "сравнить цена")] == ["kazakh", "russian", "unknown", "russian"]
