@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,44 +80,81 @@ class CoverTree:
         self.radius = np.array(self.radius)
 
 
-class Wanted:
-    """The k best (score, smaller vec_id) of one window so far."""
-
-    __slots__ = ("best", "high", "k", "low", "need")
-
-    def __init__(self, low: int, high: int, k: int, least: int | None):
-        self.low, self.high, self.k = low, high, k
-        self.need = low if least is None else max(low, least)
-        self.best: list[tuple[int, int]] = []
-
-    def offer(self, score: int, vec_id: int) -> None:
-        insort(self.best, (-score, vec_id))
-        if len(self.best) > self.k:
-            self.best.pop()
-        if len(self.best) == self.k:
-            self.need = max(self.need, -self.best[-1][0])
-
-
-def descend(tree: CoverTree, lower: np.ndarray, upper: np.ndarray, middle: np.ndarray, scores_of, wants: list[Wanted]) -> None:
-    """Best-first: the node that may hold the largest product inside the windows is opened next; nodes that lie outside
-    all windows or below what is found are skipped; leaves give their exact scores."""
-    highest = max(w.high for w in wants)
-    heap = [(-min(upper[0], highest), -middle[0], 0)]
-    while heap:
-        reach, _, node = heapq.heappop(heap)
-        if -reach < min(w.need for w in wants):
-            return
-        if not any(upper[node] >= w.need and lower[node] <= w.high for w in wants):
-            continue
-        if tree.children[node]:
-            for child in tree.children[node]:
-                heapq.heappush(heap, (-min(upper[child], highest), -middle[child], child))
+class Windows:
+    """What each query wants: up to W windows of scores, the k best (score, smaller vec_id) of each. ``need`` is what a
+    score has to reach to count; it rises as windows fill up."""
+
+    def __init__(self, wants: list[list[dict]], k: int):
+        w = max(map(len, wants), default=0)
+        self.k = k
+        self.low, self.high, self.need = np.ones((len(wants), w), np.int64), np.zeros((len(wants), w), np.int64), np.ones((len(wants), w), np.int64)
+        for i, row in enumerate(wants):
+            for j, x in enumerate(row):
+                self.low[i, j], self.high[i, j] = x["low"], x["high"]
+                self.need[i, j] = x["low"] if x["least"] is None else max(x["low"], x["least"])
+        # windows that a query does not have are never met
+        self.unused = self.low > self.high
+        self.need[self.unused] = SCORE_BOUND
+        self.slot, self.score, self.vec_id = (np.zeros(0, np.int64) for _ in range(3))
+
+    def offer(self, slot: np.ndarray, score: np.ndarray, vec_id: np.ndarray) -> None:
+        """Takes scores of slots (query * W + window) in, keeps the best of each and raises what is needed."""
+        slot, score, vec_id = (np.concatenate(x) for x in ((self.slot, slot), (self.score, score), (self.vec_id, vec_id)))
+        order = np.lexsort((vec_id, -score, slot))
+        slot, score, vec_id = slot[order], score[order], vec_id[order]
+        place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        kept = place < self.k
+        self.slot, self.score, self.vec_id = slot[kept], score[kept], vec_id[kept]
+        full = place == self.k - 1
+        need = self.need.reshape(-1)
+        need[slot[full]] = np.maximum(need[slot[full]], score[full])
+
+
+def descend(tree: CoverTree, sides: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray, np.ndarray], windows: Windows, same: bool) -> int:
+    """Best first, for many queries at once; gives the number of scores that were computed.
+
+    A leaf's bounds are the tightest of all nodes above it. Each query opens its leaves in the order of the largest
+    product that they may hold inside the windows, the first two, then twice as many in each round; a leaf that lies
+    outside all windows, or below what a window has by then, is never opened. The queries that open a leaf in the same
+    round meet its rows in one product. ``sides``: lower and upper bounds and centers' products [node, query]; ``rows``
+    and ``queries``: vectors, ids and labels.
+    """
+    lower, upper, middle = sides
+    for node, children in enumerate(tree.children):
+        for child in children:
+            lower[child], upper[child] = np.maximum(lower[child], lower[node]), np.minimum(upper[child], upper[node])
+    leaves = np.array([node for node, children in enumerate(tree.children) if not children])
+    lower, upper, middle = lower[leaves], upper[leaves], middle[leaves]
+    highest = windows.high.max(axis=1, initial=-SCORE_BOUND).astype(np.float64)
+    order = np.lexsort((-middle, -np.minimum(upper, highest)), axis=0)
+    (v, ids, labels), (q, own, label) = rows, queries
+    done, first, step = 0, 0, 2
+    while first < len(leaves):
+        leaf, who = order[first : first + step], np.arange(len(q))[None, :]
+        # [leaf, query, window]: whether a leaf may still hold something
+        may = ((upper[leaf, who][..., None] >= windows.need) & (lower[leaf, who][..., None] <= windows.high) & ~windows.unused).any(axis=2)
+        place, who = np.nonzero(may)
+        leaf = leaf[place, who]
+        first, step = first + step, 2 * step
+        if not len(leaf):
             continue
-        score, ids = scores_of(*tree.span[node])
-        for w in wants:
-            for k in np.flatnonzero((score >= w.need) & (score <= w.high)).tolist():
-                if score[k] >= w.need:
-                    w.offer(int(score[k]), int(ids[k]))
+        by = np.argsort(leaf, kind="stable")
+        leaf, who = leaf[by], who[by]
+        starts = np.flatnonzero(np.diff(leaf, prepend=-1))
+        found = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for at, end in zip(starts, [*starts[1:], len(leaf)], strict=True):
+            low, high = tree.span[leaves[leaf[at]]]
+            some = who[at:end]
+            score = v[low:high] @ q[some].T
+            done += score.size
+            fit = ((labels[low:high, None] == label[some]) == same) & (ids[low:high, None] != own[some])
+            score = np.where(fit, score, -SCORE_BOUND).astype(np.int64)
+            hit = (score[..., None] >= windows.need[some]) & (score[..., None] <= windows.high[some])
+            r, c, w = np.nonzero(hit)
+            for x, y in zip(found, (some[c] * windows.need.shape[1] + w, score[r, c], ids[low:high][r]), strict=True):
+                x.append(y)
+        windows.offer(*map(np.concatenate, found))
+    return done
 
 
 def whole_numbers(v: np.ndarray) -> np.ndarray:
@@ -182,31 +217,22 @@ def searched(same: bool, k: int):
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         anchor, label, wants = left.column("anchor_id").to_numpy(), left.column("label").to_numpy(), left.column("wants").to_pylist()
-        out: dict[str, list] = {"anchor_id": [], "positive_id": [], "best": []}
+        block = hash(tuple(x.as_py() for x in key)) & 0x7FFFFFFF
+        windows = Windows(wants, k)
         if len(anchor) and len(right):
             d, top = int(right.column("dim")[0].as_py()), float(right.column("top")[0].as_py())
             v, q = matrix(right.column("v")).reshape(len(right), d), matrix(left.column("v")).reshape(len(left), d)
             tree = CoverTree(augmented(v, top))
-            lower, upper, middle = bounds(q, tree.spheres, tree.radius, top)
+            sides = bounds(q, tree.spheres, tree.radius, top)
             both = whole_numbers(np.concatenate([v, q]))
             v, q = both[: len(v)][tree.order], both[len(v) :]
-            ids, labels = right.column("vec_id").to_numpy()[tree.order], right.column("label").to_numpy()[tree.order]
-            for i in range(len(anchor)):
-                own = [Wanted(w["low"], w["high"], k, w["least"]) for w in wants[i]]
-
-                def scores_of(low: int, high: int, i: int = i):
-                    fit = ((labels[low:high] == label[i]) == same) & (ids[low:high] != anchor[i])
-                    return (v[low:high][fit] @ q[i]), ids[low:high][fit]
-
-                descend(tree, lower[:, i], upper[:, i], middle[:, i], scores_of, own)
-                for w, found in zip(wants[i], own, strict=True):
-                    if found.best:
-                        out["anchor_id"].append(int(anchor[i]))
-                        out["positive_id"].append(w["positive_id"])
-                        out["best"].append([{"minus": s, "vec_id": x} for s, x in found.best])
-        block = hash(tuple(x.as_py() for x in key)) & 0x7FFFFFFF
-        best = pa.array(out["best"], pa.list_(pa.struct([("minus", pa.int64()), ("vec_id", pa.int64())])))
-        return pa.table({"anchor_id": pa.array(out["anchor_id"], pa.int64()), "positive_id": pa.array(out["positive_id"], pa.int64()), "block": pa.array([block] * len(best), pa.int32()), "best": best})
+            descend(tree, sides, (v, right.column("vec_id").to_numpy()[tree.order], right.column("label").to_numpy()[tree.order]), (q, anchor, label), windows, same)
+        slot, starts = np.unique(windows.slot, return_index=True)
+        each = pa.StructArray.from_arrays([pa.array(-windows.score), pa.array(windows.vec_id)], names=["minus", "vec_id"])
+        best = pa.ListArray.from_arrays(pa.array(np.append(starts, len(windows.slot)), pa.int32()), each)
+        width = max(1, windows.need.shape[1])
+        positive = pa.array([wants[i][w]["positive_id"] for i, w in zip((slot // width).tolist(), (slot % width).tolist(), strict=True)], pa.int64())
+        return pa.table({"anchor_id": pa.array(anchor[slot // width].astype(np.int64)), "positive_id": positive, "block": pa.array(np.full(len(slot), block), pa.int32()), "best": best})
 
     return compare
 
@@ -295,7 +321,7 @@ def hard_negatives(
     the nearest of at most ``cells`` centers (farthest first in a sample of ``sample`` rows, which is all that the driver
     sees), and a cell's rows into blocks of about ``block_rows``, each a cover tree. A query first visits the ``first``
     most promising cells; then only those whose ball may still hold a score inside its windows that beats what it has.
-    In a block it descends best first. Bounds only skip what cannot count, so the result is exact; with vectors without
+    In a block queries descend best first. Bounds only skip what cannot count, so the result is exact; with vectors without
     structure few balls can be skipped, and the work is that of queries times rows, in blocks.
 
     Rows with a null vec_id, label or vector, or with a null or non-finite component, take no part; zero vectors do.

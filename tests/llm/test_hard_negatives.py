@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from spendloom.llm.hard_negatives import CoverTree, augmented, bounds, hard_negatives
+from spendloom.llm.hard_negatives import CoverTree, Windows, augmented, bounds, descend, hard_negatives
 
 SCHEMA = "vec_id long, embedding array<float>, label int, dim string, score int, `a.b` string, v string"
 
@@ -98,20 +98,16 @@ def test_balls_bound_products():
 def test_nodes_outside_are_skipped():
     r = np.random.default_rng(6)
     x = np.floor(256 * (r.normal(size=(40, 8))[r.integers(0, 40, 4000)] + 0.02 * r.normal(size=(4000, 8))))
-    from spendloom.llm.hard_negatives import Wanted, descend
-
     top = float((x**2).sum(axis=1).max())
     tree = CoverTree(augmented(x, top))
-    q = x[:1]
-    lower, upper, middle = bounds(q, tree.spheres, tree.radius, top)
-    seen = []
-
-    def scores_of(low, high):
-        seen.append(high - low)
-        return x[tree.order[low:high]] @ q[0], tree.order[low:high]
-
-    best = float(q[0] @ q[0])
-    w = Wanted(int(0.5 * best), int(0.95 * best), 3, None)
-    descend(tree, lower[:, 0], upper[:, 0], middle[:, 0], scores_of, [w])
-    exact = sorted(((-s, i) for i, s in enumerate(x @ q[0]) if w.low <= s <= w.high))[:3]
-    assert w.best == [(int(s), i) for s, i in exact] and sum(seen) < 0.5 * len(x)
+    q = x[:5]
+    wants = [[{"low": int(a * s), "high": int(b * s), "least": None} for a, b in ((0.5, 0.95), (0.2, 0.4))[: 1 + k % 2]] for k, s in enumerate((q * q).sum(axis=1))]
+    windows = Windows(wants, 3)
+    ids, labels = np.arange(4000), np.zeros(4000, np.int64)
+    done = descend(tree, bounds(q, tree.spheres, tree.radius, top), (x[tree.order], ids[tree.order], labels), (q, np.arange(5), labels[:5] + 1), windows, False)
+    for i, row in enumerate(wants):
+        for j, w in enumerate(row):
+            exact = sorted((-s, k) for k, s in enumerate(x @ q[i]) if k != i and w["low"] <= s <= w["high"])[:3]
+            own = windows.slot == i * 2 + j
+            assert [(-s, k) for s, k in zip(windows.score[own], windows.vec_id[own], strict=True)] == exact
+    assert done < 0.5 * x.shape[0] * len(q)
