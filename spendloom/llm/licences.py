@@ -359,13 +359,14 @@ def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text
     anchor = rf"(?<![a-z0-9])(?:{'|'.join(model.anchors)})(?![a-z0-9])"
     joined = F.regexp_replace("text", r"(?<=[^.!?:;\s])\n(?=\S)", " ")
     rows = rows.where(F.lower("text").rlike(anchor)).select("doc_id", F.split(joined, "\n").alias("all"))
-    lines = rows.select("doc_id", "all", F.posexplode("all").alias("paragraph", "line"))
-    start = F.aggregate(F.slice("all", 1, F.col("paragraph")), F.lit(0).cast("long"), lambda s, x: s + F.char_length(x) + 1)
+    # a paragraph goes on with its own start only, never with the others
+    placed = F.zip_with("all", _starts(F.transform("all", lambda x: F.char_length(x).cast("long") + 1)), lambda x, s: F.struct(x.alias("line"), s.alias("start")))
+    lines = rows.select("doc_id", F.posexplode(placed).alias("paragraph", "p")).select("doc_id", "paragraph", "p.line", "p.start")
     lines = lines.where(F.lower("line").rlike(anchor)).withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
     found = F.array_intersect("words", F.split(F.lit(" ".join(model.anchors)), " "))
     strong = F.split(F.lit(" ".join(w for w in model.anchors if w not in model.weak)), " ")
     lines = lines.withColumn("found", F.when(F.size("words") > SHORT, found)).where(F.col("found").isNull() | (F.size("found") > 1) | F.arrays_overlap("found", strong))
-    lines = lines.select("doc_id", "paragraph", start.alias("start"), "words")
+    lines = lines.select("doc_id", "paragraph", "start", "words")
     last = F.greatest(F.lit(0), F.size("words") - WINDOW // 2 - 1)
     windows = F.transform(F.sequence(F.lit(0), last, F.lit(WINDOW // 2)), lambda k: F.slice(F.col("words"), k + 1, F.lit(WINDOW)))
     # tables as one literal each, which Spark turns into constants
@@ -406,6 +407,18 @@ def scan_licences(docs: DataFrame, model: Model | None = None, text: str = "text
     )
 
 
+def _starts(sizes: Column, block: int = 256) -> Column:
+    """Where each piece begins, from the pieces' sizes (longs): sums run within blocks and over the blocks' totals, so
+    that the work hardly grows faster than the pieces."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda k: F.slice(sizes, k * block + 1, F.lit(block)))
+    running = lambda first, xs: F.aggregate(xs, F.array(first), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x))
+    offsets = running(F.lit(0).cast("long"), totals)
+    # the last element of each, and the last offset, are where the next one would begin
+    each = F.zip_with(parts, F.slice(offsets, F.lit(1), F.size(offsets) - 1), lambda p, o: F.slice(running(o, p), F.lit(1), F.size(p)))
+    return F.flatten(each)
+
+
 def _grams(words: Column) -> Column:
     """Distinct words and pairs of neighbours of a window."""
     fewer = F.greatest(F.size(words) - 1, F.lit(0))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spendloom.llm.licences import LICENCES, SHORT, default_model, grams_of, scan_licences, windows_of, words_of
+from spendloom.llm.licences import LICENCES, SHORT, _starts, default_model, grams_of, scan_licences, windows_of, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +82,24 @@ def test_scan_equals_plain_version(spark):
     got = {(r.doc_id, r.paragraph, r.start): r for r in scan_licences(docs).collect()}
     assert got.keys() == wanted.keys() and len(got) > 10
     assert all(abs(got[k].probability - p) < 1e-6 and got[k].family == (f if p >= 0.6 else "unknown") for k, (p, f) in wanted.items())
+
+
+def test_many_licence_lines_of_one_text(spark):
+    lines = [f"Line {k} is under the MIT License here." for k in range(15_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = scan_licences(df).agg(F.count(F.lit(1)), F.sum("start"), F.min("family"), F.max("family"), F.max("paragraph")).first()
+    assert tuple(got) == (15_000, sum(_offsets(lines)), "MIT", "MIT", 14_999)
+
+
+def _offsets(lines):
+    at = 0
+    for x in lines:
+        yield at
+        at += len(x) + 1
+
+
+def test_starts_are_running_sums(spark):
+    for n in (1, 2, 255, 256, 257, 1000):
+        sizes = [(7 * k) % 31 + 1 for k in range(n)]
+        got = spark.createDataFrame([(sizes,)], "x array<long>").select(_starts(F.col("x")).alias("s")).first().s
+        assert got == [sum(sizes[:k]) for k in range(n)]
