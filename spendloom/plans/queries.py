@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.functions import order_stats, stats
-from spendloom.operators import anomalies, scope, spend, versions
+from spendloom.operators import anomalies, rollups, scope, spend, versions
 from spendloom.plans.presets import CONTRACTS_SQL, VERSION_COLUMNS, contracts, latest_lines, line_versions, region_names, table
+from spendloom.sources.shared import shared_folder
 
 QUERIES = {}
 SQL = {}
@@ -122,6 +124,24 @@ def s9_merged_rollups(spark: SparkSession, sf: str) -> DataFrame:
     return spend.merge_rollups(parts, ["customer"]).select("customer", *money("total_spend"), "contract_count")
 
 
+@query("""SELECT l_suppkey AS supplier, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_spend, count(*) AS contract_count
+  FROM li WHERE l_extendedprice > 0 GROUP BY 1, 2""")
+def s9_retracted_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored daily rollup after two batches of versions, late ones among them, that change amounts, days and
+    suppliers; it equals a fresh rollup of the latest versions of all."""
+    columns = ["supplier", "amount", "sign_date", *VERSION_COLUMNS]
+    rows = line_versions(spark, sf).withColumns({"supplier": F.col("l_suppkey"), "amount": F.col("l_extendedprice").cast("decimal(18,2)"), "sign_date": F.col("l_shipdate")})
+    part = F.pmod(F.xxhash64("l_partkey"), F.lit(3))
+    path = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    stored = versions.latest(rows.where(part == 0), ["id"], "l_shipdate", columns, VERSION_COLUMNS[1:])
+    rollups.write_rollup(spend.daily_rollup(stored, ["supplier"]), path)
+    for k in (1, 2):
+        changes = rollups.snapshot_changes(stored, rows.where(part == k), ["id"], "l_shipdate", columns, VERSION_COLUMNS[1:])
+        rollups.refresh_rollup(path, rollups.rollup_delta(changes, ["supplier"]), ["supplier"])
+        stored = versions.latest(rows.where(part <= k), ["id"], "l_shipdate", columns, VERSION_COLUMNS[1:])
+    return spark.read.parquet(path).select("supplier", F.col("day").cast("string").alias("day"), *money("total_spend"), "contract_count")
+
+
 @query("SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS version, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM li")
 def u1_latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return latest_lines(spark, sf).select("id", F.to_date("l_shipdate").cast("string").alias("version"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")

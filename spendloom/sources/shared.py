@@ -41,7 +41,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store it is."""
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    where, store = _place(spark, path)
+    store.delete(where, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none of a folder that is not there."""
+    where, store = _place(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder within its store; an error if that can't be done."""
+    where, store = _place(spark, path)
+    if not store.rename(where, _place(spark, to)[0]):
+        raise OSError(f"{path} could not be moved to {to}")
