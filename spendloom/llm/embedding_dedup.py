@@ -280,7 +280,9 @@ class Forest:
         return ids[k], ids[tops[k]]
 
 
-OUT = "kind string, a long, b long, shard string, queries long, met_self long, links_true long, links_found long"
+#: What is known of a shard's search.
+AUDITED = ("queries", "met_self", "links_true", "links_found", "passes")
+OUT = "kind string, a long, b long, shard string, " + ", ".join(f"{c} long" for c in AUDITED)
 
 
 def shard_result(links: tuple[np.ndarray, np.ndarray], forest: Forest, shard: str, audit: tuple[int, int, int, int, int]) -> pa.Table:
@@ -291,12 +293,12 @@ def shard_result(links: tuple[np.ndarray, np.ndarray], forest: Forest, shard: st
     none = pa.nulls(k + e, pa.int64())
     cat = lambda *x: pa.concat_arrays([pa.array(y, pa.int64()) for y in x])
     columns = {"kind": pa.array(["links"] * k + ["edge"] * e + ["audit"]), "a": cat(links[0], a, [None]), "b": cat(links[1], b, [members]), "shard": pa.array([None] * (k + e) + [shard], pa.string())}
-    return pa.table(columns | {c: pa.concat_arrays([none, pa.array([x], pa.int64())]) for c, x in zip(("queries", "met_self", "links_true", "links_found"), counts, strict=True)})
+    return pa.table(columns | {c: pa.concat_arrays([none, pa.array([x], pa.int64())]) for c, x in zip(AUDITED, counts, strict=True)})
 
 
 def near_duplicate_vectors(
     embeddings: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-    sample_rows: int = 20_000, shard_size: int = 6_000, levels: int = 6, audit_every: int = 16, wanted_recall: float = 0.999,
+    sample_rows: int = 20_000, shard_size: int = 6_000, levels: int = 6, audit_every: int = 16, wanted_recall: float = 0.999, least_recall: float = 0.98,
 ) -> tuple[DataFrame, DataFrame]:
     """(result, audit). Result: vec_id, n_links, component_id, kept, one row per vector.
 
@@ -312,8 +314,9 @@ def near_duplicate_vectors(
     built on overlapping clusters: lists pruned in each are united, and then united over the vector's shards. Every
     vector is searched in its home shard, from the medoids, expanding the range. Each ``audit_every``-th query is
     compared with brute force over the shard; a shard under ``wanted_recall`` is searched again, four times as widely,
-    at last by product. It is an error if all shards together are below it. audit: shard, members, queries, met_self,
-    links_true, links_found. Links leave a shard as counts and as a spanning forest, never as all pairs of a group.
+    at last by product. audit: shard, members, queries, met_self, links_true, links_found (by the graph in its first
+    pass, before any wider search), passes (negative if the shard ended by product). It is an error if the first passes
+    of all shards together found less than ``least_recall`` of the audited links. Links leave a shard as counts and as a spanning forest, never as all pairs of a group.
     """
     reach = float(np.sqrt(2 - 2 * threshold))
     rows = embeddings.select(named(vec_id).cast("long").alias("vec_id"), named(label).cast("string").alias("label"), named(vector).alias("embedding"))
@@ -369,15 +372,15 @@ def near_duplicate_vectors(
             return out
 
         n_true = sum(len(x) for x in by_product(home[::audit_every]))
-        extra = 12
+        extra, passes, first = 12, 0, None
         while True:
             found, met = range_search(v, local, home, threshold, threshold - 0.04, extra)
-            n_found = sum(len(x) for x in found[::audit_every])
+            n_found, passes = sum(len(x) for x in found[::audit_every]), passes + 1
+            first = n_found if first is None else first
             if n_found >= wanted_recall * n_true:
                 break
             if extra > len(ids):
-                found = by_product(home)
-                n_found = n_true
+                found, passes = by_product(home), -passes
                 break
             extra *= 4
         total = np.array([copies[x].sum() + copies[h] - 1 for h, x in zip(home.tolist(), found, strict=True)], np.int64)
@@ -385,7 +388,7 @@ def near_duplicate_vectors(
         for h, x in zip(home.tolist(), found, strict=True):
             for y in x.tolist():
                 forest.join(h, y)
-        return shard_result((ids[home], total), forest, key[0].as_py(), (len(ids), len(home), int(met.sum()), n_true, n_found))
+        return shard_result((ids[home], total), forest, key[0].as_py(), (len(ids), len(home), int(met.sum()), n_true, first, passes))
 
     out = ready.groupBy("shard").applyInArrow(search, OUT)
 
@@ -398,7 +401,7 @@ def near_duplicate_vectors(
             np.add.at(total, low + r, copies[c])
             for x, y in zip((low + r).tolist(), c.tolist(), strict=True):
                 forest.join(x, len(a) + y)
-        return shard_result((a, total), forest, key[0].as_py(), (len(b), len(a), 0, 0, 0))
+        return shard_result((a, total), forest, key[0].as_py(), (len(b), len(a), 0, 0, 0, 0))
 
     if dealt is not None:
         several = dealt.where("blocks > 1").withColumn("every", F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -408,10 +411,10 @@ def near_duplicate_vectors(
         group = ["shard", "x", "y"]
         out = out.unionByName(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(across, OUT))
     out = cut(out)
-    audit = out.where("kind = 'audit'").select("shard", F.col("b").alias("members"), "queries", "met_self", "links_true", "links_found")
+    audit = out.where("kind = 'audit'").select("shard", F.col("b").alias("members"), *AUDITED)
     whole = audit.agg(F.sum("links_true").alias("t"), F.sum("links_found").alias("f")).first()
-    if whole["t"] and whole["f"] < wanted_recall * whole["t"]:
-        raise RuntimeError(f"the audit found {whole['f']} of {whole['t']} links")
+    if whole["t"] and whole["f"] < least_recall * whole["t"]:
+        raise RuntimeError(f"the graph alone found {whole['f']} of {whole['t']} audited links")
     components = connected_components(out.where("kind = 'edge'").select("a", "b"))
     links = out.where("kind = 'links'").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n_links"))
     of_class = of_class.join(links, "rep").join(components.withColumnRenamed("id", "rep"), "rep", "left")
