@@ -243,9 +243,10 @@ def beside_rows(docs: DataFrame, wanted: DataFrame, shape: tuple[int, int, int],
 def repeated_components(docs: DataFrame, shape: tuple[int, int, int], percent: int) -> DataFrame:
     """(fp, component_id, kept_doc_id) of the paragraphs whose component more than one document has."""
     rows = paragraph_rows(docs, shape)
-    keyed = band_rows(docs, shape).repartition("l")
+    # a boilerplate paragraph comes once a block of texts; told apart first, it is one row of its band
+    keyed = band_rows(docs, shape).select("l", "fp").distinct()
     mixed = keyed.groupBy("l").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    meeting = cut(keyed.join(mixed.select("l", "low"), "l").distinct())
+    meeting = cut(keyed.join(mixed.select("l", "low"), "l"))
     near = meeting.select("fp").distinct().withColumn("meets", F.lit(True))
     classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     classes = cut(classes.join(near, "fp", "left").where("copies > 1 or meets"))
