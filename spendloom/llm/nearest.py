@@ -187,7 +187,7 @@ def _search(classes: DataFrame, asked: DataFrame, k: int, tables: int, width: in
     group = [*bucket, "block", "part"]
     near = cut(probing.groupBy(*group).cogroup(stored.groupBy(*group)).applyInArrow(compare, BEST))
     # queries with too few candidates meet all rows of their length, dealt into blocks
-    enough = near.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("best.vec_id")))).alias("n")).where(F.col("n") >= k)
+    enough = near.select("query_id", F.explode("best.vec_id").alias("vec_id")).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     few = cut(asked.join(enough.select("query_id"), "query_id", "left_anti"))
     if few.isEmpty():
         return near
