@@ -202,6 +202,14 @@ def s10_table_schema(spark: SparkSession, sf: str) -> DataFrame:
     return quality.table_schema(table(spark, sf, "lineitem"), "lineitem").select("column", "type")
 
 
+@query("""SELECT 'orders' AS "table", 'o_orderkey' AS "column", true AS present, count(*) AS "rows", count(o_orderkey) AS filled FROM orders UNION ALL SELECT 'orders', 'o_comment', false, count(*), 0 FROM orders
+  UNION ALL SELECT 'part', 'p_brand', true, count(*), count(CASE WHEN p_size % 3 <> 0 THEN p_brand END) FROM part UNION ALL SELECT 'acts', NULL, false, 0, 0""")
+def s10_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected tables and columns: which are there, and in how many rows they have a value."""
+    part = table(spark, sf, "part").withColumn("p_brand", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")))
+    return tables.presence({"orders": table(spark, sf, "orders"), "part": part}, {"orders": ["o_orderkey", "o_comment"], "part": ["p_brand"], "acts": ["id"]})
+
+
 @query(PRICE_SQL.replace("SELECT id AS entity_id", "SELECT CAST(CAST('0x' || substr(sha256('price|contract|' || CAST(id AS VARCHAR) || '|' || category || '|2026-01-01 00:00:00'), 1, 16) AS UBIGINT) AS VARCHAR) AS anomaly_id, round(baseline, 4) AS baseline, id AS entity_id").replace("SELECT c.*, sample_size,", "SELECT c.*, sample_size, baseline,").replace("CAST(amount AS DOUBLE) AS actual, round(expected, 4) AS expected, round(deviation_pct, 4) AS deviation_pct,\n    CASE WHEN deviation_pct > 100 THEN 'high' WHEN deviation_pct >= 50 THEN 'medium' ELSE 'low' END AS severity, sample_size", "CAST(sample_size AS BIGINT) AS sample_size"))
 def a4_ids_and_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Stable ids of price anomalies, and their evidence read back from JSON."""

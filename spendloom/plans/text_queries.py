@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import normalize as n
 from spendloom.functions import text as tx
-from spendloom.operators import answers, keyword_index, quality, retrieval
+from spendloom.operators import answers, keyword_index, quality, retrieval, scope
 from spendloom.plans.presets import VERSION_COLUMNS, contracts, line_versions, table
 from spendloom.plans.queries import query
 from spendloom.sources.shared import shared_folder
@@ -224,6 +224,28 @@ def g2_periods(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("label", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "groups")
 
 
+PERIODS_SQL = """WITH p AS (SELECT c_custkey AS question_id, 'first' AS label, TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey * 7 % 1500 AS INTEGER)) AS s, TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey * 7 % 1500 + c_custkey * 13 % 700 AS INTEGER)) AS e FROM customer
+    UNION ALL SELECT c_custkey, 'second', TIMESTAMP '1995-06-01' + to_days(CAST(c_custkey * 11 % 1500 AS INTEGER)), TIMESTAMP '1995-06-01' + to_days(CAST(c_custkey * 11 % 1500 + c_custkey % 400 AS INTEGER)) FROM customer),
+  a AS (SELECT * FROM p UNION ALL SELECT question_id, 'all', min(s), max(e) FROM p GROUP BY question_id),
+  d AS (SELECT o_orderpriority AS g, CAST(o_orderdate AS DATE) AS day, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS t, count(*) AS n FROM orders GROUP BY 1, 2),
+  m AS (SELECT question_id, label, g, CAST(sum(t) AS DOUBLE) / sum(n) AS average FROM a JOIN d ON day BETWEEN CAST(s AS DATE) AND CAST(e AS DATE) GROUP BY 1, 2, 3)
+  SELECT question_id, label, round(avg(average) + 1.23e-6, 4) AS mean, round(median(average) + 1.23e-6, 4) AS median, count(*) AS "groups" FROM m GROUP BY question_id, label"""
+
+
+@query(PERIODS_SQL)
+def g2_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two periods, which may overlap, of as many questions as there are customers, and the span of each pair."""
+    k, day = F.col("c_custkey"), lambda start, n: F.date_add(F.lit(start).cast("date"), n.cast("int")).cast("timestamp_ntz")
+    row = lambda label, start, low, n: F.struct(F.lit(label).alias("label"), day(start, low).alias("start"), day(start, low + n).alias("end"))
+    both = F.array(row("first", "1995-01-01", k * 7 % 1500, k * 13 % 700), row("second", "1995-06-01", k * 11 % 1500, k % 400))
+    p = table(spark, sf, "customer").select(k.alias("question_id"), F.explode(both).alias("p")).select("question_id", "p.*")
+    orders = table(spark, sf, "orders").withColumn("amount", F.col("o_totalprice").cast("decimal(18,2)"))
+    out = answers.by_periods_of_questions(orders, p, "o_orderpriority", "amount", "o_orderdate")
+    # the shift keeps sums that end on a half from being rounded both ways
+    shown = lambda c: F.round(F.col(c) + 1.23e-6, 4).alias(c)
+    return out.select("question_id", "label", shown("mean"), shown("median"), "groups")
+
+
 @query(""", s AS (SELECT customer, count(*) AS n FROM contracts GROUP BY customer)
   SELECT customer, CASE WHEN n = 0 THEN 0.0e0 ELSE round((CASE WHEN n < 5 THEN 0.20e0 WHEN n < 10 THEN 0.35e0 WHEN n < 20 THEN 0.50e0 WHEN n < 50 THEN 0.60e0 WHEN n < 100 THEN 0.65e0 ELSE 0.70e0 END) + 0.5e0 * 0.08e0 + 1.0e0 * 0.08e0 + 0.08e0 + -0.10e0 + 0.0e0
     + CASE WHEN customer % 2 = 0 THEN 0.03e0 ELSE 0.0e0 END, 3) END AS confidence, round(CASE WHEN n < 5 THEN 0.3e0 WHEN n < 10 THEN 0.5e0 WHEN n < 20 THEN 0.7e0 ELSE 0.85e0 END * 1.0e0, 3) AS simple FROM s""")
@@ -251,3 +273,16 @@ def g8_examples(spark: SparkSession, sf: str) -> DataFrame:
 def e2_entity_page(spark: SparkSession, sf: str) -> DataFrame:
     rows = answers.page(contracts(spark, sf).where("supplier = 7"), [F.desc("sign_date"), F.desc("id")], 50, 20)
     return rows.select("id", "customer", F.col("amount").cast("double").alias("amount"))
+
+
+@query(""", f AS (SELECT id, customer, sign_date, CAST(amount AS DOUBLE) AS amount FROM contracts JOIN customer ON customer = c_custkey WHERE supplier > 0 AND sign_date >= TIMESTAMP '1995-06-01' AND sign_date < TIMESTAMP '2000-01-01' AND (contains(lower(c_name), '00') OR contains(lower(c_mktsegment), 'auto')))
+  SELECT id, customer, amount, (SELECT count(*) FROM f) AS total FROM f WHERE sign_date < TIMESTAMP '1998-03-01' OR (sign_date = TIMESTAMP '1998-03-01' AND id < 30000) ORDER BY sign_date DESC, id DESC LIMIT 100""")
+def e2_entity_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Contracts by dates and the text of two name fields, the page after a cursor far down, with the total."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), "c_name", "c_mktsegment")
+    rows = contracts(spark, sf, category=False, region=False).join(names, "customer")
+    by_name = scope.entity_filter(query="00", names=["c_name"]) | scope.entity_filter(query="AUTO", names=["c_mktsegment"])
+    dates = (F.col("sign_date") >= F.lit("1995-06-01").cast("timestamp_ntz")) & (F.col("sign_date") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    order = [("sign_date", True), ("id", True)]
+    page = answers.search(rows.select("id", "customer", "supplier", "sign_date", "amount", "c_name", "c_mktsegment"), (F.col("supplier") > 0) & dates & by_name, order, 100, [F.lit("1998-03-01").cast("timestamp_ntz"), 30_000])
+    return page.select("id", "customer", F.col("amount").cast("double").alias("amount"), "total")

@@ -59,6 +59,12 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
 
 
+def created(spark: SparkSession, path: str) -> None:
+    """Makes a folder."""
+    where, store = _place(spark, path)
+    store.mkdirs(where)
+
+
 def renamed(spark: SparkSession, path: str, to: str) -> None:
     """Moves a folder within its store; an error if that can't be done."""
     where, store = _place(spark, path)

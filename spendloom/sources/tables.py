@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.functions import normalize as n
 from spendloom.operators.versions import hash_upsert
-from spendloom.sources.shared import remove
+from spendloom.sources.shared import created, listed, remove, renamed
 
 #: Columns of the tables, as DDL.
 SCHEMAS = {
@@ -49,15 +51,33 @@ def load_reference(records: DataFrame, stored: DataFrame | None, code: Sequence[
 def write_anomalies(rows: DataFrame, path: str, replace: bool = False, types: Sequence[str] = ()) -> None:
     """Appends anomalies by type; with ``replace`` the types in ``rows`` replace their partitions, others stay.
 
-    ``types`` are those that a replacing run looked for: what it found nothing of loses its old rows, too.
+    ``types`` are those that a replacing run looked for: what it found nothing of loses its old rows, too. New
+    partitions are written aside first, so a run that fails while it computes changes nothing; then each type's folder
+    is moved out of the way and the new one moved in. If a move fails, the old folder is put back.
     """
     names = [f.split()[0] for f in SCHEMAS["anomalies"].split(", ")]
     writer = rows.select(*names).write.partitionBy("anomaly_type")
-    (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else writer.mode("append")).parquet(path)
-    if replace and types:
-        found = {r["anomaly_type"] for r in rows.where(F.col("anomaly_type").isin(list(types))).select("anomaly_type").distinct().collect()}  # at most so many
-        for t in set(types) - found:
-            remove(rows.sparkSession, f"{path}/anomaly_type={t}")
+    if not replace:
+        writer.mode("append").parquet(path)
+        return
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    new, old = f"{path}/_new-{run}", f"{path}/_old-{run}"
+    writer.parquet(new)
+    found = {n for n in listed(spark, new) if n.startswith("anomaly_type=")}
+    created(spark, old)
+    for name in sorted(found | {f"anomaly_type={t}" for t in types}):
+        before = name in listed(spark, path)
+        if before:
+            renamed(spark, f"{path}/{name}", f"{old}/{name}")
+        if name in found:
+            try:
+                renamed(spark, f"{new}/{name}", f"{path}/{name}")
+            except Exception:
+                if before:
+                    renamed(spark, f"{old}/{name}", f"{path}/{name}")
+                raise
+    remove(spark, new)
+    remove(spark, old)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -71,6 +91,24 @@ def write_report(leveled: DataFrame, path: str) -> None:
     leveled.write.mode("overwrite").parquet(path)
 
 
+def presence(tables: Mapping[str, DataFrame], expected: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(table, column, present, rows, filled) of the expected columns: whether they are there, how many rows their table
+    has, and in how many of them the column has a value; one pass over each table. Of a table that is not there, one
+    row without a column."""
+    parts = []
+    for name, columns in expected.items():
+        df = tables.get(name)
+        if df is None:
+            some = next(iter(tables.values()))
+            parts.append(some.limit(0).agg(F.lit(name).alias("table"), F.lit(None).cast("string").alias("column"), F.lit(False).alias("present"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("filled")))
+            continue
+        filled = lambda c, df=df: F.count(F.col(c)) if c in df.columns else F.lit(0).cast("long")
+        counted = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), filled(c).alias("filled")) for c in columns))
+        one = df.agg(F.count(F.lit(1)).alias("rows"), counted.alias("all"))
+        parts.append(one.select(F.lit(name).alias("table"), "rows", F.explode("all").alias("x")).select("table", "x.column", "x.present", "rows", "x.filled"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def missing(tables: Mapping[str, DataFrame], expected: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
     """(table, column) of the expected columns that are not there; of a table that is not there, (table, '')."""
     out = []
