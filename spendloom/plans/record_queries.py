@@ -167,13 +167,13 @@ def n_aliases(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""SELECT p_brand AS code, max(p_name) AS name, CASE WHEN p_brand < 'Brand#2' THEN 'new' WHEN p_brand < 'Brand#4' AND max(p_name) = max(p_name) THEN 'unchanged' ELSE 'changed' END AS change_type FROM part GROUP BY p_brand""")
+@query("""SELECT n.p_brand AS code, n.name, CASE WHEN o.name IS NULL THEN 'new' WHEN o.name = n.name THEN 'unchanged' ELSE 'changed' END AS change_type
+  FROM (SELECT p_brand, max(p_name) AS name FROM part GROUP BY p_brand) n LEFT JOIN (SELECT p_brand, max(p_name) AS name FROM part WHERE p_brand >= 'Brand#2' AND p_size <= 40 GROUP BY p_brand) o ON n.p_brand = o.p_brand""")
 def s3_reference_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Brands as a reference table, against a stored one that lacks some and has others with another name."""
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("name_ru"), F.lit("kz").alias("name_kz"))
-    stored = p.where("code >= 'Brand#2'").groupBy("code").agg(F.max("name_ru").alias("name"), F.first("name_kz").alias("name_kz"))
-    stored = stored.withColumn("name", F.when(F.col("code") < "Brand#4", F.col("name")).otherwise("another"))
-    return tables.load_reference(p, stored).select("code", "name", "change_type")
+    """Brands as a reference table, against a stored one that lacks some and has the names that smaller parts give."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("name_ru"), F.lit("kz").alias("name_kz"), "p_size")
+    stored = p.where("code >= 'Brand#2' and p_size <= 40").groupBy("code").agg(F.max("name_ru").alias("name"), F.first("name_kz").alias("name_kz"))
+    return tables.load_reference(p.drop("p_size"), stored).select("code", "name", "change_type")
 
 
 @query("SELECT 'price' AS anomaly_type, CAST(0 AS BIGINT) AS n WHERE FALSE UNION ALL SELECT 'volume', count(*) FROM customer UNION ALL SELECT 'fairness', count(*) FROM supplier")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions import normalize as n
 from spendloom.functions import text as tx
-from spendloom.operators import answers, keyword_index, quality, retrieval, scope
+from spendloom.operators import answers, keyword_index, quality, retrieval, scope, vector_lists
 from spendloom.plans.presets import VERSION_COLUMNS, contracts, line_versions, table
 from spendloom.plans.queries import query
 from spendloom.sources.shared import shared_folder
@@ -65,7 +65,7 @@ RULES = quality.Rules({"id": "numeric", "l_returnflag": "string", "l_partkey": "
 D12_SQL = """WITH t AS (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM lineitem), d AS (SELECT id, count(*) AS c FROM t GROUP BY id HAVING count(*) > 1),
   m AS (SELECT 'rows' AS "check", '' AS field, count(*) AS violations, 100.0 AS pct FROM t
   UNION ALL SELECT 'required', 'id', count(*) FILTER (WHERE id = 0), round(count(*) FILTER (WHERE id = 0) * 100.0 / count(*), 2) FROM t
-  UNION ALL SELECT 'required', 'l_returnflag', 0, 0.0
+  UNION ALL SELECT 'required', 'l_returnflag', count(*) FILTER (WHERE coalesce(trim(l_returnflag), '') = ''), round(count(*) FILTER (WHERE coalesce(trim(l_returnflag), '') = '') * 100.0 / count(*), 2) FROM t
   UNION ALL SELECT 'required', 'l_partkey', count(*) FILTER (WHERE l_partkey = 0), round(count(*) FILTER (WHERE l_partkey = 0) * 100.0 / count(*), 2) FROM t
   UNION ALL SELECT 'date_range', 'l_shipdate', count(*) FILTER (WHERE NOT l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'), round(count(*) FILTER (WHERE NOT l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31') * 100.0 / count(*), 2) FROM t
   UNION ALL SELECT 'owner_scope', 'l_suppkey', count(*) FILTER (WHERE l_suppkey > 0 AND l_suppkey NOT IN (1, 2, 3)), round(count(*) FILTER (WHERE l_suppkey > 0 AND l_suppkey NOT IN (1, 2, 3)) * 100.0 / count(*), 2) FROM t
@@ -127,6 +127,16 @@ def r10_cosine_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.cosine_top_k(asked, v).select("query_id", "vec_id", F.round("score", 9).alias("score"))
 
 
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND v.label IN (1, 4, 7))
+  SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) x WHERE rn <= 20""")
+def r9_filtered_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors of some labels, from lists around centers that the filter is pushed into."""
+    v = table(spark, sf, "embeddings")
+    index = vector_lists.vector_lists(v, ["label"])
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_lists.nearest_in_lists(asked, index, 20, F.col("label").isin(1, 4, 7)).select("query_id", "vec_id", F.round("score", 9).alias("score"))
+
+
 FUSED_SQL = """WITH a AS (SELECT conv_id AS question_id, turn AS entity_id, CAST(length(text) AS DOUBLE) AS score FROM conversations WHERE role <> 'system'),
   b AS (SELECT conv_id AS question_id, turn AS entity_id, CAST(length(text) % 17 AS DOUBLE) AS score FROM conversations WHERE role <> 'user'),
   an AS (SELECT question_id, entity_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) WHEN score > 0 THEN 1.0e0 ELSE 0.0e0 END AS s FROM (SELECT question_id, entity_id, max(score) AS score FROM a GROUP BY 1, 2) x WINDOW w AS (PARTITION BY question_id)),
@@ -143,7 +153,11 @@ def r12_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fuse(a, b, ["entity_id"]).withColumn("fused", F.round("fused", 9))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id AS question_id, turn AS entity_id, least(60, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: length(w) > 0))) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+  w AS (SELECT question_id, entity_id, n, place, n BETWEEN 1 AND 120 AS taken, CASE WHEN n BETWEEN 1 AND 120 THEN n ELSE 0 END AS used, CASE WHEN n BETWEEN 1 AND 120 THEN 1 ELSE 0 END AS k FROM c WHERE place = 1
+    UNION ALL SELECT question_id, entity_id, n, place, fits, used + CASE WHEN fits THEN n ELSE 0 END, k + CASE WHEN fits THEN 1 ELSE 0 END FROM
+      (SELECT c.*, w.used, w.k, w.k < 4 AND c.n >= 1 AND w.used + c.n <= 120 AS fits FROM w JOIN c ON c.question_id = w.question_id AND c.place = w.place + 1) x)
+  SELECT question_id, entity_id, CAST(n AS INTEGER) AS token_count FROM w WHERE taken""")
 def r14_context_window(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("entity_id"), F.col("text").alias("content"))
     return retrieval.context_window(c, 4, 120, 60, order=["entity_id"]).select("question_id", "entity_id", "token_count")
