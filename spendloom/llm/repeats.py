@@ -177,15 +177,28 @@ def paragraph_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return with_text_columns(docs, "text", [T.StructField("p", PARAGRAPHS)], make).select("doc_id", "variant", F.inline("p"))
 
 
+#: Slots for paragraphs that a task has given the band keys of (8 bytes each).
+REMEMBERED = 1 << 20
+
+
 def band_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """(l, fp): band keys of the paragraphs, equal paragraphs of a block once."""
+    """(l, fp): band keys of the paragraphs. What stands in a task's slot for a paragraph is not given out again, so
+    boilerplate comes about once a task, not once a block of texts."""
 
     def work(batches):
         cutter = Paragraphs(*shape)
+        # no paragraph of a slot equals what the slot begins with
+        given = np.arange(1, REMEMBERED + 1, dtype=np.uint64)
         for batch in batches:
             for _, _, data, offsets in text_blocks(batch.column(0)):
                 p = cutter(data, offsets)
                 fp, pick = np.unique(p["fp"], return_index=True)
+                slot = (fp % np.uint64(REMEMBERED)).astype(np.int64)
+                new = given[slot] != fp
+                given[slot] = fp
+                fp, pick = fp[new], pick[new]
+                if not len(fp):
+                    continue
                 keys = cutter.keys(p, pick)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(fp.view(np.int64), len(keys)))], names=["l", "fp"])
 
@@ -243,10 +256,9 @@ def beside_rows(docs: DataFrame, wanted: DataFrame, shape: tuple[int, int, int],
 def repeated_components(docs: DataFrame, shape: tuple[int, int, int], percent: int) -> DataFrame:
     """(fp, component_id, kept_doc_id) of the paragraphs whose component more than one document has."""
     rows = paragraph_rows(docs, shape)
-    # a boilerplate paragraph comes once a block of texts; told apart first, it is one row of its band
-    keyed = band_rows(docs, shape).select("l", "fp").distinct()
+    keyed = band_rows(docs, shape).repartition("l")
     mixed = keyed.groupBy("l").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    meeting = cut(keyed.join(mixed.select("l", "low"), "l"))
+    meeting = cut(keyed.join(mixed.select("l", "low"), "l").distinct())
     near = meeting.select("fp").distinct().withColumn("meets", F.lit(True))
     classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     classes = cut(classes.join(near, "fp", "left").where("copies > 1 or meets"))
