@@ -51,23 +51,43 @@ def evidence(**fields: Column) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
 
 
+def _category_means(contracts: DataFrame, min_sample: int) -> DataFrame:
+    """(category, baseline, sample_size) of categories with at least ``min_sample`` rows; a row a category."""
+    return contracts.groupBy("category").agg((F.sum("amount").cast("double") / F.count("amount")).alias("baseline"), F.count(F.lit(1)).alias("sample_size")).where(F.col("sample_size") >= min_sample)
+
+
+def _with_expected(rows: DataFrame, rate: float, base: str, urban: Sequence[str]) -> DataFrame:
+    expected = F.col("baseline") * inflation_factor(F.col("sign_date"), rate, base) * (1 + region_adjustment(F.col("region"), urban))
+    rows = rows.withColumn("expected", expected)
+    return rows.withColumn("deviation_pct", (F.col("amount").cast("double") - F.col("expected")) / F.col("expected") * 100)
+
+
+def _overpriced(threshold_pct: float) -> Column:
+    limit = F.round((F.col("expected") * (1 + threshold_pct / 100)).cast("decimal(28,8)"), 2)
+    return (F.round(F.col("deviation_pct").cast("decimal(28,8)"), 2) > threshold_pct) & (F.col("amount") > limit)
+
+
 def price_candidates(contracts: DataFrame, min_sample: int = 5, rate: float = 0.03, base: str = "2024-01-01", urban: Sequence[str] = URBAN_PREFIXES) -> DataFrame:
     """Contracts of categories with at least ``min_sample`` rows, with baseline, expected amount and deviation_pct.
 
     The category means (one row a category) are joined back to the contracts.
     """
-    means = contracts.groupBy("category").agg((F.sum("amount").cast("double") / F.count("amount")).alias("baseline"), F.count(F.lit(1)).alias("sample_size")).where(F.col("sample_size") >= min_sample)
-    expected = F.col("baseline") * inflation_factor(F.col("sign_date"), rate, base) * (1 + region_adjustment(F.col("region"), urban))
-    rows = contracts.join(means, "category").withColumn("expected", expected)
-    return rows.withColumn("deviation_pct", (F.col("amount").cast("double") - F.col("expected")) / F.col("expected") * 100)
+    return _with_expected(contracts.join(_category_means(contracts, min_sample), "category"), rate, base, urban)
+
+
+def price_run(contracts: DataFrame, min_sample: int = 5, rate: float = 0.03, base: str = "2024-01-01", threshold_pct: float = 30.0, urban: Sequence[str] = URBAN_PREFIXES) -> DataFrame:
+    """One row: analysed, found and skipped contracts of a price run. The contracts are computed once, into the shared
+    checkpoint folder, and all three are counted in one pass over them."""
+    rows = kept(contracts.select("category", "region", "amount", "sign_date"))
+    judged = _with_expected(rows.join(_category_means(rows, min_sample), "category", "left"), rate, base, urban)
+    analysed = F.col("sample_size").isNotNull()
+    return judged.agg(F.count_if(analysed).alias("analysed"), F.count_if(analysed & _overpriced(threshold_pct)).alias("found"), F.count_if(~analysed).alias("skipped"))
 
 
 def price_anomalies(contracts: DataFrame, detected_at: str, min_sample: int = 5, rate: float = 0.03, base: str = "2024-01-01", threshold_pct: float = 30.0, urban: Sequence[str] = URBAN_PREFIXES) -> DataFrame:
     """Overpriced contracts: rounded deviation above the threshold and amount above the rounded limit."""
     rows = price_candidates(contracts, min_sample, rate, base, urban)
-    limit = F.round((F.col("expected") * (1 + threshold_pct / 100)).cast("decimal(28,8)"), 2)
-    shown = F.round(F.col("deviation_pct").cast("decimal(28,8)"), 2)
-    found = rows.where((shown > threshold_pct) & (F.col("amount") > limit))
+    found = rows.where(_overpriced(threshold_pct))
     return found.select(
         stable_id(F.lit("price"), F.lit("contract"), F.col("id"), F.col("category"), F.lit(detected_at)).alias("anomaly_id"),
         F.lit("price").alias("anomaly_type"), F.lit("contract").alias("entity_type"), F.col("id").alias("entity_id"), "customer", "category", "region", "sign_date",

@@ -413,9 +413,7 @@ def a3_fairness_anomalies_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query(PRICE_SQL.replace(">= 5)", ">= 2000)").replace("SELECT id AS entity_id, CAST(amount AS DOUBLE) AS actual, round(expected, 4) AS expected, round(deviation_pct, 4) AS deviation_pct,\n    CASE WHEN deviation_pct > 100 THEN 'high' WHEN deviation_pct >= 50 THEN 'medium' ELSE 'low' END AS severity, sample_size\n  FROM d WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)", """SELECT count(*) AS "analysed", count(*) FILTER (WHERE round(deviation_pct, 2) > 30 AND CAST(amount AS DOUBLE) > round(expected * 1.3, 2)) AS found, (SELECT count(*) FROM contracts) - count(*) AS skipped FROM d"""))
 def a6_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a price run: those analysed (of categories with enough rows), found, and skipped."""
-    base = contracts(spark, sf)
-    analysed = anomalies.price_candidates(base, 2000, base="1999-01-01", urban=URBAN)
-    return anomalies.run_summary(base, analysed, anomalies.price_anomalies(base, AT, 2000, base="1999-01-01", urban=URBAN))
+    return anomalies.price_run(contracts(spark, sf), 2000, base="1999-01-01", urban=URBAN)
 
 
 @query("""SELECT supplier, round(average, 4) AS average, round(z, 6) AS z FROM (SELECT supplier, average, (average - avg(average) OVER ()) / stddev_pop(average) OVER () AS z FROM

@@ -11,7 +11,7 @@ from spendloom.functions import normalize as n
 from spendloom.operators import anomalies, answers, quality, retrieval, spend
 from spendloom.plans.presets import contracts, table
 from spendloom.plans.queries import AT, PRICE_SQL, URBAN, query
-from spendloom.plans.text_queries import d12_quality_metrics
+from spendloom.plans.text_queries import D12_SQL, d12_quality_metrics
 from spendloom.sources import records, tables
 from spendloom.sources.shared import shared_folder
 
@@ -306,13 +306,13 @@ def d9_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("table", "check", "field", "violations")
 
 
-@query("""SELECT 'lineitem.l_linestatus' AS field, 'format' AS "check", count(*) AS violations FROM lineitem""")
+@query(f"""SELECT "table" || CASE WHEN field <> '' THEN '.' || field ELSE '' END AS field, "check", violations FROM ({D12_SQL}) m WHERE level <> 'ok' """)
 def s11_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Readable lines of the quality report, taken apart again; of the format check."""
+    """The lines of the quality report, written, read and taken apart again."""
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     tables.write_report(d12_quality_metrics(spark, sf), path)
-    lines = quality.report_text(spark.read.parquet(path)).select(F.split("line", " ").alias("p")).where(F.col("p")[1] == "format")
-    return lines.select(F.col("p")[0].alias("field"), F.col("p")[1].alias("check"), F.regexp_extract(F.col("p")[2], "[0-9]+", 0).cast("long").alias("violations"))
+    line = lambda group: F.regexp_extract("line", r"^(.*) (\w+) violations=(\d+)( .*)?$", group)
+    return quality.report_text(spark.read.parquet(path)).select(line(1).alias("field"), line(2).alias("check"), line(3).cast("long").alias("violations"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') || ',2025' END AS dates, '26.20,26.21' AS codes FROM orders""")
