@@ -114,7 +114,15 @@ def r5_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return keyword_index.bm25_top(_questions(spark, sf), index, 20, 5).select("question_id", "entity_id", "bm25")
 
 
-@query()
+@query(r"""WITH RECURSIVE f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+  s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 0) AS ss FROM f WHERE length(t) > 0),
+  w AS (SELECT doc_id, 0 AS i, '' AS now, CAST([] AS VARCHAR[]) AS made FROM s
+    UNION ALL SELECT doc_id, i + 1, CASE WHEN length(x) > 800 THEN '' WHEN length(joined) <= 800 THEN joined WHEN length(tail) > 800 THEN '' ELSE tail END,
+      CASE WHEN length(x) > 800 THEN list_concat(CASE WHEN now = '' THEN [] ELSE [now] END, list_filter(list_transform(range(0, CAST(ceil((length(x) - 800) / 700) AS BIGINT) + 1), lambda k: trim(substr(x, k * 700 + 1, 800))), lambda c: length(c) > 0))
+        WHEN length(joined) <= 800 THEN [] WHEN length(tail) > 800 THEN list_concat([now], list_filter(list_transform(range(0, CAST(ceil((length(tail) - 800) / 700) AS BIGINT) + 1), lambda k: trim(substr(tail, k * 700 + 1, 800))), lambda c: length(c) > 0)) ELSE [now] END
+    FROM (SELECT w.doc_id, w.i, w.now, s.ss[w.i + 1] AS x, CASE WHEN w.now = '' THEN s.ss[w.i + 1] ELSE w.now || ' ' || s.ss[w.i + 1] END AS joined, trim(right(w.now, 100) || ' ' || s.ss[w.i + 1]) AS tail FROM w JOIN s ON w.doc_id = s.doc_id WHERE w.i < len(s.ss)) y),
+  c AS (SELECT doc_id, i, unnest(made) AS chunk, generate_subscripts(made, 1) AS k FROM w UNION ALL SELECT w.doc_id, w.i + 1, w.now, 1 FROM w JOIN s ON w.doc_id = s.doc_id WHERE w.i = len(s.ss) AND w.now <> '')
+  SELECT doc_id AS entity_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS chunk_no, md5(chunk) AS chunk_md5, CAST(length(chunk) AS INTEGER) AS chars FROM c""")
 def r6_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.chunk_rows(_documents(spark, sf)).select("entity_id", "chunk_no", F.md5("chunk").alias("chunk_md5"), F.char_length("chunk").alias("chars"))
 
