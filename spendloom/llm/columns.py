@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendloom.sources.shared import shared_folder
+from spendloom.sources.shared import let_go, shared_folder
 
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -24,11 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: After so many cuts the driver lets go of what the steps before them left.
+CUTS = 4
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
+    if next(_cuts) % CUTS == 0:
+        let_go(df.sparkSession)
     return df.checkpoint()
 
 

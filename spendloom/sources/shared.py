@@ -41,6 +41,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage.
+
+    Spark removes shuffle files, broadcasts and checkpoints when the driver finds that no frame needs them any more,
+    which a driver with room in its heap may not do for half an hour. A job of many short steps calls this between
+    them: neither its disk nor its driver's memory then follows the number of steps.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     """A path and its file system, in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
