@@ -93,9 +93,11 @@ def read_records(spark: SparkSession, path: str, entity: str) -> tuple[DataFrame
     A page that is no JSON object, has no list of items, or an item that is no object, is a reject and keeps its text.
     """
     item = T.ArrayType(record_schema(entity))
-    lines = spark.read.text(path).select(F.col("value").alias("page"), F.get_json_object("value", "$.items").alias("items")).withColumn("file", F.input_file_name())
+    # each text is parsed once: what a generator makes is not put into the filters after it
+    once = lambda made: F.explode(F.array(made))
+    lines = spark.read.text(path).select(F.col("value").alias("page"), F.input_file_name().alias("file"), once(F.get_json_object("value", "$.items")).alias("items"))
     bad = F.col("items").isNull() | ~F.col("items").startswith("[")
-    parsed = lines.where(~bad).withColumn("parsed", F.from_json("items", item))
+    parsed = lines.where(~bad).select("page", "file", once(F.from_json("items", item)).alias("parsed"))
     broken = F.col("parsed").isNull() | F.exists("parsed", lambda x: x.isNull())
     records = parsed.where(~broken).select(F.explode("parsed").alias("r")).select("r.*")
     rejects = lines.where(bad).select("file", "page", F.lit("no list of items").alias("reason"))
@@ -133,14 +135,17 @@ def _reached(roots: Column, keys: Sequence[str], more: Callable[[Column], Column
     what ``more`` gives for an object.
 
     A record is walked by one fold over its levels. Their number is at most one more than the times that its text has
-    one of ``keys`` or a list in a list; a level without nodes costs next to nothing.
+    one of ``keys`` or a list in a list; a level without nodes costs next to nothing. A list is told from other nodes by
+    taking its items, and ``more`` finds nothing in a scalar: no type is made of all that lies under a node, which would
+    read each record once for each of its levels.
     """
     pattern = F.lit(rf'"(?:{"|".join(keys)})":|[\[,]\[')
-    depth = F.aggregate(roots, F.lit(1), lambda s, v: s + F.regexp_count(F.to_json(v), pattern))
-    below = lambda v: F.when(_kind(v).startswith("ARRAY"), _nodes(v)).when(_kind(v).startswith("OBJECT"), more(v)).otherwise(F.array().cast(NO_NODES))
-    # the next level is computed once, as the only element of an array
+    below = lambda v: F.coalesce(F.try_variant_get(v, "$", NO_NODES), more(v))
+    # the next level is computed once, as the only element of an array; so are the roots
     step = lambda s, _: F.transform(F.array(F.flatten(F.transform(s["level"], below))), lambda x: F.struct(x.alias("level"), F.concat(s["all"], x).alias("all")))[0]
-    return F.aggregate(F.sequence(F.lit(1), depth), F.struct(roots.alias("level"), roots.alias("all")), step, lambda s: s["all"])
+    depth = lambda r: F.aggregate(r, F.lit(1), lambda s, v: s + F.regexp_count(F.to_json(v), pattern))
+    walk = lambda r: F.aggregate(F.sequence(F.lit(1), depth(r)), F.struct(r.alias("level"), r.alias("all")), step, lambda s: s["all"])
+    return F.transform(F.array(roots), walk)[0]
 
 
 def _kind(v: Column) -> Column:
@@ -150,10 +155,14 @@ def _kind(v: Column) -> Column:
 
 def collect_units(roots: Sequence[Column]) -> Column:
     """All nodes under the roots, at any depth, that name a price, quantity, sum, code or lot; one level after another."""
-    under = lambda v: F.flatten(F.array(*(_nodes(F.try_variant_get(v, f"$.{k}", "variant")) for k in UNIT_CHILDREN)))
-    nodes = F.filter(_reached(F.flatten(F.array(*(_nodes(r) for r in roots))), UNIT_CHILDREN, under), lambda v: _kind(v).startswith("OBJECT"))
-    text = lambda v, names: F.coalesce(*(F.try_variant_get(v, f"$.{x}", "string") for x in names))
-    units = F.transform(nodes, lambda v: F.struct(*(text(v, names).alias(f) for f, names in UNIT_FIELDS.items())))
+    # an object's fields are taken at once: a path to a field that is not there costs an exception, and each variant taken
+    # out of another is built anew
+    of = lambda v, names, kind: F.try_variant_get(v, "$", f"struct<{','.join(f'{x}:{kind}' for x in names)}>")
+    children = lambda s: F.flatten(F.transform(F.array_compact(F.array(*(s[k] for k in UNIT_CHILDREN))), _nodes))
+    under = lambda v: F.transform(F.array(of(v, UNIT_CHILDREN, "variant")), children)[0]
+    aliases = [x for names in UNIT_FIELDS.values() for x in names]
+    objects = F.transform(_reached(F.flatten(F.array(*(_nodes(r) for r in roots))), UNIT_CHILDREN, under), lambda v: of(v, aliases, "string"))
+    units = F.transform(objects, lambda s: F.struct(*(F.coalesce(*(s[x] for x in names)).alias(f) for f, names in UNIT_FIELDS.items())))
     return F.filter(units, lambda u: F.coalesce(*(u[f] for f in UNIT_TELLING)).isNotNull())
 
 

@@ -205,6 +205,17 @@ def test_units_of_any_depth(spark):
     assert len({r.id for r in parsed}) == len(parsed)
 
 
+def test_a_page_is_parsed_once_and_no_type_is_made_of_a_node(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    with open(f"{path}/page.json", "w") as f:
+        f.write(json.dumps({"items": [{"id": 7, "trdBuyId": 5, "bin": 3, "rows": [{"lot_id": {"a": 1}, "items": [[{"qty": 2}], 3]}]}]}) + "\n")
+    rows = records.read_records(spark, path, "contracts")[0]
+    parsed = records.parse_contracts(rows, F.lit("2024-01-01").cast("timestamp_ntz"))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("get_json_object(") == 1 and "schema_of_variant" not in plan.lower() and "schemaofvariant" not in plan.lower()
+    assert parsed.count() == 2
+
+
 def test_codes_of_texts_numbers_and_objects(spark):
     point = {"id": 1, "tru_code": "11", "tru_list": ["12", 13, {"code": "14", "lvl2": "1", "children": [{"enstru_code": 15}, "16"]}], "pln_point_kato_list": [{"kato": "71"}, {"code": "75"}]}
     got = records.parse_lots(read_as(spark, [{"id": 1, "buy_id": 2, "kato": "35", "point_list": [point]}], records.record_schema("lots")), F.lit("2024-01-01").cast("timestamp_ntz")).collect()
