@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spendloom.sources.shared import let_go, shared_folder
+from spendloom.sources.shared import BATCH_BYTES, bound_batches, let_go, shared_folder  # noqa: F401
 
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: An Arrow batch of rows with texts has about so many bytes at most, or one row.
-BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,14 +87,6 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         low = high
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit on the bytes of an Arrow batch to BATCH_BYTES, unless it is lower already."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(name, "64m").lower()).groups()
-    if not 0 < int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit] <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def map_arrow(df: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` of columns with any names; ``work`` finds them by their places."""
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(work, schema)
