@@ -12,6 +12,8 @@ from spendloom.llm.components import connected_components
 from spendloom.llm.vectors import matrix, usable, with_class_key
 
 MAX_CENTERS = 4096  # of one level: bounds what a level broadcasts
+MOST_COPIES = 3  # a shard is not cut where its vectors would be held so many times each, or more
+PANEL = 6  # blocks that a task compares with each other, or with those of another panel
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -217,8 +219,15 @@ def range_search(v: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, th
     return found, met_self
 
 
-def shard_rows(classes: DataFrame, sizes: dict, sample_rows: int, shard_size: int, reach: float, level: int) -> DataFrame:
-    """Splits the shards in ``sizes`` (shard -> rows) into cells; a row goes to every cell that may hold a neighbour."""
+def worth_a_cut(sample: np.ndarray, centers: np.ndarray, reach: float, copies: float) -> bool:
+    """Whether cells make a shard smaller without too many copies, by its sample; a row has ``copies`` before."""
+    inside = near_cells(sample, centers, reach)[1]
+    return len(centers) > 1 and inside.sum(axis=0).max() <= 0.9 * len(sample) and copies * inside.sum() <= MOST_COPIES * len(sample)
+
+
+def shard_rows(classes: DataFrame, sizes: dict, copies: dict, sample_rows: int, shard_size: int, reach: float, level: int) -> tuple[DataFrame, set]:
+    """Splits the shards in ``sizes`` (shard -> rows) that are worth it into cells, and names them; a row goes to every
+    cell that may hold a neighbour."""
     names = sorted(sizes)
     per = {s: max(2, min(MAX_CENTERS // max(1, len(names)), -(-sizes[s] // shard_size))) for s in names}
     rates = {s: min(1.0, sample_rows * sizes[s] / max(1, sum(sizes.values())) / sizes[s]) for s in names}
@@ -228,7 +237,9 @@ def shard_rows(classes: DataFrame, sizes: dict, sample_rows: int, shard_size: in
     samples: dict[str, list] = {}
     for r in drawn:
         samples.setdefault(r["shard"], []).append(r["embedding"])
-    centers = {s: k_means(unit(np.array(x, np.float64)), per[s]) for s, x in samples.items() if len(x) > 1}
+    units = {s: unit(np.array(x, np.float64)) for s, x in samples.items() if len(x) > 1}
+    centers = {s: k_means(x, per[s]) for s, x in units.items()}
+    centers = {s: c for s, c in centers.items() if worth_a_cut(units[s], c, reach, copies[s])}
     shared = classes.sparkSession.sparkContext.broadcast(centers)
 
     def work(batches):
@@ -249,7 +260,7 @@ def shard_rows(classes: DataFrame, sizes: dict, sample_rows: int, shard_size: in
                 cols[taken.schema.get_field_index("home")] = pa.array(own)
                 yield pa.RecordBatch.from_arrays(cols, names=taken.schema.names)
 
-    return classes.mapInArrow(work, classes.schema)
+    return classes.mapInArrow(work, classes.schema), set(centers)
 
 
 class Forest:
@@ -308,9 +319,11 @@ def near_duplicate_vectors(
     A null vec_id stays null and is not linked. An empty table gives no rows.
 
     A label over twice ``shard_size`` (what a task holds with ease) is dealt to cluster shards around centers fitted on about ``sample_rows`` vectors
-    a level. These overlap, so that the shard a vector is at home in holds all its neighbours in range. What ``levels``
-    cuts don't bring to that size (many vectors within range of each other are in reach of every cell) is dealt into
-    blocks: each has its own graph, and pairs of blocks are compared by products. In a shard of any size, a graph is
+    a level. These overlap, so that the shard a vector is at home in holds all its neighbours in range. A shard is not
+    cut where MOST_COPIES would be passed, by its sample (without structure, vectors are in reach of most cells). What
+    ``levels`` cuts don't bring to that size is dealt into blocks: each has its own graph, and pairs of blocks are
+    compared by products, once for both sides, panels of PANEL blocks at a time: a vector is sent once for each panel of
+    its shard. The audit names the largest block of a panel's task as its members. In a shard of any size, a graph is
     built on overlapping clusters: lists pruned in each are united, and then united over the vector's shards. Every
     vector is searched in its home shard, from the medoids, expanding the range. Each ``audit_every``-th query is
     compared with brute force over the shard; a shard under ``wanted_recall`` is searched again, four times as widely,
@@ -326,17 +339,19 @@ def near_duplicate_vectors(
     shard = F.concat_ws("/", F.col("label"), F.size("embedding").cast("string"))
     members = cut(classes.select("rep", "copies", "embedding", shard.alias("shard"), F.lit(True).alias("home")))
     of_class = cut(classes.select("label", "h1", "h2", "rep", "copies"))
-    before = float("inf")
+    whole, overlapping = set(), False
     for level in range(levels):
-        sizes = {r["shard"]: r["count"] for r in members.groupBy("shard").count().where(F.col("count") > 2 * shard_size).orderBy(F.desc("count"), "shard").limit(MAX_CENTERS // 2).collect()}
-        largest = max(sizes.values(), default=0)
-        if not sizes or largest > 0.9 * before:
+        large = members.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("own"))
+        large = large.where((F.col("n") > 2 * shard_size) & ~F.col("shard").isin(sorted(whole))).orderBy(F.desc("n"), "shard").limit(MAX_CENTERS // 2).collect()
+        if not large:
             break
-        before = largest
-        members = cut(shard_rows(members, sizes, sample_rows, shard_size, reach, level))
+        parted, done = shard_rows(members, {r["shard"]: r["n"] for r in large}, {r["shard"]: r["n"] / max(1, r["own"]) for r in large}, sample_rows, shard_size, reach, level)
+        whole |= {r["shard"] for r in large} - done
+        if done:
+            members, overlapping = cut(parted), True
     # what is still overfull is dealt into blocks
     blocks = cut(members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_size)).cast("int").alias("blocks")).where("blocks > 1"))
-    dealt = None if blocks.isEmpty() else cut(members.join(blocks, "shard", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")), F.lit(0)).cast("int")))
+    dealt = None if blocks.isEmpty() else members.join(F.broadcast(blocks), "shard", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("blocks")), F.lit(0)).cast("int"))
     if dealt is not None:
         members = dealt.select("rep", "copies", "embedding", F.concat_ws("#", "shard", "block").alias("shard"), "home")
 
@@ -347,21 +362,28 @@ def near_duplicate_vectors(
         flat = ids[np.concatenate(lists).astype(np.int64)] if len(lists) and ends[-1] else np.zeros(0, np.int64)
         return pa.table({"rep": ids, "neighbours": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))})
 
-    lists = members.select("shard", "rep", "embedding").groupBy("shard").applyInArrow(build, "rep long, neighbours array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # one list for each shard of a vector
-    ready = members.join(united, "rep")
+    ready = members
+    if overlapping:
+        lists = members.select("shard", "rep", "embedding").groupBy("shard").applyInArrow(build, "rep long, neighbours array<long>")
+        united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # one list for each shard of a vector
+        ready = members.join(united, "rep")
 
-    def search(key, group):
-        v = unit(matrix(group.column("embedding")))
-        ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-        home = np.flatnonzero(group.column("home").to_numpy())
+    def lists_of(group: pa.Table, ids: np.ndarray) -> list[np.ndarray]:
+        """The united lists, those of members only."""
         order = np.argsort(ids)
         near = group.column("neighbours").combine_chunks()
         flat, ends = near.flatten().to_numpy(), near.offsets.to_numpy()
         ends = ends - ends[0]
         at = np.minimum(np.searchsorted(ids, flat, sorter=order), len(ids) - 1)
         local = np.where(ids[order[at]] == flat, order[at], -1)  # a neighbour from another shard may be no member here
-        local = [x[x >= 0] for x in np.split(local, ends[1:-1])]
+        return [x[x >= 0] for x in np.split(local, ends[1:-1])]
+
+    def search(key, group):
+        v = unit(matrix(group.column("embedding")))
+        ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+        home = np.flatnonzero(group.column("home").to_numpy())
+        # a shard whose vectors are in no other one has no lists to unite with its own
+        local = lists_of(group, ids) if "neighbours" in group.column_names else build_graph(v)
 
         def by_product(queries: np.ndarray) -> list[np.ndarray]:
             out = []
@@ -392,24 +414,41 @@ def near_duplicate_vectors(
 
     out = ready.groupBy("shard").applyInArrow(search, OUT)
 
-    def across(key, left, right):
-        q, v = unit(matrix(left.column("embedding"))), unit(matrix(right.column("embedding")))
-        a, b, copies = left.column("rep").to_numpy(), right.column("rep").to_numpy(), right.column("copies").to_numpy()
-        forest, total = Forest(np.concatenate([a, b])), np.zeros(len(a), np.int64)
-        for low in range(0, len(a), 256):
-            r, c = np.nonzero(q[low : low + 256] @ v.T >= threshold)
-            np.add.at(total, low + r, copies[c])
-            for x, y in zip((low + r).tolist(), c.tolist(), strict=True):
-                forest.join(x, len(a) + y)
-        return shard_result((a, total), forest, key[0].as_py(), (len(b), len(a), 0, 0, 0, 0))
+    def across(key, group):
+        x, y = (k.as_py() for k in key[1:])
+        block = group.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        v, block = unit(matrix(group.column("embedding")))[order], block[order]
+        ids, copies, home = (group.column(c).to_numpy()[order] for c in ("rep", "copies", "home"))
+        names, starts = np.unique(block, return_index=True)
+        ends = [*starts[1:].tolist(), len(block)]
+        low_precision, forest, total = v.astype(np.float32), Forest(ids), np.zeros(len(ids), np.int64)
+        for p in range(len(names)):
+            for q in range(p + 1, len(names)):
+                if (names[p] // PANEL, names[q] // PANEL) != (x, y):
+                    continue  # another task's
+                others = slice(starts[q], ends[q])
+                for low in range(starts[p], ends[p], 512):
+                    rows = slice(low, min(low + 512, ends[p]))
+                    # what comes near the threshold is measured in double
+                    a, b = np.nonzero(low_precision[rows] @ low_precision[others].T >= threshold - 1e-5)
+                    a, b = a + low, b + starts[q]
+                    parts = 1 + (len(a) >> 14)
+                    exact = np.concatenate([np.einsum("kd,kd->k", v[i], v[j]) for i, j in zip(np.array_split(a, parts), np.array_split(b, parts), strict=True)]) >= threshold
+                    a, b = a[exact], b[exact]
+                    np.add.at(total, a, copies[b])
+                    np.add.at(total, b, copies[a])
+                    counted = home[a] | home[b]
+                    for i, j in zip(a[counted].tolist(), b[counted].tolist(), strict=True):
+                        forest.join(i, j)
+        linked = home & (total > 0)  # all have a row from their own block
+        return shard_result((ids[linked], total[linked]), forest, key[0].as_py(), (max(np.diff([*starts, len(block)]).tolist()), int(home.sum()), 0, 0, 0, 0))
 
     if dealt is not None:
-        several = dealt.where("blocks > 1").withColumn("every", F.sequence(F.lit(0), F.col("blocks") - 1))
-        every = several.withColumn("other", F.explode("every")).where("other <> block")
-        left = every.where("home").select("shard", F.col("block").alias("x"), F.col("other").alias("y"), "rep", "embedding")
-        right = every.select("shard", F.col("other").alias("x"), F.col("block").alias("y"), "rep", "embedding", "copies")
-        group = ["shard", "x", "y"]
-        out = out.unionByName(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(across, OUT))
+        panel = F.floor(F.col("block") / PANEL).cast("int")
+        every = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("blocks") / PANEL).cast("int") - 1)))
+        every = every.select("shard", F.least(panel, "other").alias("x"), F.greatest(panel, "other").alias("y"), "block", "rep", "embedding", "copies", "home")
+        out = out.unionByName(every.groupBy("shard", "x", "y").applyInArrow(across, OUT))
     out = cut(out)
     audit = out.where("kind = 'audit'").select("shard", F.col("b").alias("members"), *AUDITED)
     whole = audit.agg(F.sum("links_true").alias("t"), F.sum("links_found").alias("f")).first()

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spendloom.llm import embedding_dedup
 from spendloom.llm.embedding_dedup import near_duplicate_vectors
 from spendloom.llm.nearest import nearest_vectors, probe_sets
 
@@ -134,3 +135,17 @@ def test_nearest_blocks_of_rows_and_queries_and_many_lengths(spark):
         s = sorted((-float(np.dot(np.array(v), np.array(u))), i) for i, u, _ in rows if len(u) == len(v) and i != q)[:5]
         right += len({i for _, i in s} & {i for _, i in got[q]})
     assert len(got) == 400 and right >= 0.9 * 2000
+
+
+def test_shards_without_structure_are_not_copied_to_most_cells(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    made = r.normal(0, 1, (900, 32))
+    made[1::9] = made[::9] + r.normal(0, 0.02, (100, 32))
+    rows = [(k, [float(np.float32(x)) for x in v], 1) for k, v in enumerate(made)]
+    sizes, inner = [], embedding_dedup.cut
+    monkeypatch.setattr(embedding_dedup, "cut", lambda df: sizes.append((out := inner(df)).count()) or out)
+    got = {x.vec_id: x for x in near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA), shard_size=20)[0].collect()}
+    links, component = brute(rows)
+    assert {i: x.n_links for i, x in got.items()} == {i: len(x) for i, x in links.items()} and sum(map(len, links.values())) >= 150
+    assert {i: x.component_id for i, x in got.items()} == component
+    assert max(sizes) <= embedding_dedup.MOST_COPIES * len(rows)
