@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendloom.functions import text as tx
-from spendloom.sources.shared import bound_batches, kept
+from spendloom.sources.shared import bound_batches, kept, let_go
 
 #: Scores are summed in another order than bounds; so much of a bound is added to it.
 SLACK = 1e-9
@@ -177,7 +177,7 @@ class _Shard:
 
 def bm25_best(
     questions: DataFrame, documents: DataFrame, top: int, boosts: Mapping[str, float], digits: int | None = None, other: float = 0.8, k1: float = 1.5, b: float = 0.75, key: Sequence[str] = ("entity_type", "entity_id"),
-    content: str = "content", question_id: str = "question_id", question: str = "text", shard_tokens: int = 4_000_000, head_part: int = 16, head_shards: int = 8,
+    content: str = "content", question_id: str = "question_id", question: str = "text", shard_tokens: int = 6_000_000, head_part: int = 16, head_shards: int = 8,
 ) -> DataFrame:
     """(question_id, key, bm25, place) of the ``top`` best documents of each question, all documents counted; scores and
     ties as in ``keyword_index.bm25_top``.
@@ -200,7 +200,7 @@ def bm25_best(
     asked = asked.groupBy("question_id", "token").agg(F.count(F.lit(1)).cast("int").alias("times"))
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     lists = asked.join(df, "token").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("token", "times", "df"))).alias("x"))
-    asked = kept(lists.select("question_id", F.array_join("x.token", " ").alias("words"), F.col("x.times").alias("times"), F.col("x.df").alias("df")))
+    asked = kept(lists.select("question_id", F.array_join("x.token", " ").alias("words"), F.col("x.times").alias("times"), F.col("x.df").cast(f"array<{'int' if n_docs < 1 << 31 else 'long'}>").alias("df")))
 
     groups = _dealt({k: t for k, (_, t) in sizes.items()}, {k: n for k, (n, _) in sizes.items()}, top, shard_tokens, head_part, head_shards) or [(0, 1)]
     shard: Column = F.lit(-1)
@@ -236,6 +236,7 @@ def bm25_best(
     nth = Window.partitionBy("question_id").orderBy(F.desc("score"), *key)
     best = kept(scored(0, first[1], asked.withColumn("least", F.lit(None).cast("double"))))
     if len(groups) > 1:
+        let_go(documents.sparkSession)  # of the shuffles so far
         least = best.withColumn("n", F.row_number().over(nth)).where(F.col("n") == top).select("question_id", F.col("score").alias("least"))
         best = best.unionByName(scored(first[1], first[-1], asked.join(least, "question_id", "left")))
     return best.withColumn("place", F.row_number().over(nth)).where(F.col("place") <= top).withColumnRenamed("score", "bm25").select("question_id", *key, "bm25", "place")
